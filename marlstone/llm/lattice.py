@@ -46,21 +46,39 @@ FLUSH = 400_000
 
 
 class Pieces:
-    """Piece weights: ``opening`` and ``inner`` map piece bytes to log probability."""
+    """Piece weights: ``opening`` and ``inner`` map piece bytes to log probability.
+
+    Words of one length go through the lattice together: the pieces are a trie
+    whose step is one array look-up for all words, and each cell of the lattice
+    is one array operation.
+    """
 
     def __init__(self, opening: dict[bytes, float], inner: dict[bytes, float], stop: float):
         self.opening, self.inner, self.stop = opening, inner, stop
-        self._open, self._in = self._trie(opening), self._trie(inner)
+        self.open_step, self.open_weight, self.open_at = self._trie(opening)
+        self.in_step, self.in_weight, self.in_at = self._trie(inner)
 
     @staticmethod
-    def _trie(weights: dict[bytes, float]) -> list:
-        root: list = [{}, None]
-        for piece, w in weights.items():
-            node = root
+    def _trie(weights: dict[bytes, float]) -> tuple[np.ndarray, np.ndarray, dict[bytes, int]]:
+        """Next state by state and byte (0: none, 1: root), the weight that ends there, and each piece's state."""
+        rows: list[dict[int, int]] = [{}, {}]
+        at = {}
+        for piece in weights:
+            state = 1
             for b in piece:
-                node = node[0].setdefault(b, [{}, None])
-            node[1] = w
-        return root
+                if (to := rows[state].get(b)) is None:
+                    to = rows[state][b] = len(rows)
+                    rows.append({})
+                state = to
+            at[piece] = state
+        step = np.zeros((len(rows), 256), np.int32)
+        for state, row in enumerate(rows):
+            for b, to in row.items():
+                step[state, b] = to
+        weight = np.full(len(rows), -np.inf)
+        for piece, state in at.items():
+            weight[state] = weights[piece]
+        return step, weight, at
 
     @classmethod
     def from_vocabulary(cls, pieces: list[tuple[bytes, bool, float]]) -> Pieces:
@@ -79,82 +97,66 @@ class Pieces:
         a, b = sum(opening.values()), sum(inner.values())
         return cls({p: math.log(w / a) for p, w in opening.items()}, {p: math.log(w / b * (1 - stop)) for p, w in inner.items()}, math.log(stop))
 
-    def edges(self, word: bytes) -> list[list[tuple[int, float]]]:
-        """For each position, where pieces that begin there end, with their weights."""
-        n, out = len(word), []
-        for i in range(n):
-            node, found = self._in, []
-            for j in range(i, n):
-                node = node[0].get(word[j])
-                if node is None:
-                    break
-                if node[1] is not None:
-                    found.append((j + 1, node[1]))
-            out.append(found)
-        return out
-
-    def first(self, word: bytes) -> list[tuple[int, float]]:
-        node, found = self._open, [(0, self._open[1])]
-        for j, b in enumerate(word):
-            node = node[0].get(b)
-            if node is None:
+    def _forward(self, x: np.ndarray, cells: list | None = None) -> tuple[np.ndarray, list]:
+        """x: words of one length, a row each. Log-space forward recursion; cells gets the pieces of each span."""
+        rows, n = x.shape
+        alpha = np.full((n + 1, rows), -np.inf)
+        state, first = np.ones(rows, np.int32), [(0, np.ones(rows, np.int32))]
+        alpha[0] = self.open_weight[1]
+        for j in range(n):
+            state = self.open_step[state, x[:, j]]
+            if not state.any():
                 break
-            if node[1] is not None:
-                found.append((j + 1, node[1]))
-        return found
-
-    def log_probability(self, word: bytes) -> float:
-        """Natural log of Q(word): the forward recursion, in log space."""
-        n, step, exp, log1p = len(word), self._in, math.exp, math.log1p
-        alpha = [-math.inf] * (n + 1)
-        for j, w in self.first(word):
-            alpha[j] = w
+            alpha[j + 1] = self.open_weight[state]
+            first.append((j + 1, state))
         for i in range(n):
-            at, node = alpha[i], step
-            if at == -math.inf:
-                continue
+            state = np.ones(rows, np.int32)
             for j in range(i, n):
-                node = node[0].get(word[j])
-                if node is None:
+                state = self.in_step[state, x[:, j]]
+                if not state.any():
                     break
-                if (w := node[1]) is not None:
-                    a, b = alpha[j + 1], at + w
-                    if a < b:
-                        a, b = b, a
-                    alpha[j + 1] = a + log1p(exp(b - a)) if b > -math.inf else a
-        return alpha[n] + self.stop
-
-    def expect(self, word: bytes, weight: float, opening: dict, inner: dict) -> int:
-        """Adds the expected number of uses of each piece in the word."""
-        n, first, edges = len(word), self.first(word), self.edges(word)
-        exp, shift = math.exp, self._shift(word, first, edges)
-        beta = [0.0] * (n + 1)
-        beta[n] = 1.0
-        for i in range(n - 1, -1, -1):
-            beta[i] = sum([exp(w + shift * (j - i)) * beta[j] for j, w in edges[i]])
-        alpha = [0.0] * (n + 1)
-        for j, w in first:
-            alpha[j] = exp(w + shift * j)
-        total = sum(alpha[j] * beta[j] for j, _ in first)
-        if not 0 < total < math.inf:
-            return 0
-        scale = weight / total
-        for j, _ in first:
-            piece = word[:j]
-            opening[piece] = opening.get(piece, 0.0) + alpha[j] * beta[j] * scale
-        for i in range(n):
-            if at := alpha[i]:
-                for j, w in edges[i]:
-                    p = at * exp(w + shift * (j - i))
-                    alpha[j] += p
-                    if (use := p * beta[j] * scale) > 1e-6:
-                        piece = word[i:j]
-                        inner[piece] = inner.get(piece, 0.0) + use
-        return 1
+                np.logaddexp(alpha[j + 1], alpha[i] + self.in_weight[state], out=alpha[j + 1])
+                if cells is not None:
+                    cells.append((i, j + 1, state))
+        return alpha, first
+
+    def log_probabilities(self, words: list[bytes]) -> np.ndarray:
+        """Natural log of Q for each word."""
+        out = np.empty(len(words))
+        for at, x in _by_length(words):
+            out[at] = self._forward(x)[0][-1] + self.stop
+        return out
 
-    def _shift(self, word: bytes, first: list, edges: list) -> float:
-        """Weight a byte, so that the sums over a long word stay within a double."""
-        return 0.0 if len(word) <= 48 else -self.log_probability(word) / len(word)
+    def expect(self, words: list[bytes], opening: np.ndarray, inner: np.ndarray) -> None:
+        """Adds the expected number of uses of each state's piece; runs of over 512 bytes count in parts."""
+        parts = [w[i : i + 512] for w in words for i in range(0, len(w), 512)]
+        for _, x in _by_length(parts):
+            cells: list = []
+            alpha, first = self._forward(x, cells)
+            n, total = x.shape[1], alpha[-1]
+            beta = np.full_like(alpha, -np.inf)
+            beta[n] = 0.0
+            states, uses = [], []
+            for i, j, state in reversed(cells):
+                through = self.in_weight[state] + beta[j]
+                np.logaddexp(beta[i], through, out=beta[i])
+                states.append(state)
+                uses.append(np.exp(alpha[i] + through - total))
+            if states:
+                inner += np.bincount(np.concatenate(states), np.concatenate(uses), len(inner))
+            for j, state in first:
+                opening += np.bincount(state, np.exp(self.open_weight[state] + beta[j] - total), len(opening))
+
+
+def _by_length(words: list[bytes], most: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Words of one length as byte matrices of a bounded size, with their places."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    order = np.argsort(sizes, kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1) if len(words) else []:
+        n = int(sizes[at[0]])
+        for part in np.array_split(at, -(-len(at) * n // most)):
+            if len(part):
+                yield part, np.frombuffer(b"".join([words[i] for i in part]), np.uint8).reshape(len(part), n)
 
 
 def load_pieces(model_file: str) -> list[tuple[bytes, bool, float]]:
@@ -200,12 +202,15 @@ def fit_pieces(words: DataFrame, pieces: Pieces, rounds: int) -> Pieces:
         sent = spark.sparkContext.broadcast((pieces.opening, pieces.inner, pieces.stop))
 
         def expected(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            model, opening, inner, n = Pieces(*sent.value), {}, {}, 0
+            model, n = Pieces(*sent.value), 0
+            opening, inner = np.zeros(len(model.open_weight)), np.zeros(len(model.in_weight))
             for batch in batches:
-                for word in column(batch, "word").to_pylist():
-                    n += model.expect(word, 1.0, opening, inner)
-            keys = [*opening, *inner, b""]
-            yield pa.RecordBatch.from_arrays([pa.array([0] * len(opening) + [1] * len(inner) + [2], pa.int32()), pa.array(keys, pa.binary()), pa.array([*opening.values(), *inner.values(), float(n)], pa.float64())], names=["kind", "piece", "uses"])
+                words = column(batch, "word").to_pylist()
+                n += len(words)
+                model.expect(words, opening, inner)
+            rows = [(k, p, u) for k, at, uses in ((0, model.open_at, opening), (1, model.in_at, inner)) for p, s in at.items() if (u := float(uses[s]))] + [(2, b"", float(n))]
+            kinds, keys, uses = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(keys, pa.binary()), pa.array(uses, pa.float64())], names=["kind", "piece", "uses"])
 
         rows = words.select("word").mapInArrow(expected, "kind int, piece binary, uses double").groupBy("kind", "piece").agg(F.sum("uses").alias("uses")).toArrow().to_pylist()
         uses = {(r["kind"], bytes(r["piece"])): r["uses"] for r in rows}
@@ -244,7 +249,7 @@ def score_documents(docs: DataFrame, model_file: str, *, head_words: int = 200_0
         model, rest = Pieces(*sent.value), math.log(left)
         for batch in batches:
             c = column(batch, "train").to_numpy().astype(float)
-            q = np.array([model.log_probability(w) for w in column(batch, "word").to_pylist()], dtype=float)
+            q = model.log_probabilities(column(batch, "word").to_pylist())
             own = np.where(c > 0, np.log(np.maximum(c - discount, 1e-300) / max(total, 1)), -np.inf)
             yield pa.RecordBatch.from_arrays([column(batch, "word"), column(batch, "train"), column(batch, "other"), pa.array(np.log10(c + 1)), pa.array(np.logaddexp(own, rest + q) / LN10), pa.array(q / LN10)], names=["word", "train", "other", "b", "m", "q"])
 
