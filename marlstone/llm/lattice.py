@@ -1,23 +1,28 @@
 """Subword lattice likelihood (operator 1).
 
-A text is a run of tokens: its words and then one end. The model gives a token
-
-    P(t) = (c - D) / N + D * V / N * Q(t)
-
-with c, N and V counted over the training rows and D the usual absolute
-discount n1 / (n1 + 2 n2). Q is the subword lattice: every way to cut the word
-into pieces of an existing vocabulary adds its probability, by a forward
-recursion in log space, so Q is the marginal over all segmentations. The first
-piece comes from the pieces that open a word, the others from the rest, and a
-stop ends the word, so Q sums to one over words and P over tokens. Pieces start
-with weights after the vocabulary's own scores (its rank order, read as a
-Zipf law) and are fitted to the training words by expectation maximisation;
-the vocabulary itself stays as it is. Single bytes are pieces too, so every
-text has a finite score.
-
-Counts come from all rows. The most frequent words (at most ``head_words`` of
-at most 64 bytes, a fixed bound) are sent to the tasks; all other words meet
-their counts in a shuffle join, in which no key is frequent.
+A text is a run of tokens: its words and then one end. Training rows fall into
+groups by language, and a text's probability is the marginal over the groups,
+
+    P(text) = sum_k share_k * product over tokens of P_k(t)
+    P_k(t) = (c_k - D_k) / N_k + D_k V_k / N_k * P(t)
+    P(t) = (c - D) / N + D V / N * Q(t)
+
+with c, N and V counted over the training rows (of the group, or of all) and D
+the usual absolute discount n1 / (n1 + 2 n2). The scored row's own language is
+not looked at. Q is the subword lattice: every way to cut the word into pieces
+of an existing vocabulary adds its probability, by a forward recursion in log
+space, so Q is the marginal over all segmentations. The first piece comes from
+the pieces that open a word, the others from the rest, and a stop ends the word,
+so Q sums to one over words and P over tokens. Pieces start with weights after
+the vocabulary's own scores (its rank order, read as a Zipf law) and are fitted
+to the training words by expectation maximisation; the vocabulary itself stays
+as it is. Single bytes are pieces too, so every text has a finite score.
+
+Counts come from all rows. The figures of the most frequent words (at most
+``head_words``, each known by at most 64 bytes, so of a fixed size) are sent to
+the tasks; all other words meet theirs in a shuffle join, in which no key is
+frequent. The ``languages`` most frequent languages have a group of their own,
+all others and null share one.
 
 Null text counts as empty (only the end is scored), a null id trains, repeated
 rows count and are scored each, an empty table gives an empty result. Other
@@ -32,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,9 +46,7 @@ from .common import column, materialize, texts_of
 
 LN10 = math.log(10)
 MARK = "▁"
-COUNTS = "word binary, train bigint, other bigint"
-PARTS = "uid bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, s_base double, s_model double, s_piece double, word binary, tf bigint"
-FLUSH = 400_000
+FLUSH_WORDS, FLUSH_BYTES = 400_000, 1 << 26
 
 
 class Pieces:
@@ -176,22 +180,30 @@ def load_pieces(model_file: str) -> list[tuple[bytes, bool, float]]:
     return out
 
 
-def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    train: Counter = Counter()
-    other: Counter = Counter()
+def word_key(word: bytes) -> bytes:
+    """The word, or a digest where it is long; no word has a blank."""
+    return word if len(word) <= 64 else b" " + xxhash.xxh3_128_digest(word)
+
+
+def count_words(batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.RecordBatch]:
+    """Uses of each word in the training rows of each group, and in the other rows."""
+    counts = [Counter() for _ in range(groups + 1)]
+    held = 0
 
     def out() -> pa.RecordBatch:
-        words = list(train.keys() | other.keys())
-        batch = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([train.get(w, 0) for w in words], pa.int64()), pa.array([other.get(w, 0) for w in words], pa.int64())], names=["word", "train", "other"])
-        train.clear()
-        other.clear()
+        words = list(set().union(*counts))
+        batch = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), *(pa.array([c.get(w, 0) for w in words], pa.int64()) for c in counts)], names=["word", *(f"c{k}" for k in range(groups)), "other"])
+        for c in counts:
+            c.clear()
         return batch
 
     for batch in batches:
-        for text, held in zip(texts_of(batch), column(batch, "held_out").to_pylist(), strict=True):
-            (other if held else train).update(text.split())
-            if len(train) + len(other) > FLUSH:
+        for text, out_of, group in zip(texts_of(batch), column(batch, "held_out").to_pylist(), column(batch, "grp").to_pylist(), strict=True):
+            counts[groups if out_of else group].update(text.lower().split())
+            held += len(text)
+            if held > FLUSH_BYTES or sum(map(len, counts)) > FLUSH_WORDS:
                 yield out()
+                held = 0
     yield out()
 
 
@@ -224,87 +236,115 @@ def fit_pieces(words: DataFrame, pieces: Pieces, rounds: int) -> Pieces:
     return pieces
 
 
-def score_documents(docs: DataFrame, model_file: str, *, head_words: int = 200_000, rounds: int = 2) -> DataFrame:
-    """docs: doc_id, text, held_out. One row for each row of docs; see the module's text."""
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", "text", F.coalesce("held_out", F.lit(False)).alias("held_out"))
-    counted = docs.select("text", "held_out").mapInArrow(count_words, COUNTS).groupBy("word").agg(F.sum("train").alias("train"), F.sum("other").alias("other"))
-    words = materialize(counted, "words")
-    spectrum = words.groupBy(F.least(F.col("train") + F.col("other"), F.lit(100_000)).alias("n")).agg(F.count("*").alias("words")).collect()
-    facts = words.agg(F.sum("train").alias("n"), F.count_if(F.col("train") > 0).alias("v"), F.count_if(F.col("train") == 1).alias("n1"), F.count_if(F.col("train") == 2).alias("n2")).first()
-    ends = docs.filter(~F.col("held_out")).count()
-    total, distinct = (facts["n"] or 0) + ends, (facts["v"] or 0) + (ends > 0)
-    discount = min(0.95, max(0.05, facts["n1"] / (facts["n1"] + 2 * facts["n2"]) if facts["n1"] else 0.5))
-    least, room = 100_001, head_words
-    for r in sorted(spectrum, key=lambda r: -r["n"]):
-        if (room := room - r["words"]) < 0:
+def _discount(ones: int, twos: int) -> float:
+    return min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5
+
+
+def _least_count(spectrum: dict[int, int], room: int) -> int:
+    """Lowest count such that at most ``room`` words have it or more."""
+    least = max(spectrum, default=0) + 1
+    for n in sorted(spectrum, reverse=True):
+        if (room := room - spectrum[n]) < 0:
             break
-        least = r["n"]
+        least = n
+    return least
+
+
+def score_documents(docs: DataFrame, model_file: str, *, head_words: int = 150_000, rounds: int = 2, languages: int = 7) -> DataFrame:
+    """docs: doc_id, text, lang, held_out. One row for each row of docs; see the module's text."""
+    spark = docs.sparkSession
+    docs = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"), F.coalesce("held_out", F.lit(False)).alias("held_out"))
+    by_lang = docs.filter("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    groups = len(by_lang) + 1
+    of_lang = F.lit(groups - 1)
+    for k, r in enumerate(by_lang):
+        of_lang = F.when(F.col("lang") == r["lang"], k).otherwise(of_lang)
+    docs = docs.select("doc_id", "text", "held_out", F.coalesce(of_lang, F.lit(groups - 1)).alias("grp"))
+    cs = [f"c{k}" for k in range(groups)]
+    counted = docs.select("text", "held_out", "grp").mapInArrow(lambda it: count_words(it, groups), "word binary, " + ", ".join(f"{c} bigint" for c in cs) + ", other bigint")
+    train = sum((F.col(c) for c in cs[1:]), F.col(cs[0]))
+    words = materialize(counted.groupBy("word").agg(*(F.sum(c).alias(c) for c in (*cs, "other"))).withColumn("train", train), "words")
+    spectrum = {r["n"]: r["words"] for r in words.groupBy(F.least(F.col("train") + F.col("other"), F.lit(100_000)).alias("n")).agg(F.count("*").alias("words")).collect()}
+    least = _least_count(spectrum, head_words)
+    figures = [f(c).alias(f"{n}_{c}") for c in ("train", *cs) for n, f in (("n", F.sum), ("v", lambda c: F.count_if(F.col(c) > 0)), ("n1", lambda c: F.count_if(F.col(c) == 1)), ("n2", lambda c: F.count_if(F.col(c) == 2)))]
+    facts = words.agg(*figures).first()
+    ended = {r["grp"]: r["count"] for r in docs.filter(~F.col("held_out")).groupBy("grp").count().collect()}
+
+    def law(c: str, ends: int) -> tuple[int, int, float, float]:
+        """Tokens, distinct tokens, discount, and the weight of the law below."""
+        n, v, d = (facts[f"n_{c}"] or 0) + ends, facts[f"v_{c}"] + (ends > 0), _discount(facts[f"n1_{c}"], facts[f"n2_{c}"])
+        return n, v, d, d * v / n if n else 1.0
+
+    ends = sum(ended.values())
+    total, distinct, discount, left = law("train", ends)
+    laws = [law(c, ended.get(k, 0)) for k, c in enumerate(cs)]
+    shares = [math.log10((ended.get(k, 0) + 1) / (ends + groups)) for k in range(groups)]
 
     pieces = fit_pieces(words.filter("train > 0"), Pieces.from_vocabulary(load_pieces(model_file)), rounds)
-    left = discount * distinct / total if total else 1.0
     sent = spark.sparkContext.broadcast((pieces.opening, pieces.inner, pieces.stop))
+    ms = [f"m{k}" for k in range(groups)]
+    sums = ["b", *ms, "q"]
+
+    def own(c: np.ndarray, d: float, n: int) -> np.ndarray:
+        return np.where(c > 0, c - d, 0) / max(n, 1)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, rest = Pieces(*sent.value), math.log(left)
+        model = Pieces(*sent.value)
         for batch in batches:
+            names = column(batch, "word").to_pylist()
             c = column(batch, "train").to_numpy().astype(float)
-            q = model.log_probabilities(column(batch, "word").to_pylist())
-            own = np.where(c > 0, np.log(np.maximum(c - discount, 1e-300) / max(total, 1)), -np.inf)
-            yield pa.RecordBatch.from_arrays([column(batch, "word"), column(batch, "train"), column(batch, "other"), pa.array(np.log10(c + 1)), pa.array(np.logaddexp(own, rest + q) / LN10), pa.array(q / LN10)], names=["word", "train", "other", "b", "m", "q"])
-
-    weighed = materialize(words.mapInArrow(weigh, "word binary, train bigint, other bigint, b double, m double, q double"), "weighed")
-    frequent = (F.col("train") + F.col("other") >= least) & (F.octet_length("word") <= 64)
-    head = weighed.filter(frequent).select("word", "train", "b", "m", "q").toArrow()
-    known = {w: (t > 0, b, m, q) for w, t, b, m, q in zip(*(head.column(k).to_pylist() for k in ("word", "train", "b", "m", "q")), strict=True)}
-    sent_head = spark.sparkContext.broadcast(known)
-    end_model = math.log10(max(ends - discount, 1e-300) / total) if ends else 0.0
-    end_base = math.log10(ends + 1)
+            q = model.log_probabilities(names)
+            with np.errstate(divide="ignore"):
+                p = np.logaddexp(np.log(own(c, discount, total)), math.log(left) + q)
+                m = [np.logaddexp(np.log(own(column(batch, k).to_numpy().astype(float), d, n)), math.log(rest) + p) / LN10 for k, (n, _, d, rest) in zip(cs, laws, strict=True)]
+            known = [pa.array(list(map(word_key, names)), pa.binary()), column(batch, "train"), column(batch, "other")]
+            yield pa.RecordBatch.from_arrays([*known, *map(pa.array, (np.log10(c + 1), *m, q / LN10))], names=["word", "train", "other", *sums])
+
+    weighed = materialize(words.mapInArrow(weigh, "word binary, train bigint, other bigint, " + ", ".join(f"{x} double" for x in sums)), "weighed")
+    frequent = F.col("train") + F.col("other") >= least
+    head = weighed.filter(frequent).select("word", (F.col("train") > 0).cast("double").alias("known"), *sums).toArrow()  # head_words rows at most
+    sent_head = spark.sparkContext.broadcast(({w: i for i, w in enumerate(head.column("word").to_pylist())}, np.stack([head.column(c).to_numpy() for c in ("known", *sums)], axis=1)))
+    end_all = max(ends - discount, 1e-300) / max(total, 1)
+    end = [float(ends > 0), math.log10(ends + 1), *(math.log10(own(np.array(float(ended.get(k, 0))), d, n) + rest * end_all) for k, (n, _, d, rest) in enumerate(laws)), 0.0]
+    totals = ["n_known", *sums]
+    parts_of = ["uid bigint", "doc_id " + dict(docs.dtypes)["doc_id"], "held_out boolean", "n_tokens bigint", *(f"{x} double" for x in totals), "word binary", "tf bigint"]
+    kinds = spark.createDataFrame([], ", ".join(parts_of)).schema
+    fields = pa.schema([pa.field(f.name, {"long": pa.int64(), "double": pa.float64(), "binary": pa.binary(), "boolean": pa.bool_(), "integer": pa.int32(), "string": pa.string()}[f.dataType.typeName()]) for f in kinds])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, part, at = sent_head.value, TaskContext.get().partitionId() << 40, 0
+        """A row for each document with the sums over its frequent words, and one for each of its other words."""
+        (places, table), base = sent_head.value, TaskContext.get().partitionId() << 40
+        at, rows = 0, []
         for batch in batches:
-            rows: list[list] = [[] for _ in range(10)]
-            for doc, held, text in zip(column(batch, "doc_id").to_pylist(), column(batch, "held_out").to_pylist(), texts_of(batch), strict=True):
-                words, uid = Counter(text.split()), part + at
+            for doc, out_of, text in zip(column(batch, "doc_id").to_pylist(), column(batch, "held_out").to_pylist(), texts_of(batch), strict=True):
+                words, uid = Counter(map(word_key, text.lower().split())), base + at
                 at += 1
-                n_tokens, n_known, base, model, piece, rare = 1, int(ends > 0), end_base, end_model, 0.0, []
-                for w, tf in words.items():
-                    n_tokens += tf
-                    if (x := known.get(w)) is None:
-                        rare.append((w, tf))
-                    else:
-                        n_known += tf * x[0]
-                        base += tf * x[1]
-                        model += tf * x[2]
-                        piece += tf * x[3]
-                rows[0] += [uid] * (1 + len(rare))
-                for k, v in enumerate((doc, held, n_tokens, n_known, base, model, piece), 1):
-                    rows[k] += [v, *[None] * len(rare)]
-                rows[8] += [None, *[w for w, _ in rare]]
-                rows[9] += [None, *[tf for _, tf in rare]]
-                if len(rows[0]) > 100_000:
-                    yield made(rows)
-                    rows = [[] for _ in range(10)]
-            yield made(rows)
-
-    def made(rows: list[list]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.binary(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], names=[x.split()[0] for x in PARTS.split(", ")])
-
-    parts = materialize(docs.mapInArrow(score, PARTS), "parts")
-    rare = (
-        parts.filter("word is not null").select("uid", "word", "tf").join(weighed.filter(~frequent).select("word", "train", "b", "m", "q"), "word")
-        .groupBy("uid").agg(F.sum(F.when(F.col("train") > 0, F.col("tf")).otherwise(0)).alias("r_known"), F.sum(F.col("tf") * F.col("b")).alias("r_base"), F.sum(F.col("tf") * F.col("m")).alias("r_model"), F.sum(F.col("tf") * F.col("q")).alias("r_piece"))
-    )
-    or0 = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return parts.filter("word is null").join(rare, "uid", "left").select(
+                found = [i for w in words if (i := places.get(w)) is not None]
+                uses = np.fromiter((n for w, n in words.items() if w in places), float, len(found))
+                values = end + uses @ table[found] if found else end
+                rows.append((uid, doc, out_of, 1 + words.total(), *map(float, values), None, None))
+                if len(found) < len(words):
+                    rows += [(uid, *[None] * (3 + len(totals)), w, n) for w, n in words.items() if w not in places]
+                if len(rows) > 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True)], schema=fields)
+                    rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True)], schema=fields)
+
+    parts = materialize(docs.mapInArrow(score, kinds), "parts")
+    others = weighed.filter(~frequent).select("word", (F.col("train") > 0).cast("double").alias("n_known"), *sums)
+    rare = parts.filter("word is not null").select("uid", "word", "tf").join(others, "word").groupBy("uid").agg(*(F.sum(F.col("tf") * F.col(x)).alias(f"r_{x}") for x in totals))
+    both = parts.filter("word is null").join(rare, "uid", "left").select("doc_id", "held_out", "n_tokens", *((F.col(x) + F.coalesce(f"r_{x}", F.lit(0.0))).alias(x) for x in totals))
+    ways = F.array(*(F.col(m) + F.lit(s) for m, s in zip(ms, shares, strict=True)))
+    best = F.array_max("ways")
+    marginal = best + F.log10(F.aggregate("ways", F.lit(0.0), lambda t, x: t + F.pow(F.lit(10.0), x - best)))
+    return both.withColumn("ways", ways).select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("n_known") + or0("r_known")).alias("n_known"),
+        F.round("n_known").cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("s_base") + or0("r_base") - F.col("n_tokens") * F.lit(math.log10(total + distinct + 1))).alias("base_score"),
-        (F.col("s_model") + or0("r_model")).alias("score"),
-        (F.col("s_piece") + or0("r_piece")).alias("piece_score"),
+        (F.col("b") - F.col("n_tokens") * F.lit(math.log10(total + distinct + 1))).alias("base_score"),
+        marginal.alias("score"),
+        F.col("q").alias("piece_score"),
     )

@@ -1,15 +1,19 @@
 """Ordinal cumulative-link regression on graded ratings (operator 5).
 
 P(grade > k) = sigmoid(w.x - b_k) with one weight vector for all grades and
-ordered thresholds b_0 < b_1 < ...; x are the hashed words of the whole text.
-From the model come the expected grade and the probability of the top grade,
-by which documents are selected.
-
-The model is fitted on at most ``fit_rows`` rated documents, chosen by a hash
-of their id; every document is scored. Null or empty text has no words and gets
-the thresholds' own probabilities. A document with several ratings has the
-lowest. Ratings of unknown documents and null ratings are left out; without
-ratings there is nothing to fit and grades are null.
+ordered thresholds b_0 < b_1 < ...; x are the hashed distinct words of the whole
+text, the signs that trail its words, and whether it has words in capitals. From
+the model come the expected grade and the probability of the top grade, by which
+documents are kept.
+
+Weights are fitted by adaptive gradient steps with an L1 penalty, so that a
+feature with no steady bearing on the grade has no weight and a long text's many
+common words add no noise. The model is fitted on at most ``fit_rows`` rated
+documents, chosen by a hash of their id; every document is scored. Null or empty
+text has no features and gets the thresholds' own probabilities. A document with
+several ratings has the lowest. Ratings of unknown documents and null ratings are
+left out; without ratings of two grades there is nothing to fit and the figures
+are null. Rows that repeat are scored each. Other columns are left out.
 """
 
 from __future__ import annotations
@@ -24,89 +28,99 @@ from pyspark.sql import functions as F
 
 from .common import column, materialize, texts_of
 
+EDGE = b".,;:!?()[]\"'|"
+SIGNS = EDGE + b"#*$%&<>"
 
-def word_indices(text: bytes, bits: int) -> np.ndarray:
-    """Hashed distinct words, without case and outer punctuation."""
-    crc, mask = zlib.crc32, (1 << bits) - 1
-    return np.unique(np.fromiter((crc(w.strip(b".,;:!?()[]\"'|")) & mask for w in set(text.lower().split())), np.int32))
+
+def text_features(text: bytes, bits: int) -> np.ndarray:
+    """Hashed features of a text."""
+    crc, out = zlib.crc32, set()
+    for w in set(text.split()):
+        core = w.strip(EDGE)
+        out.add(crc(core.lower()))
+        if trail := w[len(w.rstrip(SIGNS)) :]:
+            out.add(crc(b"\0trail" + trail))
+        if len(core) > 1 and core.isupper():
+            out.add(crc(b"\0capitals"))
+    return np.unique(np.fromiter(out, np.int64, len(out)) & ((1 << bits) - 1))
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
+def _ordered(free: np.ndarray) -> np.ndarray:
+    """Thresholds: the first one and positive steps."""
+    return np.concatenate([free[:1], free[0] + np.cumsum(np.exp(free[1:]))])
+
+
 class CumulativeLink:
     def __init__(self, weights: np.ndarray, cuts: np.ndarray, bits: int):
         self.weights, self.cuts, self.bits = weights, cuts, bits
 
-    def tails(self, indices: np.ndarray) -> np.ndarray:
+    def tails(self, features: np.ndarray) -> np.ndarray:
         """P(grade > k) for each k."""
-        score = float(self.weights[indices].sum()) / np.sqrt(max(1, len(indices)) ** 0.5)
-        return _sigmoid(score - self.cuts)
+        return _sigmoid(float(self.weights[features].sum()) - self.cuts)
 
     @classmethod
-    def fit(cls, rows: list[np.ndarray], grades: np.ndarray, n_grades: int, bits: int, *, passes: int = 25, rate: float = 0.05, decay: float = 2e-5, seed: int = 5) -> CumulativeLink:
-        """Adagrad on the exact cumulative-link likelihood; thresholds are a first one and positive steps."""
+    def fit(cls, rows: list[np.ndarray], grades: np.ndarray, n_grades: int, bits: int, *, passes: int = 25, rate: float = 0.1, sparsity: float = 0.09, least_rows: int = 3, seed: int = 5) -> CumulativeLink:
+        """The exact cumulative-link likelihood, by adaptive steps; features of fewer than ``least_rows`` rows have no weight."""
         rng, n = np.random.default_rng(seed), len(rows)
-        w, gw = np.zeros(1 << bits), np.full(1 << bits, 1e-3)
+        found_in = np.bincount(np.concatenate(rows), minlength=1 << bits)
+        rows = [r[found_in[r] >= least_rows] for r in rows]
+        w, w_sum = np.zeros(1 << bits), np.full(1 << bits, 1e-2)
         share = np.clip([(grades > k).mean() for k in range(n_grades - 1)], 1e-3, 1 - 1e-3)
         start = -np.log(share / (1 - share))
         free = np.concatenate([start[:1], np.log(np.maximum(np.diff(start), 0.05))])
-        gf = np.full(len(free), 1e-3)
-        scale = np.array([1 / np.sqrt(max(1, len(r)) ** 0.5) for r in rows])
+        free_sum = np.full(len(free), 1e-2)
         for _ in range(passes):
-            for part in np.array_split(rng.permutation(n), max(1, n // 64)):
-                idx = np.concatenate([rows[i] for i in part]) if len(part) else np.empty(0, np.int32)
-                sizes = np.array([len(rows[i]) for i in part])
-                owner = np.repeat(np.arange(len(part)), sizes)
-                s = np.bincount(owner, w[idx], len(part)) * scale[part]
-                cuts = np.concatenate([free[:1], free[0] + np.cumsum(np.exp(free[1:]))])
-                g = grades[part]
-                above = np.concatenate([np.ones((len(part), 1)), _sigmoid(s[:, None] - cuts), np.zeros((len(part), 1))], axis=1)
-                row = np.arange(len(part))
-                hi, lo = above[row, g], above[row, g + 1]
-                p = np.maximum(hi - lo, 1e-9)
-                slope = above * (1 - above)  # derivative of each tail by the score
-                ds = -(slope[row, g] - slope[row, g + 1]) / p
-                db = np.zeros(len(cuts) + 2)
-                np.add.at(db, g, slope[row, g] / p)
-                np.add.at(db, g + 1, -slope[row, g + 1] / p)
-                db = db[1:-1] / len(part)
-                df = np.concatenate([[db.sum()], np.cumsum(db[::-1])[::-1][1:] * np.exp(free[1:])])
-                own, back = np.unique(idx, return_inverse=True)
-                dw = np.bincount(back, (ds * scale[part])[owner], len(own)) / len(part) + decay * w[own]
-                gw[own] += dw**2
-                w[own] -= rate * dw / np.sqrt(gw[own])
-                gf += df**2
-                free -= rate * df / np.sqrt(gf)
-        return cls(w, np.concatenate([free[:1], free[0] + np.cumsum(np.exp(free[1:]))]), bits)
-
-
-def grade_documents(docs: DataFrame, ratings: DataFrame, *, n_grades: int = 3, fit_rows: int = 12_000, bits: int = 18, select_tail: float = 0.5, seed: int = 5) -> DataFrame:
-    """docs: doc_id, text; ratings: doc_id, grade from 0 to n_grades - 1. Grade probabilities and selection for each row of docs."""
+            for part in np.array_split(rng.permutation(n), max(1, n // 32)):
+                features = np.concatenate([rows[i] for i in part])
+                owner = np.repeat(np.arange(len(part)), [len(rows[i]) for i in part])
+                score, g, row = np.bincount(owner, w[features], len(part)), grades[part], np.arange(len(part))
+                above = np.concatenate([np.ones((len(part), 1)), _sigmoid(score[:, None] - _ordered(free)), np.zeros((len(part), 1))], axis=1)
+                slope, p = above * (1 - above), np.maximum(above[row, g] - above[row, g + 1], 1e-9)
+                by_cut = np.zeros(n_grades + 1)
+                np.add.at(by_cut, g, slope[row, g] / p)
+                np.add.at(by_cut, g + 1, -slope[row, g + 1] / p)
+                by_cut = by_cut[1:-1]
+                by_free = np.concatenate([[by_cut.sum()], np.cumsum(by_cut[::-1])[::-1][1:] * np.exp(free[1:])])
+                own, back, uses = np.unique(features, return_inverse=True, return_counts=True)
+                by_w = np.bincount(back, (-(slope[row, g] - slope[row, g + 1]) / p)[owner], len(own))
+                w_sum[own] += by_w**2
+                step = rate / np.sqrt(w_sum[own])
+                moved = w[own] - step * by_w
+                w[own] = np.sign(moved) * np.maximum(np.abs(moved) - step * sparsity * np.sqrt(uses), 0)
+                free_sum += by_free**2
+                free -= rate * by_free / np.sqrt(free_sum)
+        return cls(w, _ordered(free), bits)
+
+
+def grade_documents(docs: DataFrame, ratings: DataFrame, *, n_grades: int = 3, fit_rows: int = 12_000, bits: int = 18, keep_tail: float = 0.5, seed: int = 5) -> DataFrame:
+    """docs: doc_id, text; ratings: doc_id, grade from 0 to n_grades - 1. Grade probabilities and verdict for each row of docs."""
     spark = docs.sparkSession
     rated = ratings.filter("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
     chosen = materialize(rated.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(fit_rows), "rated")
+    kind = dict(docs.dtypes)["doc_id"]
     # at most fit_rows rows are broadcast
-    fit = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(lambda it: _hashed(it, bits), "grade int, indices array<int>").toArrow()
+    fit = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(lambda it: _hashed(it, bits), f"doc_id {kind}, grade int, features array<bigint>").toArrow().sort_by("doc_id")
     grades = fit["grade"].to_numpy()
     if not len(grades) or len(set(grades.tolist())) < 2:
-        return docs.select("doc_id", F.lit(None).cast("double").alias("expected_grade"), F.lit(None).cast("double").alias("tail_probability"), F.lit(None).cast("double").alias("low_probability"), F.lit(None).cast("boolean").alias("selected"))
-    indices = [np.asarray(x, np.int32) for x in fit["indices"].to_numpy()]
-    model = CumulativeLink.fit(indices, np.clip(grades, 0, n_grades - 1), n_grades, bits, seed=seed)
+        return docs.select("doc_id", F.lit(None).cast("double").alias("expected_grade"), F.lit(None).cast("double").alias("tail_probability"), F.lit(None).cast("double").alias("low_probability"), F.lit(None).cast("boolean").alias("kept"))
+    features = [np.asarray(x, np.int64) for x in fit["features"].to_numpy()]
+    model = CumulativeLink.fit(features, np.clip(grades, 0, n_grades - 1), n_grades, bits, seed=seed)
     sent = spark.sparkContext.broadcast((model.weights.astype(np.float32), model.cuts, bits))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = CumulativeLink(*sent.value)
         for batch in batches:
-            tails = np.array([model.tails(word_indices(t, model.bits)) for t in texts_of(batch)]).reshape(-1, len(model.cuts))
+            tails = np.array([model.tails(text_features(t, model.bits)) for t in texts_of(batch)]).reshape(-1, len(model.cuts))
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(tails.sum(axis=1)), pa.array(tails[:, -1]), pa.array(1 - tails[:, 0])], names=["doc_id", "expected_grade", "tail_probability", "low_probability"])
 
-    kind = dict(docs.dtypes)["doc_id"]
     scored = docs.select("doc_id", "text").mapInArrow(score, f"doc_id {kind}, expected_grade double, tail_probability double, low_probability double")
-    return scored.withColumn("selected", F.col("tail_probability") >= select_tail)
+    return scored.withColumn("kept", F.col("tail_probability") >= keep_tail)
 
 
 def _hashed(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([column(batch, "grade"), pa.array([word_indices(t, bits) for t in texts_of(batch)], pa.list_(pa.int32()))], names=["grade", "indices"])
+        yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "grade"), pa.array([text_features(t, bits) for t in texts_of(batch)], pa.list_(pa.int64()))], names=["doc_id", "grade", "features"])

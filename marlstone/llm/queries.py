@@ -30,7 +30,7 @@ def tokenizer_file(name: str) -> str:
 
 def op1_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held.alias("held_out"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held.alias("held_out"))
     return score_documents(docs, tokenizer_file("piece_bpe_32k.model"))
 
 
