@@ -11,12 +11,14 @@ are the connected components of the links.
 2. Documents with one fingerprint have one set: they are one class, and only
    classes go on. Copies therefore cost one row each and never meet in pairs.
 3. A band key shared by several classes is a bucket. Each member is first held
-   against the bucket's centre, chosen by a hash, so a bucket of n members
-   makes n - 1 pairs. Full sets decide.
-4. In buckets that still hold more than one component, the members outside the
-   bucket's largest component are held against the members of the others. After
-   that every bucket pair is either in one component or was refuted on full
-   sets, so no candidate link is lost and no group is expanded into all pairs.
+   against the bucket's centre, the member that meets most others, so a bucket of
+   n members makes n - 1 pairs. Full sets decide.
+4. Members of buckets that still hold more than one component meet again by
+   their rarest shingles: the first quarter of a set, rarest first, has a shingle
+   of the first quarter of every linked set, so no candidate link is lost, while
+   passages that many documents share come last and bring no pairs. In each of
+   these groups only members outside the largest component look for partners.
+   After that every bucket pair is either in one component or is no link.
 
 At 0.75 a pair shares no band with probability (1 - 0.75**4)**32 = 5e-6.
 Sets are only built again for the classes in candidate pairs: a table of at
@@ -35,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import column, materialize, texts_of
@@ -43,8 +45,6 @@ from .common import column, materialize, texts_of
 COORDINATES, BAND_ROWS = 128, 4
 BANDS = COORDINATES // BAND_ROWS
 UNIVERSE = 1 << 20
-#: Buckets of one band group share a centre order, so a large group meets few centres.
-CENTRE_ORDERS = 4
 FILTER_BITS = 20
 SIGNED = "doc_id bigint, n_shingles bigint, set_id binary, bands array<bigint>"
 
@@ -142,15 +142,18 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of set ids that are linked on full sets."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+def _sets(ids: DataFrame, docs: DataFrame, signed: DataFrame) -> DataFrame:
+    """Full sets (set_id, shingles) of the set ids."""
     first = signed.filter("set_id is not null").groupBy("set_id").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("doc_id"))
-    wanted = ids.join(first, "set_id").select("doc_id", "set_id")
     spot = F.xxhash64(F.coalesce("doc_id", F.lit(-1))).bitwiseAND((1 << FILTER_BITS) - 1)
-    spots = wanted.select(spot.alias("spot")).distinct()  # 2**20 rows at most
+    spots = ids.join(first, "set_id").select(spot.alias("spot")).distinct()  # 2**20 rows at most
     texts = docs.select("doc_id", "text", spot.alias("spot")).join(F.broadcast(spots), "spot", "left_semi").select("text")
-    sets = materialize(texts.mapInArrow(full_sets, "set_id binary, shingles binary").filter("set_id is not null").join(ids, "set_id", "left_semi").groupBy("set_id").agg(F.max("shingles").alias("shingles")), "sets")
+    built = texts.mapInArrow(full_sets, "set_id binary, shingles binary").filter("set_id is not null").join(ids, "set_id", "left_semi")
+    return materialize(built.groupBy("set_id").agg(F.max("shingles").alias("shingles")), "sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of set ids that are linked on full sets."""
     both = pairs.join(sets.withColumnsRenamed({"set_id": "a", "shingles": "sa"}), "a").join(sets.withColumnsRenamed({"set_id": "b", "shingles": "sb"}), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,6 +164,71 @@ def _verified(pairs: DataFrame, docs: DataFrame, signed: DataFrame, percent: int
     return both.select("a", "b", "sa", "sb").mapInArrow(verify, "a binary, b binary")
 
 
+def _uses(sets: DataFrame) -> np.ndarray:
+    """How often shingles of each of 2**20 slots occur, a table of a fixed size."""
+    slots = 1 << FILTER_BITS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(slots, np.int64)
+        for batch in batches:
+            for x in column(batch, "shingles").to_pylist():
+                np.add.at(n, (np.frombuffer(x, np.uint64) & np.uint64(slots - 1)).astype(np.int64), 1)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["slot", "n"])
+
+    found = sets.mapInArrow(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(slots, np.int64)
+    out[found["slot"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
+def prefix_of(shingles: np.ndarray, uses: np.ndarray, percent: int) -> np.ndarray:
+    """The rarest shingles of a set, rarest first, of which every linked set has one among its own."""
+    order = np.lexsort((shingles, uses[(shingles & np.uint64(len(uses) - 1)).astype(np.int64)]))
+    return shingles[order[: len(shingles) + (percent * len(shingles)) // -100 + 1]]
+
+
+def _rare_pairs(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets of different components that can be linked: they share a shingle among the rarest of both.
+
+    placed: set_id, part. Two linked sets have so many shingles in common that
+    whatever the order of shingles, the first ones of both can't all differ.
+    Common passages come last in the order and bring no pairs.
+    """
+    sent = sets.sparkSession.sparkContext.broadcast(_uses(sets))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [[], [], [], [], []]
+            for i, (name, part, x) in enumerate(zip(column(batch, "set_id").to_pylist(), column(batch, "part").to_pylist(), column(batch, "shingles").to_pylist(), strict=True)):
+                keys = prefix_of(np.frombuffer(x, np.uint64), sent.value, percent)
+                rows[0].append(keys.view(np.int64))
+                rows[1] += [name] * len(keys)
+                rows[2] += [part] * len(keys)
+                rows[3].append(np.full(len(keys), len(x) // 8))
+                rows[4].append(np.arange(len(keys)))
+                if len(rows[1]) > 200_000 or i == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows[0])), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary()), pa.array(np.concatenate(rows[3])), pa.array(np.concatenate(rows[4]))], names=["rare", "set_id", "part", "n", "pos"])
+                    rows = [[], [], [], [], []]
+
+    listed = materialize(sets.join(placed, "set_id").mapInArrow(prefixes, "rare bigint, set_id binary, part binary, n bigint, pos bigint"), "prefixes")
+    sizes = listed.groupBy("rare", "part").agg(F.count("*").alias("k"))
+    mixed = sizes.groupBy("rare").agg(F.max(F.struct("k", "part")).alias("top"), F.count("*").alias("parts")).filter("parts > 1").select("rare", F.col("top.part").alias("main"))
+    met = materialize(listed.join(mixed, "rare"), "rare")
+    x = met.filter("part <> main").select("rare", *(F.col(c).alias(f"x_{c}") for c in ("set_id", "part", "n", "pos")))
+    y = met.select("rare", *(F.col(c).alias(f"y_{c}") for c in ("set_id", "part", "n", "pos")), (F.col("part") == F.col("main")).alias("y_main"))
+    # from the first shingle that both have, either must go on long enough to hold the overlap that a link needs
+    left = F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos"))
+    close = left * (100 + percent) >= (F.col("x_n") + F.col("y_n")) * percent
+    pairs = x.join(y, "rare").filter((F.col("x_part") != F.col("y_part")) & close & (F.col("y_main") | (F.col("x_set_id") < F.col("y_set_id"))))
+    return pairs.select(F.least("x_set_id", "y_set_id").alias("a"), F.greatest("x_set_id", "y_set_id").alias("b")).distinct()
+
+
+def _sized(x: Column, y: Column, percent: int) -> Column:
+    """Whether sets of these sizes can be linked at all."""
+    return F.least(x, y) * 100 >= F.greatest(x, y) * percent
+
+
 def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
     """Smallest reachable node for each node of the links (a, b), by label propagation with pointer jumping."""
     edges = materialize(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
@@ -182,27 +250,25 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = materialize(docs.mapInArrow(sign, SIGNED), "signed")
     members = signed.filter("set_id is not null").select("set_id", "n_shingles", F.explode("bands").alias("bucket")).distinct()
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("set_id", F.col("bucket").bitwiseAND(CENTRE_ORDERS - 1)).alias("order"), "set_id", "n_shingles")).alias("centre")).filter("n > 1")
-    buckets = materialize(members.join(shared.select("bucket", F.col("centre.set_id").alias("centre"), F.col("centre.n_shingles").alias("n_centre")), "bucket"), "buckets")
-    sized = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * percent)
-    pair = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
-    stars = materialize(buckets.filter(F.col("set_id") != F.col("centre")).filter(sized(F.col("n_shingles"), F.col("n_centre"))).select(F.col("set_id").alias("x"), F.col("centre").alias("y")).select(*pair).distinct(), "stars")
-    links = materialize(_verified(stars, docs, signed, percent), "links")
+    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    buckets = materialize(members.join(shared, "bucket"), "buckets")
+    weights = buckets.groupBy("set_id").agg(F.sum("n").alias("weight"))
+    centres = buckets.join(weights, "set_id").groupBy("bucket").agg(F.max(F.struct("weight", "set_id", "n_shingles")).alias("centre"))
+    met = buckets.join(centres, "bucket").filter((F.col("set_id") != F.col("centre.set_id")) & _sized(F.col("n_shingles"), F.col("centre.n_shingles"), percent))
+    stars = materialize(met.select(F.least("set_id", "centre.set_id").alias("a"), F.greatest("set_id", "centre.set_id").alias("b")).distinct(), "stars")
+    ids = stars.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+    links = materialize(_verified(stars, _sets(ids, docs, signed), percent), "links")
     near = components(links)
 
-    # buckets with more than one component left: all but the largest against the others
-    placed = buckets.join(near.withColumnRenamed("node", "set_id"), "set_id", "left").select("bucket", "set_id", "n_shingles", F.coalesce("label", "set_id").alias("part"))
-    parts = placed.groupBy("bucket", "part").agg(F.count("*").alias("n"))
-    largest = parts.groupBy("bucket").agg(F.max(F.struct("n", "part")).alias("top"), F.count("*").alias("parts")).filter("parts > 1").select("bucket", F.col("top.part").alias("main"))
-    mixed = materialize(placed.join(largest, "bucket"), "mixed")
-    probes = mixed.filter(F.col("part") != F.col("main")).select("bucket", F.col("set_id").alias("x"), F.col("part").alias("x_part"), F.col("n_shingles").alias("x_n"))
-    others = mixed.select("bucket", F.col("set_id").alias("y"), F.col("part").alias("y_part"), F.col("n_shingles").alias("y_n"), (F.col("part") == F.col("main")).alias("y_main"))
-    met = probes.join(others, (probes["bucket"] == others["bucket"]) & (F.col("x_part") != F.col("y_part")) & sized(F.col("x_n"), F.col("y_n")) & (F.col("y_main") | (F.col("x") < F.col("y"))))
-    rest = materialize(met.select(*pair).distinct().join(stars, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        more = materialize(_verified(rest, docs, signed, percent), "more-links")
-        if not more.isEmpty():
-            near = components(links.union(more))
+    placed = buckets.join(near.withColumnRenamed("node", "set_id"), "set_id", "left").select("bucket", "set_id", F.coalesce("label", "set_id").alias("part"))
+    mixed = placed.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("bucket")
+    open_sets = materialize(placed.join(mixed, "bucket", "left_semi").select("set_id", "part").distinct(), "open")
+    if not open_sets.isEmpty():
+        sets = _sets(open_sets.select("set_id"), docs, signed)
+        rest = materialize(_rare_pairs(open_sets, sets, percent), "rest")
+        found = materialize(_verified(rest, sets, percent), "rest-links")
+        if not found.isEmpty():
+            near = components(links.union(found))
 
     classes = signed.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"))
     grouped = classes.join(near.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", "least", F.coalesce("label", "set_id").alias("part"))
