@@ -2,13 +2,16 @@
 
 A node is cut across its widest metadata dimension at the weighted median of
 that dimension, the weight being the row's bytes, until there are as many
-leaves as asked for (or leaves of at most the target bytes). Dimensions are
-size, language, source and id, each scaled to one range, so "widest" compares
-like with like; ties go to the first in that order. All nodes of a level are
-cut together: a job sums the bytes of at most ``BINS`` intervals a node, the
-interval that holds the median is cut again, and the driver only sees those
-sums. Rows with one value are parted by a hash of the row, so that a hot source
-or a large group of copies never has to stay in one leaf.
+leaves as asked for (or leaves of at most the target bytes, but for a single
+larger row). Dimensions are size, language, source and id, each scaled to one
+range, so "widest" compares like with like; ties go to the first in that order.
+Rows with one value are parted by a hash of the row, so that a hot source or a
+large group of copies never has to stay in one leaf.
+
+All nodes of a level are cut together, whatever their number: the bytes of at
+most ``BINS`` intervals a node are summed, the interval that holds the median is
+cut again, and so on until it is small enough. What is known of the nodes stays
+in tables of a row for each node, which are broadcast while they are small.
 
 An odd number of leaves is cut in proportion. Null text has no bytes, a null
 dimension sorts first, repeated rows are placed each, an empty table gives an
@@ -17,7 +20,7 @@ empty result; other columns are left out.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -27,6 +30,8 @@ BINS = 1024
 #: Values of a dimension take 36 bits, the row's hash 24 more.
 RANGE, TIE = 1 << 36, 1 << 24
 DIMS = ("size", "lang", "source", "id")
+#: Tables of at most so many nodes are broadcast.
+BROADCAST_NODES = 100_000
 
 
 def _items(docs: DataFrame) -> DataFrame:
@@ -52,51 +57,36 @@ def _items(docs: DataFrame) -> DataFrame:
     return materialize(raw.withColumns(out).select("uid", "doc_id", "size", "text_crc32", *out), "coordinates")
 
 
-def _first_true(ways: dict[int, Column]) -> Column:
-    out = F.lit(0)
-    for n, way in ways.items():
-        out = F.when(way, F.lit(n)).otherwise(out)
-    return out
-
-
-def _choose(node: str, values: dict[int, object], default: object = None) -> Column:
-    """The value for each row's node."""
-    out = F.lit(default)
-    for n, v in values.items():
-        out = F.when(F.col(node) == n, v if isinstance(v, Column) else F.lit(v)).otherwise(out)
-    return out
-
-
-def _cut(items: DataFrame, node: Column, leaves: dict[int, int], tolerance: float) -> dict[int, tuple[str, int]]:
-    """For each node with two leaves or more: its widest dimension, and the largest coordinate that goes left."""
-    placed = items.withColumn("node", node).filter(F.col("node").isin([n for n, k in leaves.items() if k > 1]))
-    spans = placed.groupBy("node").agg(F.sum("size").alias("bytes"), *(f(f"k_{d}").alias(f"{n}_{d}") for d in DIMS for n, f in (("lo", F.min), ("hi", F.max)))).collect()
-    found: dict[int, tuple[str, int]] = {}
-    active: dict[int, dict] = {}
-    for r in spans:
-        dim = max(DIMS, key=lambda d: (r[f"hi_{d}"] // TIE - r[f"lo_{d}"] // TIE, -DIMS.index(d)))
-        k = leaves[r["node"]]
-        active[r["node"]] = {"dim": dim, "lo": r[f"lo_{dim}"], "hi": r[f"hi_{dim}"], "before": 0, "goal": r["bytes"] * (k // 2) / k, "slack": r["bytes"] * tolerance}
-    while active:
-        key = _choose("node", {n: F.col(f"k_{a['dim']}") for n, a in active.items()}).cast("long")
-        lo, hi = (_choose("node", {n: a[x] for n, a in active.items()}).cast("long") for x in ("lo", "hi"))
-        step = _choose("node", {n: (a["hi"] - a["lo"]) // BINS + 1 for n, a in active.items()}).cast("long")
-        bins: dict[int, list] = {}
-        counted = placed.filter(F.col("node").isin(list(active))).select("node", "size", key.alias("key"), lo.alias("lo"), hi.alias("hi"), step.alias("step")).filter("key between lo and hi")
-        for r in counted.groupBy("node", F.expr("(key - lo) div step").alias("bin")).agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"), F.min("key").alias("least"), F.max("key").alias("most")).collect():
-            bins.setdefault(r["node"], []).append((r["bin"], r["bytes"], r["rows"], r["least"], r["most"]))
-        for n in list(active):
-            a, before = active[n], active[n]["before"]
-            for _, size, rows, least, most in sorted(bins.get(n, [])):  # noqa: B007
-                if before + size >= a["goal"]:
-                    break
-                before += size
-            if rows == 1 or size <= a["slack"] or least == most:  # the whole interval goes to the side it overshoots less
-                right = a["goal"] - before < before + size - a["goal"]
-                found[n] = (a["dim"], least - 1 if right else most)
-                del active[n]
-            else:  # a single value of a hot source shrinks to the range of its hashes at once
-                active[n] |= {"lo": least, "hi": most, "before": before}
+def _near(nodes: DataFrame, count: int) -> DataFrame:
+    return F.broadcast(nodes) if count <= BROADCAST_NODES else nodes
+
+
+def _cuts(items: DataFrame, nodes: int, tolerance: float) -> DataFrame:
+    """first, dim, cut for each node of two leaves or more: its widest dimension and the largest coordinate that goes left."""
+    ends = [f(f"k_{d}").alias(f"{n}_{d}") for d in DIMS for n, f in (("lo", F.min), ("hi", F.max))]
+    spans = items.filter("leaves > 1").groupBy("first", "leaves").agg(F.sum("size").alias("bytes"), *ends)
+    width = lambda d: F.expr(f"hi_{d} div {TIE} - lo_{d} div {TIE}")
+    widest = F.array_max(F.array(*(F.struct(width(d).alias("w"), F.lit(-i).alias("i"), F.col(f"lo_{d}").alias("lo"), F.col(f"hi_{d}").alias("hi")) for i, d in enumerate(DIMS))))
+    goal = F.col("bytes") * F.floor(F.col("leaves") / 2) / F.col("leaves")
+    active = spans.withColumn("x", widest).select("first", (1 - F.col("x.i")).alias("dim"), "x.lo", "x.hi", F.lit(0).cast("long").alias("before"), goal.alias("goal"), (F.col("bytes") * tolerance).alias("slack"))
+    active, found = materialize(active, "active"), None
+    while not active.isEmpty():
+        key = F.element_at(F.array(*(f"k_{d}" for d in DIMS)), F.col("dim"))
+        inside = items.select("first", "size", *(f"k_{d}" for d in DIMS)).join(_near(active, nodes), "first").withColumn("key", key).filter("key between lo and hi")
+        by = ["first", "dim", "before", "goal", "slack"]
+        bins = inside.groupBy(*by, F.expr(f"(key - lo) div ((hi - lo) div {BINS} + 1)").alias("bin")).agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"), F.min("key").alias("least"), F.max("key").alias("most"))
+        order = W.partitionBy("first").orderBy("bin")
+        summed = bins.withColumns({"upto": F.col("before") + F.sum("bytes").over(order), "last": F.lead("bin").over(order).isNull()})
+        held = summed.filter(F.col("last") | (F.col("upto") >= F.col("goal"))).groupBy(*by).agg(F.min_by(F.struct("bytes", "rows", "least", "most", "upto"), "bin").alias("b"))
+        start = F.col("b.upto") - F.col("b.bytes")
+        done = (F.col("b.rows") == 1) | (F.col("b.bytes") <= F.col("slack")) | (F.col("b.least") == F.col("b.most"))
+        # the whole interval goes to the side that it overshoots less
+        cut = F.when(F.col("goal") - start < F.col("b.upto") - F.col("goal"), F.col("b.least") - 1).otherwise(F.col("b.most"))
+        # a single value of a hot source shrinks to the range of its hashes at once
+        held = materialize(held.select("first", "dim", F.col("b.least").alias("lo"), F.col("b.most").alias("hi"), start.alias("before"), "goal", "slack", F.when(done, cut).alias("cut")), "held")
+        new = held.filter("cut is not null").select("first", "dim", "cut")
+        found = new if found is None else found.union(new)
+        active = held.filter("cut is null").drop("cut")
     return found
 
 
@@ -106,21 +96,17 @@ def shard_documents(docs: DataFrame, *, shards: int | None = None, target_bytes:
     totals = items.agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).first()
     if shards is None:
         shards = max(1, -(-(totals["bytes"] or 0) // (target_bytes or 1 << 27)))
-    # each node is known by the cuts on its way, so that its rows are told by one flat expression
-    leaves, first, way = {0: shards}, {0: 0}, {0: F.lit(True)}
-    while max(leaves.values()) > 1 and totals["rows"]:
-        cuts = _cut(items, _first_true(way), leaves, tolerance)
-        next_leaves, next_first, next_way = {}, {}, {}
-        for n, k in leaves.items():
-            left = k // 2 if n in cuts else k
-            below = F.lit(True)
-            if n in cuts:
-                dim, most = cuts[n]
-                below = F.col(f"k_{dim}") <= most
-                next_leaves[2 * n + 1], next_first[2 * n + 1], next_way[2 * n + 1] = k - left, first[n] + left, way[n] & ~below
-            next_leaves[2 * n], next_first[2 * n], next_way[2 * n] = left if n in cuts else 1, first[n], way[n] & below
-        leaves, first, way = next_leaves, next_first, next_way
-    placed = items.withColumn("shard", _first_true({first[n]: w for n, w in way.items()}))
+    # a node is known by its first leaf and its number of leaves
+    placed, depth = items.withColumns({"first": F.lit(0), "leaves": F.lit(shards)}), 0
+    while (1 << depth) < shards and totals["rows"]:
+        cuts = _cuts(placed, 1 << depth, tolerance)
+        met = placed.join(_near(materialize(cuts, "cuts"), 1 << depth), "first", "left")
+        left = F.element_at(F.array(*(f"k_{d}" for d in DIMS)), F.coalesce("dim", F.lit(1))) <= F.col("cut")
+        half = F.floor(F.col("leaves") / 2).cast("int")
+        node = F.when(F.col("cut").isNull(), F.struct("first", "leaves")).when(left, F.struct("first", half.alias("leaves"))).otherwise(F.struct((F.col("first") + half).alias("first"), (F.col("leaves") - half).alias("leaves")))
+        placed = materialize(met.withColumn("node", node).drop("first", "leaves", "dim", "cut").select("*", "node.first", "node.leaves").drop("node"), "placed")
+        depth += 1
+    placed = placed.withColumnRenamed("first", "shard")
     # slots: rows are numbered in buckets of a bounded size, after the rows of the buckets before
     buckets = max(1, -(-totals["rows"] // (slot_rows * shards)))
     placed = placed.withColumn("bucket", F.pmod(F.xxhash64("uid"), F.lit(max(buckets, 16))))
