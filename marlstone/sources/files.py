@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..operators.inventory import kept, with_names
 
@@ -37,7 +38,7 @@ def contents(spark: SparkSession, root: str, max_bytes: int = 256 << 20) -> Data
     return kept(with_names(found))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _decode_other(data: pd.Series) -> pd.Series:
     return data.map(decode)
 
