@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse
-from ..operators import duplicates, evidence, inventory, retrieval, similar, topics, value
+from ..operators import duplicates, evidence, inventory, retrieval, similar, summary, topics, value
 from ..storage import materialize
 from .common import CANON, DOCS, RANKED, bm25_sql, chunks_sql, documents, files, questions, table, topics_sql, units
 
@@ -201,11 +201,41 @@ def near_duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar.similar_groups(duplicates.canonical_documents(documents(spark, sf_dir)))
 
 
+def folder_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, wide = _wide_topics(spark, sf_dir)
+    own = docs.select("path", "size", F.length("text").cast("long").alias("chars"))
+    return summary.folder_summaries(own, inventory.folder_scopes(inventory.with_names(own)), wide.filter("rank < 5"))
+
+
+def package_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    projection = duplicates.canonical_projection(docs).select("role", F.length("text").cast("long").alias("chars"))
+    return summary.statistics(projection, topics.document_roles(docs), evidence.gated(evidence.evidence_units(docs)), _states(spark, sf_dir, docs))
+
+
+def unparsed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary.unparsed(files(spark, sf_dir), _states(spark, sf_dir, documents(spark, sf_dir)))
+
+
+def report_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, wide = _wide_topics(spark, sf_dir)
+    _, members = _tree(docs, wide)
+    return summary.categories(members, docs.select("path", "size", "name"))
+
+
+def cluster_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of the near-duplicate groups, from their documents' words."""
+    docs = duplicates.canonical_documents(documents(spark, sf_dir))
+    groups = materialize(similar.similar_groups(docs), "groups").select(F.col("cluster_id").alias("cluster"), "path")
+    return summary.cluster_names(groups, topics.content_topics(docs, 8))
+
+
 QUERIES = {f.__name__: f for f in (
     inventory_type_counts, directory_rollup, exact_duplicate_groups, canonical_projection, export_manifest, evidence_chunks, evidence_quality_gate, evidence_corpus_dedup,
     retrieval_bm25, retrieval_hybrid, retrieval_narrowed, retrieval_manifest, content_topics, topic_clusters, adaptive_topic_assignment, topic_mounts, topic_subtopics, document_roles,
     claim_verification, evidence_selection, claim_binding, research_directions, coverage_ledger, value_judgement, representative_sample, checkpoint_reuse,
     simhash_fingerprints, near_duplicate_pairs, near_duplicate_groups,
+    folder_summaries, package_statistics, unparsed_files, report_categories, cluster_names,
 )}
 
 ASKED = "asked AS (SELECT item_id AS query_id, coalesce(text, '') AS query FROM benchmark)"
@@ -348,3 +378,18 @@ ORACLE_SQL["near_duplicate_groups"] = f"""{SIMILAR.replace("WITH ", "WITH RECURS
 comp AS (SELECT a AS head, least(a, min(b)) AS c FROM reach GROUP BY a), pl AS (SELECT cls.path, cls.chars, cls.v, coalesce(c, cls.head) AS c FROM cls LEFT JOIN comp USING (head)),
 gr AS (SELECT c, count(*) AS size, min(path) AS first_path, max((chars, path)) AS top FROM pl GROUP BY c HAVING count(*) > 1), nm AS (SELECT *, row_number() OVER (ORDER BY size DESC, first_path) AS k FROM gr)
 SELECT 'SIM-' || lpad(k::VARCHAR, 4, '0') AS cluster_id, t.path AS representative, pl.path, size, bit_count(xor(pl.v, t.v))::BIGINT AS distance FROM pl JOIN nm USING (c) JOIN pl t ON t.c = pl.c AND (t.chars, t.path) = nm.top"""
+ORACLE_SQL["folder_summaries"] = f"""WITH {CANON}, {topics_sql('canon')}, sc AS (SELECT '.' AS scope, path, size, length(text) AS ch FROM canon UNION ALL SELECT array_to_string(string_split(path, '/')[1:k], '/'), path, size, length(text) FROM (SELECT *, unnest(range(1, len(string_split(path, '/')))) AS k FROM canon)),
+tc AS (SELECT scope, topic, count(*) AS n FROM sc JOIN topics USING (path) WHERE rank < 5 GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY scope ORDER BY count(*) DESC, topic) <= 8), tt AS (SELECT scope, string_agg(topic, '|' ORDER BY n DESC, topic) AS topics FROM tc GROUP BY 1),
+lo AS (SELECT scope, string_agg(path, '|' ORDER BY ch DESC, size DESC, path) AS representatives FROM (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY scope ORDER BY ch DESC, size DESC, path) <= 3) GROUP BY 1),
+g AS (SELECT scope, count(*) AS files, sum(size)::BIGINT AS bytes, sum(ch)::BIGINT AS chars FROM sc GROUP BY 1)
+SELECT scope, files, bytes, CASE WHEN bytes < 1024 THEN printf('%.1f B', bytes::DOUBLE) WHEN bytes < 1048576 THEN printf('%.1f KB', bytes / 1024.0::DOUBLE) WHEN bytes < 1073741824 THEN printf('%.1f MB', bytes / 1048576.0::DOUBLE) ELSE printf('%.1f GB', bytes / 1073741824.0::DOUBLE) END AS size_human, chars, representatives, coalesce(topics, '') AS topics FROM g JOIN lo USING (scope) LEFT JOIN tt USING (scope)"""
+ORACLE_SQL["package_statistics"] = f"""WITH {DOCS}, {chunks_sql('docs')}, {LABELLED}, r AS ({ORACLE_SQL["document_roles"]})
+SELECT 'documents' AS name, count(*)::BIGINT AS value FROM docs UNION ALL SELECT 'canonical_documents', count(DISTINCT sha) FROM docs UNION ALL SELECT 'duplicate_aliases', count(*) - count(DISTINCT sha) FROM docs UNION ALL SELECT 'characters', sum(length(text))::BIGINT FROM docs
+UNION ALL SELECT 'evidence_units', count(*) FROM judged UNION ALL SELECT 'eligible_units', count(*) FROM judged WHERE reason = 'eligible' UNION ALL SELECT 'parsed_files', count(*) FROM states WHERE parsed UNION ALL SELECT 'failed_files', count(*) FROM states WHERE failed
+UNION ALL SELECT 'role:' || role, count(*) FROM r WHERE path NOT LIKE 'pages/%' GROUP BY role"""
+ORACLE_SQL["unparsed_files"] = f"WITH {FILES}, {LABELLED} SELECT extension, count(*) AS files, sum(size)::BIGINT AS bytes FROM inv WHERE path NOT IN (SELECT path FROM states WHERE parsed) GROUP BY extension"
+ORACLE_SQL["report_categories"] = f"WITH {CANON}, {topics_sql('canon')}, {ASSIGNED} SELECT coalesce(topic, '(none)') AS category, count(*) AS files, sum(size)::BIGINT AS bytes, min(path) AS first_path FROM canon LEFT JOIN held USING (path) GROUP BY 1"
+ORACLE_SQL["cluster_names"] = f"""WITH RECURSIVE sim AS ({ORACLE_SQL["near_duplicate_groups"]}), {CANON}, {topics_sql('canon')},
+c AS (SELECT cluster_id AS cluster, topic, count(*) AS n FROM sim JOIN topics USING (path) WHERE rank < 8 AND topic NOT IN ('security', 'software', 'system', 'systems', 'hardware', 'data', 'paper', 'abstract', 'introduction', 'using', 'based') GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, topic) <= 3),
+n AS (SELECT cluster, string_agg(topic, ' / ' ORDER BY n DESC, topic) AS name FROM c GROUP BY 1), e AS (SELECT cluster, coalesce(name, 'topic ' || cluster) AS name FROM (SELECT DISTINCT cluster_id AS cluster FROM sim) LEFT JOIN n USING (cluster)),
+k AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY cluster) AS r FROM e) SELECT cluster, CASE WHEN r > 1 THEN name || ' (' || r || ')' ELSE name END AS name FROM k"""
