@@ -28,12 +28,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import column
+from .common import column, in_parts
 
 #: The splitting pattern of the tokenizer's file, and characters beyond which Unicode versions differ.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 UNSURE = regex.compile(r"[^\u0000-\u0557\u2000-\u2064\u3041-\u3096\u30A1-\u30FA\u4E00-\u9FA5\uAC00-\uD7A3]")
-KEPT_WORDS = 400_000
+KEPT_WORDS = 150_000
 NONE = 1 << 62
 
 
@@ -172,7 +172,7 @@ def encode_documents(docs: DataFrame, path: str, *, with_ids: bool = True, keep:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
-        for batch in batches:
+        for batch in in_parts(batches):
             sizes, ids, decoded, parts, offsets = [], [], [], [], [0]
             for text in column(batch, "text"):
                 own = bpe.encode(text.as_py() or "")

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, materialize, texts_of
+from .common import column, in_parts, materialize, texts_of
 
 COORDINATES, BAND_ROWS = 128, 4
 BANDS = COORDINATES // BAND_ROWS
@@ -55,7 +55,7 @@ class _Words(dict):
     """64-bit hash of each word, kept while the task runs."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -118,7 +118,7 @@ def set_id(shingles: np.ndarray) -> bytes | None:
 
 
 def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in in_parts(batches):
         sizes, ids, bands, offsets = [], [], [], [0]
         for text in texts_of(batch):
             s = shingle_set(text)
@@ -132,7 +132,7 @@ def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in in_parts(batches):
         sets = [shingle_set(t) for t in texts_of(batch)]
         yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["set_id", "shingles"])
 
@@ -157,7 +157,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     both = pairs.join(sets.withColumnsRenamed({"set_id": "a", "shingles": "sa"}), "a").join(sets.withColumnsRenamed({"set_id": "b", "shingles": "sb"}), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             keep = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(column(batch, "sa").to_pylist(), column(batch, "sb").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([column(batch, "a"), column(batch, "b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -170,7 +170,7 @@ def _uses(sets: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(slots, np.int64)
-        for batch in batches:
+        for batch in in_parts(batches):
             for x in column(batch, "shingles").to_pylist():
                 np.add.at(n, (np.frombuffer(x, np.uint64) & np.uint64(slots - 1)).astype(np.int64), 1)
         at = np.flatnonzero(n)
@@ -198,7 +198,7 @@ def _rare_pairs(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     sent = sets.sparkSession.sparkContext.broadcast(_uses(sets))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             rows = [[], [], [], [], []]
             for i, (name, part, x) in enumerate(zip(column(batch, "set_id").to_pylist(), column(batch, "part").to_pylist(), column(batch, "shingles").to_pylist(), strict=True)):
                 keys = prefix_of(np.frombuffer(x, np.uint64), sent.value, percent)
@@ -249,7 +249,8 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75) -> DataFrame:
     """docs: doc_id, text. doc_id, n_shingles, component_id and kept for each row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = materialize(docs.mapInArrow(sign, SIGNED), "signed")
-    members = signed.filter("set_id is not null").select("set_id", "n_shingles", F.explode("bands").alias("bucket")).distinct()
+    sets = signed.filter("set_id is not null").groupBy("set_id").agg(F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+    members = sets.select("set_id", "n_shingles", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     buckets = materialize(members.join(shared, "bucket"), "buckets")
     weights = buckets.groupBy("set_id").agg(F.sum("n").alias("weight"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, texts_of
+from .common import column, in_parts, texts_of
 
 #: Bytes of words: digits, lower-case letters and all beyond ASCII; the others become blanks.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -112,7 +112,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, bl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanners = [Windows(*b.value) for b in sent]
-        for batch in batches:
+        for batch in in_parts(batches):
             n_words, n_hit, items, spans = [], [], [], []
             for text in texts_of(batch):
                 words = words_of(text)

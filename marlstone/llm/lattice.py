@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, materialize, texts_of
+from .common import column, in_parts, materialize, texts_of
 
 LN10 = math.log(10)
 MARK = "▁"
@@ -197,7 +197,7 @@ def count_words(batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.R
             c.clear()
         return batch
 
-    for batch in batches:
+    for batch in in_parts(batches):
         for text, out_of, group in zip(texts_of(batch), column(batch, "held_out").to_pylist(), column(batch, "grp").to_pylist(), strict=True):
             counts[groups if out_of else group].update(text.lower().split())
             held += len(text)
@@ -216,7 +216,7 @@ def fit_pieces(words: DataFrame, pieces: Pieces, rounds: int) -> Pieces:
         def expected(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             model, n = Pieces(*sent.value), 0
             opening, inner = np.zeros(len(model.open_weight)), np.zeros(len(model.in_weight))
-            for batch in batches:
+            for batch in in_parts(batches):
                 words = column(batch, "word").to_pylist()
                 n += len(words)
                 model.expect(words, opening, inner)
@@ -290,7 +290,7 @@ def score_documents(docs: DataFrame, model_file: str, *, head_words: int = 150_0
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Pieces(*sent.value)
-        for batch in batches:
+        for batch in in_parts(batches):
             names = column(batch, "word").to_pylist()
             c = column(batch, "train").to_numpy().astype(float)
             q = model.log_probabilities(names)
@@ -315,7 +315,7 @@ def score_documents(docs: DataFrame, model_file: str, *, head_words: int = 150_0
         """A row for each document with the sums over its frequent words, and one for each of its other words."""
         (places, table), base = sent_head.value, TaskContext.get().partitionId() << 40
         at, rows = 0, []
-        for batch in batches:
+        for batch in in_parts(batches):
             for doc, out_of, text in zip(column(batch, "doc_id").to_pylist(), column(batch, "held_out").to_pylist(), texts_of(batch), strict=True):
                 words, uid = Counter(map(word_key, text.lower().split())), base + at
                 at += 1

@@ -30,8 +30,9 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 10) -> DataFrame:
     exploded = docs.filter(F.col("doc_id").isNotNull()).select(this[0].alias("d"), this[1].alias("t"), F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
     keyed = exploded.select("d", "t", "pos", ascii_lower(F.btrim("line", F.lit(SPACE))).alias("key")).filter(F.length("key") >= min_chars)
     hashed = materialize(keyed.select("d", "t", "pos", F.xxhash64("key").alias("h"), F.crc32(F.col("key").cast("binary")).alias("c"), F.length("key").alias("n")), "lines")
-    # a document repeats its own lines and copies repeat each other's: one row for each key and task before the shuffle
-    common = hashed.groupBy("h", "c", "n").agg(F.min("d").alias("first"), F.max("d").alias("last")).filter("first < last").drop("last")
+    # a document repeats its own lines and copies repeat each other's: one row for each key and task before the shuffle.
+    # Written by itself, so that Spark sees its size and can split a line that very many documents share.
+    common = materialize(hashed.groupBy("h", "c", "n").agg(F.min("d").alias("first"), F.max("d").alias("last")).filter("first < last").drop("last"), "common")
     lost = hashed.join(common, ["h", "c", "n"]).filter("d <> first").groupBy("d", "t").agg(F.collect_set("pos").alias("__lost"))
     lost = lost.select(F.col("d").alias("__d"), F.col("t").alias("__t"), "__lost")
     joined = docs.withColumns({"__t0": this[1], "__d0": this[0]}).join(lost, (F.col("__d0") == F.col("__d")) & (F.col("__t0") == F.col("__t")), "left")

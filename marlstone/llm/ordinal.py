@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, materialize, texts_of
+from .common import column, in_parts, materialize, texts_of
 
 EDGE = b".,;:!?()[]\"'|"
 SIGNS = EDGE + b"#*$%&<>"
@@ -113,7 +113,7 @@ def grade_documents(docs: DataFrame, ratings: DataFrame, *, n_grades: int = 3, f
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = CumulativeLink(*sent.value)
-        for batch in batches:
+        for batch in in_parts(batches):
             tails = np.array([model.tails(text_features(t, model.bits)) for t in texts_of(batch)]).reshape(-1, len(model.cuts))
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(tails.sum(axis=1)), pa.array(tails[:, -1]), pa.array(1 - tails[:, 0])], names=["doc_id", "expected_grade", "tail_probability", "low_probability"])
 
@@ -122,5 +122,5 @@ def grade_documents(docs: DataFrame, ratings: DataFrame, *, n_grades: int = 3, f
 
 
 def _hashed(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in in_parts(batches):
         yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "grade"), pa.array([text_features(t, bits) for t in texts_of(batch)], pa.list_(pa.int64()))], names=["doc_id", "grade", "features"])

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, fresh_path, materialize
+from .common import column, fresh_path, in_parts, materialize
 
 CHUNK = 1 << 16
 NL = b"\r\n"
@@ -86,7 +86,7 @@ def write_archives(spark: SparkSession, records: DataFrame, folder: str, max_byt
             store.move(f"{base}/.{attempt}-{part}", name)
             names.append((f"{folder}/{name.rsplit('/', 1)[1]}", done))
 
-        for batch in batches:
+        for batch in in_parts(batches):
             html = column(batch, "html").cast(pa.binary())
             heads = batch.drop_columns(["html"]).to_pylist()
             for row, payload in zip(heads, html, strict=True):
@@ -196,7 +196,7 @@ def read_chunks(spark: SparkSession, archives: DataFrame, *, with_data: bool = T
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple] = []
-        for batch in batches:
+        for batch in in_parts(batches):
             for archive in column(batch, "archive").to_pylist():
                 store, path = fs.FileSystem.from_uri(archive)
                 with store.open_input_stream(path, compression=None) as raw:
