@@ -95,10 +95,11 @@ def features(c: Column) -> Column:
 
 
 def human_size(c: Column) -> Column:
-    """Bytes as text, 1024 to a step."""
-    out = F.format_string("%.1f TB", c.cast("double") / float(1 << 40))
+    """Bytes as text, 1024 to a step; halves go to the even digit."""
+    shown = lambda k, unit: F.format_string(f"%.1f {unit}", F.bround(c.cast("double") / float(1 << k), 1))
+    out = shown(40, "TB")
     for k, unit in ((30, "GB"), (20, "MB"), (10, "KB"), (0, "B")):
-        out = F.when(c < (1 << (k + 10)), F.format_string(f"%.1f {unit}", c.cast("double") / float(1 << k))).otherwise(out)
+        out = F.when(c < (1 << (k + 10)), shown(k, unit)).otherwise(out)
     return out
 
 

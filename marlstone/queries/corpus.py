@@ -48,12 +48,12 @@ def evidence_corpus_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def retrieval_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = retrieval.retrieve(units(spark, sf_dir), questions(spark, sf_dir), vectors=False)
-    return found.select("query_id", "rank", "path", "evidence_id", F.round("score", 4).alias("score"))
+    return found.select("query_id", "rank", "path", "evidence_id", "score")
 
 
 def retrieval_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = retrieval.retrieve(units(spark, sf_dir), questions(spark, sf_dir), scope="de/")
-    return found.select("query_id", "path", "evidence_id", F.round("bm25", 4).alias("bm25"), F.round("tfidf", 4).alias("tfidf"), F.round("score", 4).alias("score"))
+    return found.select("query_id", "path", "evidence_id", "bm25", "tfidf", "score")
 
 
 def retrieval_narrowed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,7 @@ def retrieval_narrowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = units(spark, sf_dir)
     first = materialize(retrieval.retrieve(corpus, questions(spark, sf_dir), scope="fr/", top_k=50, vectors=False), "first")
     found = retrieval.retrieve(corpus, questions(spark, sf_dir), scope="fr/", top_k=5, among=first, vectors=False)
-    return found.select("query_id", "rank", "path", "evidence_id", F.round("score", 4).alias("score"))
+    return found.select("query_id", "rank", "path", "evidence_id", "score")
 
 
 def retrieval_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +70,7 @@ def retrieval_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = materialize(topics.content_topics(docs, 10), "topics")
     asked = topics.topic_clusters(found.filter("rank < 5"), found).orderBy("cluster_id").limit(5).select(F.col("cluster_id").alias("query_id"), F.col("label").alias("query"))
     ranked = retrieval.retrieve(units(spark, sf_dir), materialize(asked, "asked"), top_k=6, vectors=False)
-    return ranked.select("query_id", "rank", "path", "evidence_id", F.round("score", 4).alias("score"))
+    return ranked.select("query_id", "rank", "path", "evidence_id", "score")
 
 
 def content_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -284,13 +284,13 @@ SELECT 'DUP-' || CASE WHEN k < 10000 THEN lpad(k::VARCHAR, 4, '0') ELSE k::VARCH
 CASE reason WHEN 'too_short' THEN -80.0 WHEN 'short_without_fact' THEN -80.0 WHEN 'question' THEN -70.0 WHEN 'topic_phrase' THEN -55.0
 ELSE round(least(length(bare), 360) / 18.0 + len(regexp_extract_all(bare, '[。！？；.!?;]')) * 2 + f::INT * 8 + q::INT * 5, 3) END::DOUBLE AS score FROM judged""",
     "evidence_corpus_dedup": f"WITH {CANON}, {chunks_sql('canon')} SELECT path, evidence_id, seq, sha256(text) AS content_sha256 FROM corpus",
-    "retrieval_bm25": f"WITH {CANON}, {chunks_sql('canon')}, {ASKED}, {bm25_sql('corpus', 'asked')}, fused AS (SELECT *, round(bm25 / max(bm25) OVER (PARTITION BY query_id), 6) AS score FROM scored), {RANKED.format(per=3)} SELECT query_id, rank, path, evidence_id, round(score, 4) AS score FROM ranked WHERE rank <= 8",
+    "retrieval_bm25": f"WITH {CANON}, {chunks_sql('canon')}, {ASKED}, {bm25_sql('corpus', 'asked')}, fused AS (SELECT *, round(bm25 / max(bm25) OVER (PARTITION BY query_id), 6) AS score FROM scored), {RANKED.format(per=3)} SELECT query_id, rank, path, evidence_id, score FROM ranked WHERE rank <= 8",
     "retrieval_narrowed": f"""WITH {CANON}, {chunks_sql('canon')}, {ASKED}, fr AS (SELECT * FROM corpus WHERE path LIKE 'fr/%'), {bm25_sql('fr', 'asked')}, fused AS (SELECT *, round(bm25 / max(bm25) OVER (PARTITION BY query_id), 6) AS score FROM scored), {RANKED.format(per=3)},
 few AS (SELECT * FROM fr WHERE evidence_id IN (SELECT evidence_id FROM ranked WHERE rank <= 50)), again AS (
 WITH {bm25_sql('few', 'asked')}, fused AS (SELECT *, round(bm25 / max(bm25) OVER (PARTITION BY query_id), 6) AS score FROM scored), {RANKED.format(per=3)} SELECT * FROM ranked WHERE rank <= 5)
-SELECT query_id, rank, path, evidence_id, round(score, 4) AS score FROM again""",
+SELECT query_id, rank, path, evidence_id, score FROM again""",
     "retrieval_manifest": f"""WITH {CANON}, {chunks_sql('canon')}, {topics_sql('canon')}, {CLUSTERS}, asked AS (SELECT cluster_id AS query_id, label AS query FROM clusters WHERE cluster_id <= 'TOPIC-0005'), {bm25_sql('corpus', 'asked')}, fused AS (SELECT *, round(bm25 / max(bm25) OVER (PARTITION BY query_id), 6) AS score FROM scored), {RANKED.format(per=3)}
-SELECT query_id, rank, path, evidence_id, round(score, 4) AS score FROM ranked WHERE rank <= 6""",
+SELECT query_id, rank, path, evidence_id, score FROM ranked WHERE rank <= 6""",
     "retrieval_hybrid": f"""WITH {CANON}, {chunks_sql('canon')}, {ASKED}, de AS (SELECT * FROM corpus WHERE path LIKE 'de/%'), {bm25_sql('de', 'asked')},
 gram AS (SELECT path, evidence_id, g, count(*) AS tf FROM (SELECT path, evidence_id, unnest(flatten(list_transform([2, 3, 4], lambda k: list_transform(range(1, greatest(length(text) - k + 2, 1)), lambda i: substr(lower(text), i::INT, k))))) AS g FROM de) GROUP BY ALL),
 voc AS (SELECT g, ln((1 + (SELECT count(*) FROM de)) / (1 + count(*))::DOUBLE) + 1 AS idf FROM gram GROUP BY g ORDER BY sum(tf) DESC, g LIMIT 12000),
@@ -301,7 +301,7 @@ dots AS (SELECT query_id, path, evidence_id, sum(dv.w * qv.w) AS d FROM dv JOIN
 vec AS (SELECT query_id, path, evidence_id, d / dn.s / qn.s AS v FROM dots JOIN dn USING (path, evidence_id) JOIN qn USING (query_id)),
 vs AS (SELECT *, v / max(v) OVER (PARTITION BY query_id) AS tfidf FROM vec), bs AS (SELECT *, bm25 / max(bm25) OVER (PARTITION BY query_id) AS b FROM scored),
 fused AS (SELECT query_id, path, evidence_id, round(coalesce(b, 0), 6) AS bm25, round(coalesce(tfidf, 0), 6) AS tfidf, round(0.58 * coalesce(b, 0) + 0.42 * coalesce(tfidf, 0), 6) AS score FROM bs FULL JOIN vs USING (query_id, path, evidence_id)), {RANKED.format(per=3)}
-SELECT query_id, path, evidence_id, round(bm25, 4) AS bm25, round(tfidf, 4) AS tfidf, round(score, 4) AS score FROM ranked WHERE rank <= 8""",
+SELECT query_id, path, evidence_id, bm25, tfidf, score FROM ranked WHERE rank <= 8""",
     "content_topics": f"WITH {DOCS}, {topics_sql('docs')} SELECT path, rank, topic, n FROM topics WHERE rank < 8",
     "topic_clusters": f"WITH {CANON}, {topics_sql('canon')}, {CLUSTERS} SELECT cluster_id, topic, label, members, first_path, last_path FROM clusters",
     "adaptive_topic_assignment": f"""WITH {CANON}, {topics_sql('canon')}, {ASSIGNED}
