@@ -7,8 +7,8 @@ and two labels of the host how often labelled URLs with that suffix are
 blocked (smoothed; a training row's own label is left out of its own figure).
 
 The trees are fitted on at most ``fit_rows`` labelled URLs, chosen by a hash of
-the URL; the suffix figures come from the same rows, so the table that is
-broadcast has at most twice that many entries.
+the URL; the suffix figures come from all labelled URLs and are joined as a
+written table, so that Spark sees its size and can split a hot suffix.
 
 A null URL, or one without "://", has an empty host and path; it is judged by
 the trees like any other. Repeated rows are judged each; without labelled URLs,
@@ -91,7 +91,7 @@ def _features(df: DataFrame) -> DataFrame:
 def _with_suffixes(df: DataFrame, stats: DataFrame, prior: float, weight: float, own: Column | None = None) -> DataFrame:
     """own: the row's label where it is among the rows counted, which is taken out again."""
     for k in ("suffix_1", "suffix_2"):
-        one = F.broadcast(stats.filter(F.col("kind") == k).select(F.col("suffix").alias(f"__{k}"), F.col("n").alias(f"__n_{k}"), F.col("blocked").alias(f"__b_{k}")))
+        one = stats.filter(F.col("kind") == k).select(F.col("suffix").alias(f"__{k}"), F.col("n").alias(f"__n_{k}"), F.col("blocked").alias(f"__b_{k}"))
         df = df.join(one, F.col(k) == F.col(f"__{k}"), "left")
         n, b = F.coalesce(f"__n_{k}", F.lit(0)), F.coalesce(f"__b_{k}", F.lit(0))
         if own is not None:
@@ -109,12 +109,13 @@ def judge_urls(pages: DataFrame, rules: list[Rule], *, id_column: str = "page_id
     base = _features(base.withColumns({"rule": name, "__verdict": verdict}))
     ruled = base.filter(F.col("rule").isNotNull()).withColumn("label", (F.col("__verdict") == "block").cast("double"))
     chosen = materialize(ruled.withColumn("__order", F.xxhash64("__url", F.lit(seed))).orderBy("__order", id_column).limit(fit_rows).select("label", "suffix_1", "suffix_2", *(f"f_{x}" for x in FEATURES if not x.startswith(("suffix", "seen")))), "url-fit")
-    totals = chosen.agg(F.count("*").alias("n"), F.sum("label").alias("blocked")).first()
-    n, blocked = totals["n"], totals["blocked"] or 0
+    both = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("suffix")) for k in ("suffix_1", "suffix_2"))))
+    stats = materialize(ruled.select("label", both.alias("x")).groupBy("x.kind", "x.suffix").agg(F.count("*").alias("n"), F.sum("label").alias("blocked")), "url-suffixes")
+    totals = stats.filter("kind = 'suffix_1'").agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked")).first()
+    n, blocked = totals["n"] or 0, totals["blocked"] or 0
     if not 0 < blocked < n:
         judged = base.withColumn("block_probability", F.lit(1.0 if n and blocked else 0.0))
     else:
-        stats = materialize(chosen.select("label", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("suffix")) for k in ("suffix_1", "suffix_2")))).alias("x")).groupBy("x.kind", "x.suffix").agg(F.count("*").alias("n"), F.sum("label").alias("blocked")), "url-suffixes")
         prior, weight = blocked / n, 5.0
         into = VectorAssembler(inputCols=[f"f_{x}" for x in FEATURES], outputCol="__features")
         fit = into.transform(_with_suffixes(chosen, stats, prior, weight, F.col("label"))).select("label", "__features")

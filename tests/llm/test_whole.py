@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marlstone.llm import perplexity
+from marlstone.llm import perplexity, urltrees
 
 
 def test_perplexity_rejects_symbols_tables_and_shouting(spark, data):
@@ -25,3 +25,18 @@ def test_perplexity_rejects_symbols_tables_and_shouting(spark, data):
 def test_perplexity_of_a_language_of_symbols_only(spark):
     rows = [(i, "a## b** c%% " * 5 + f"{i}", "zz") for i in range(5)] + [(9, None, "zz")]
     assert perplexity.judge_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string")).count() == 6
+
+
+def test_suffix_figures_come_from_all_labelled_urls(spark):
+    rules = [urltrees.Rule("block", "net", "/"), urltrees.Rule("allow", "org", "/")]
+    urls = [f"http://h{i % 7}.{('net', 'org')[i % 2]}/p{i}" for i in range(4000)]
+    for k in range(20):
+        for kind in ("block", "allow"):
+            rules.append(urltrees.Rule(kind, f"{kind}{k:02d}", "/p"))
+            urls += [f"http://host.{kind}{k:02d}/p{i}" for i in range(10)]
+    known = len(urls)
+    urls += [f"http://host.{kind}{k:02d}/q{i}" for k in range(20) for kind in ("block", "allow") for i in range(5)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    out = [r for r in urltrees.judge_urls(pages, rules, fit_rows=60).collect() if r.page_id >= known]
+    assert len(out) == 200 and all(r.rule is None for r in out)
+    assert sum(r.verdict == urls[r.page_id].split(".")[1][:5] for r in out) >= 190
