@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage
 before kept. All but the last return the columns of ``documents``.
+
+Every row has a verdict of its own: rows that repeat an id are judged each, and
+rows without an id are judged by their text like all others.
 """
 
 from __future__ import annotations
@@ -24,9 +27,10 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    kept = judge_documents(docs).filter("kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
+    """Rows that the quality rules reject go, whatever other rows of their id are like."""
+    named = {"doc_id": "doc_id", "text": "__text", "lang": "__lang", "source": "source", "n_chars": "n_chars"}
+    judged = judge_documents(docs.select("text", "lang", *(F.col(c).alias(n) for c, n in named.items())), id_columns=tuple(named.values()))
+    return judged.filter("kept").select(*(F.col(n).alias(c) for c, n in named.items()))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,9 +40,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one with the smallest id."""
-    kept = near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
+    """One row of each near-duplicate group stays, one with the smallest id.
+
+    Rows that repeat an id are a group like others if their texts are alike, and
+    stay each if not. Rows without an id link others and all stay themselves.
+    """
+    rows = materialize(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("__row")), "rows")
+    placed = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "component_id")
+    first = placed.join(rows.filter("doc_id is not null").select("__row", "doc_id"), "__row").groupBy("component_id").agg(F.min(F.struct("doc_id", "__row")).alias("first")).select("first.__row")
+    kept = rows.join(first, "__row", "left_semi").unionByName(rows.filter("doc_id is null"))
+    return kept.select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

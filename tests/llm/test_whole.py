@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline as p
 from marlstone.llm import perplexity, urltrees
 
 
@@ -40,3 +41,28 @@ def test_suffix_figures_come_from_all_labelled_urls(spark):
     out = [r for r in urltrees.judge_urls(pages, rules, fit_rows=60).collect() if r.page_id >= known]
     assert len(out) == 200 and all(r.rule is None for r in out)
     assert sum(r.verdict == urls[r.page_id].split(".")[1][:5] for r in out) >= 190
+
+
+def _prose(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select(*p.COLUMNS)
+    good = {r.doc_id for r in perplexity.judge_documents(docs).filter("kept").collect()}
+    return docs, sorted((r for r in docs.collect() if r.doc_id in good and len(r.text.split()) > 60), key=lambda r: r.doc_id)
+
+
+def test_quality_rules_judge_each_row(spark, data):
+    docs, good = _prose(spark, data)
+    a, b = good[0], good[1]
+    extra = [(None, a.text, a.lang, a.source, a.n_chars), (None, "too short", "en", "s", 9), (b.doc_id, "too short", b.lang, b.source, 9)]
+    out = p.quality_rules(spark, docs.union(spark.createDataFrame(extra, docs.schema)), data).collect()
+    assert [r.text for r in out if r.doc_id is None] == [a.text]
+    assert [r.text for r in out if r.doc_id == b.doc_id] == [b.text]
+    assert {r.doc_id for r in good} <= {r.doc_id for r in out}
+
+
+def test_near_dedup_keeps_one_row_of_a_group_and_rows_without_id(spark, data):
+    docs, good = _prose(spark, data)
+    x, y, z = (" ".join(f"{w}{i}" for i in range(40)) for w in "xyz")
+    rows = [(7, x), (7, x), (3, x), (3, x), (5, y), (5, z), (None, y), (None, y), (9, ""), (9, "")]
+    out = p.near_dedup(spark, spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], docs.schema), data).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted(((r.doc_id, r.text) for r in out), key=key) == sorted([(3, x), (5, y), (5, z), (None, y), (None, y), (9, ""), (9, "")], key=key)
