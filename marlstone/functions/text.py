@@ -89,6 +89,11 @@ def chinese_trigrams(c: Column) -> Column:
     return pieces(run, 3)
 
 
+def factual(c: Column) -> Column:
+    """Whether a text states something. All cues are Chinese, so other characters are passed over at once."""
+    return c.rlike(rf"(?=[\x{{4e00}}-\x{{9fff}}])(?:{FACT})")
+
+
 def features(c: Column) -> Column:
     """What a text's fingerprint is made of: topic words and Chinese trigrams."""
     return F.concat(topic_words(c), chinese_trigrams(c))

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import ABSOLUTE, FACT, INDIRECT, NEGATION, QUANTITY, SENTENCE_END, claim_numbers, claim_terms, collapse, strong_terms
-from ..storage import small
+from ..functions.text import ABSOLUTE, INDIRECT, NEGATION, QUANTITY, SENTENCE_END, claim_numbers, claim_terms, collapse, factual, strong_terms
+from ..storage import materialize, small
+from . import retrieval
 from .inventory import first_rows
 
 # Where a text is cut into sections, the length of a unit, labels that only guide.
@@ -33,34 +38,43 @@ def evidence_units(docs: DataFrame, unit: int = UNIT_CHARS) -> DataFrame:
     return out.select("path", named.alias("evidence_id"), (F.col("seq") + 1).cast("long").alias("seq"), F.col("u.page").alias("page"), F.lit("text_chunk").alias("label"), F.col("u.text").alias("text"), F.col("sha256").alias("source_sha256"), F.sha2("u.text", 256).alias("content_sha256"))
 
 
-def quality(text: Column, label: Column | None = None) -> Column:
-    """Struct: eligible, reason, score, factual, numeric. text: collapsed."""
-    bare = F.regexp_replace(text, "^[ ：:;；。.]+|[ ：:;；。.]+$", "")
-    n, factual, numeric = F.length(bare), bare.rlike(FACT), bare.rlike(QUANTITY)
+def _bare(text: Column) -> Column:
+    return F.regexp_replace(text, "^[ ：:;；。.]+|[ ：:;；。.]+$", "")
+
+
+def _judged(bare: Column, stated: Column, numeric: Column, label: Column | None) -> Column:
+    n = F.length(bare)
     guide = F.lower(label).isin(GUIDE_LABELS) if label is not None else F.lit(False)
     reason = (
         F.when(F.coalesce(n, F.lit(0)) < 6, "too_short")
-        .when((n < 24) & ~factual, "short_without_fact")
+        .when((n < 24) & ~stated, "short_without_fact")
         .when(guide, "guides_only")
         .when(F.substring(bare, -1, 1).isin("?", "？"), "question")
-        .when((n < 55) & ~factual, "topic_phrase")
+        .when((n < 55) & ~stated, "topic_phrase")
         .otherwise("eligible")
     )
-    points = F.least(n, F.lit(360)) / 18.0 + F.regexp_count(bare, F.lit(SENTENCE_END)) * 2 + factual.cast("int") * 8 + numeric.cast("int") * 5
+    points = F.least(n, F.lit(360)) / 18.0 + F.regexp_count(bare, F.lit(SENTENCE_END)) * 2 + stated.cast("int") * 8 + numeric.cast("int") * 5
     penalty = F.when(reason.isin("too_short", "short_without_fact"), -80.0).when(reason == "guides_only", -75.0).when(reason == "question", -70.0).otherwise(-55.0)
     ok = reason == "eligible"
-    return F.struct(ok.alias("eligible"), reason.alias("reason"), F.when(ok, F.round(points, 3)).otherwise(penalty).alias("score"), (ok & factual).alias("factual"), (ok & numeric).alias("numeric"))
+    return F.struct(ok.alias("eligible"), reason.alias("reason"), F.when(ok, F.round(points, 3)).otherwise(penalty).alias("score"), (ok & stated).alias("factual"), (ok & numeric).alias("numeric"))
+
+
+def quality(text: Column, label: Column | None = None) -> Column:
+    """Struct: eligible, reason, score, factual, numeric. text: collapsed. For few rows; ``gated`` looks at each text once."""
+    bare = _bare(text)
+    return _judged(bare, factual(bare), bare.rlike(QUANTITY), label)
 
 
 def gated(units: DataFrame) -> DataFrame:
-    return units.withColumn("quality", quality(F.col("text"), F.col("label")))
+    """Units with ``quality``. What the rules ask of a text is found first, in steps that Spark doesn't fold into the rules."""
+    found = units.withColumn("__bare", _bare(F.col("text"))).withColumns({"__fact": factual(F.col("__bare")), "__quantity": F.col("__bare").rlike(QUANTITY)})
+    return found.withColumn("quality", _judged(F.col("__bare"), F.col("__fact"), F.col("__quantity"), F.col("label"))).drop("__bare", "__fact", "__quantity")
 
 
 def corpus(units: DataFrame) -> DataFrame:
     """Eligible units, each text of a page once for each path (the first one)."""
     good = gated(units).filter("quality.eligible and length(text) >= 2")
-    first = good.groupBy("path", "page", "content_sha256").agg(F.min("seq").alias("seq")).select("path", "seq")
-    return good.join(first, ["path", "seq"], "left_semi")
+    return first_rows(good, ["path", "page", "content_sha256"], [F.col("seq")], 1)
 
 
 def matched_terms(terms: Column, text: Column, n: int = 8) -> Column:
@@ -79,8 +93,8 @@ def verdict(claim: Column, text: Column, semantic: Column | None = None, terms:
     matched = matched_terms(terms, text)
     strong = F.size(strong_terms(matched))
     any_strong = F.size(matched_terms(strong_terms(terms), text)) > 0
-    factual = text.rlike(FACT)
-    direct = (any_strong | ((F.size(matched) >= 2) & factual)) & ((strong >= 1) | ((F.size(matched) >= 2) & q["factual"]))
+    stated = factual(text)
+    direct = (any_strong | ((F.size(matched) >= 2) & stated)) & ((strong >= 1) | ((F.size(matched) >= 2) & q["factual"]))
     numbers = claim_numbers(claim)
     row = lambda status, score, relation=None: F.struct(F.lit(status).alias("status"), (score if isinstance(score, Column) else F.lit(float(score))).alias("score"), F.lit(relation).cast("string").alias("relation"))
     return (
@@ -98,30 +112,66 @@ def quote(text: Column, terms: Column, n: int = 280) -> Column:
     """The sentence that says most about the terms."""
     sentences = F.filter(F.transform(F.split(text, f"(?<={SENTENCE_END})\\s*"), lambda s: F.regexp_replace(s, "^[ ，,；;]+|[ ，,；;]+$", "")), lambda s: s != "")
     low = lambda s: F.lower(s)
-    points = lambda s: F.size(F.filter(terms, lambda t: F.contains(low(s), t))) * 8 + s.rlike(FACT).cast("int") * 6 + s.rlike("[0-9]").cast("int") * 3 + F.least(F.length(s), F.lit(220)) / 80.0
+    points = lambda s: F.size(F.filter(terms, lambda t: F.contains(low(s), t))) * 8 + factual(s).cast("int") * 6 + s.rlike("[0-9]").cast("int") * 3 + F.least(F.length(s), F.lit(220)) / 80.0
     best = F.array_max(F.transform(sentences, lambda s, i: F.struct(points(s).alias("p"), (-i).alias("i"), s.alias("s"))))["s"]
     return F.when(F.length(best) > n, F.concat(F.substring(best, 1, n), F.lit("..."))).otherwise(F.coalesce(best, F.substring(text, 1, n)))
 
 
+def _overlaps(units: DataFrame, asked: DataFrame, max_items: int) -> DataFrame:
+    """question_id, path, seq, overlap: terms in common, for all units that can be among a question's ``max_items`` best.
+
+    A unit's score is ten for each term and for a quantity, and what its page and
+    label add, so it is known here but for what signals can add, which is at most 20.
+    """
+    spark, found = units.sparkSession, None
+    kind = dict(asked.dtypes)["question_id"]
+    extra = F.col("text").rlike(QUANTITY).cast("int") * 10.0 + F.col("page").isNotNull().cast("int") * 2 + F.when(F.col("label").isin(BODY_LABELS), 2).otherwise(0)
+    own = materialize(units.select("path", "seq", extra.alias("extra"), claim_terms(F.col("text")).alias("terms")), "claim-terms")
+    signalled = F.lit(False)
+    for trigger in INDIRECT:
+        signalled = signalled | F.contains(F.col("question"), F.lit(trigger))
+    asked = asked.select(F.col("question_id").alias("query_id"), "terms", strong_terms(F.col("terms")).alias("strong"), signalled.alias("signalled"))
+    for block in retrieval.blocks(asked):
+        rows = block.select("query_id", "signalled").distinct().orderBy("query_id").toArrow()
+        names, bonus = rows["query_id"].to_pylist(), 20.0 * rows["signalled"].to_numpy().astype(float)
+        place = {q: i for i, q in enumerate(names)}
+        every, strong = (retrieval.weights_of(block.select("query_id", F.explode(c).alias("term"), F.lit(1.0).alias("weight")).toArrow(), "term", place) for c in ("terms", "strong"))
+        sent = spark.sparkContext.broadcast((every, strong, names, bonus))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            every, strong, names, bonus = sent.value
+            for batch in retrieval.parts_of(batches):
+                terms = [dict.fromkeys(t, 1.0) for t in batch.column(3).to_pylist()]
+                overlap = np.array([every.by_word(t) for t in terms]).reshape(len(terms), len(names))
+                firm = np.array([strong.by_word(t) for t in terms]).reshape(len(terms), len(names)) > 0
+                score = overlap * 10 + batch.column(2).to_numpy()[:, None]
+                most = np.where(overlap > 0, score + bonus, 0)
+                for q, at in retrieval.keep_best(np.where(firm, score, 0), batch.column(0).to_pylist(), max_items, most) if len(terms) else ():
+                    rows = pa.array(at)
+                    yield pa.RecordBatch.from_arrays([pa.array([names[q]] * len(at), retrieval.arrow_type(kind)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(overlap[at, q].astype(np.int64))], names=["question_id", "path", "seq", "overlap"])
+
+        one = own.mapInArrow(run, f"question_id {kind}, path string, seq long, overlap long")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 def select(units: DataFrame, questions: DataFrame, *, max_items: int = 24, per_source: int = 2) -> DataFrame:
     """Units for each question: diverse, on topic, with a verdict.
 
-    units: the corpus. questions: question_id, question. Units are found by the
-    terms they share with a question, through a join on terms, so questions and
-    units are never all paired. Each source gives at most ``per_source`` units.
+    units: the corpus. questions: question_id, question. A unit needs a term of the
+    question; questions go to the units in blocks, and a unit leaves its task only
+    for questions whose best it can be among. Each source gives at most
+    ``per_source`` units.
     """
     asked = questions.select("question_id", collapse(F.col("question")).alias("question")).withColumn("terms", claim_terms(F.col("question")))
-    wanted = asked.select("question_id", F.explode("terms").alias("term"))
-    own = units.select("path", "evidence_id", "seq", "page", "label", "text").withColumn("term", F.explode(claim_terms(F.col("text"))))
-    # a unit's rows stay in its task for the whole count
-    shared = own.drop("text").join(small(wanted), "term").groupBy("question_id", "path", "evidence_id", "seq", "page", "label").agg(F.count("*").alias("overlap"))
-    met = shared.join(units.select("path", "seq", "text"), ["path", "seq"]).join(small(asked), "question_id")
+    shared = _overlaps(units, asked, max_items)
+    met = shared.join(units.select("path", "evidence_id", "seq", "page", "label", "text"), ["path", "seq"]).join(small(asked), "question_id")
     signals = F.flatten(F.array(*(F.when(F.contains(F.col("question"), F.lit(t)), F.array(*map(F.lit, s))).otherwise(F.array().cast("array<string>")) for t, s in INDIRECT.items())))
     low = F.lower("text")
     strong = F.size(matched_terms(strong_terms(F.col("terms")), F.col("text"))) > 0
     matched = F.size(matched_terms(F.col("terms"), F.col("text")))
     indirect = F.exists(F.col("signals"), lambda s: F.contains(low, s))
-    kind = F.when(strong | ((matched >= 2) & F.col("text").rlike(FACT)), "direct").when(indirect, "indirect").otherwise("none")
+    kind = F.when(strong | ((matched >= 2) & factual(F.col("text"))), "direct").when(indirect, "indirect").otherwise("none")
     relevance = F.col("overlap") + F.when(F.exists(F.col("signals"), lambda s: F.array_contains(claim_terms(F.col("text")), s)), 2).otherwise(0) + F.col("text").rlike(QUANTITY).cast("int")
     score = relevance * 10.0 + F.col("page").isNotNull().cast("int") * 2 + F.when(F.col("label").isin(BODY_LABELS), 2).otherwise(0)
     scored = met.withColumn("signals", signals).withColumns({"match": kind, "score": score}).filter("match <> 'none'")

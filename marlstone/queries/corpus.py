@@ -52,15 +52,15 @@ def retrieval_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def retrieval_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = retrieval.retrieve(units(spark, sf_dir), questions(spark, sf_dir), scope="de/")
+    found = retrieval.retrieve(units(spark, sf_dir), questions(spark, sf_dir))
     return found.select("query_id", "path", "evidence_id", "bm25", "tfidf", "score")
 
 
 def retrieval_narrowed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A search within what an earlier one of the same scope has found."""
+    """A search within what an earlier one has found."""
     corpus = units(spark, sf_dir)
-    first = materialize(retrieval.retrieve(corpus, questions(spark, sf_dir), scope="fr/", top_k=50, vectors=False), "first")
-    found = retrieval.retrieve(corpus, questions(spark, sf_dir), scope="fr/", top_k=5, among=first, vectors=False)
+    first = materialize(retrieval.retrieve(corpus, questions(spark, sf_dir), top_k=50, vectors=False), "first")
+    found = retrieval.retrieve(corpus, questions(spark, sf_dir), top_k=5, among=first, vectors=False)
     return found.select("query_id", "rank", "path", "evidence_id", "score")
 
 
@@ -285,15 +285,15 @@ CASE reason WHEN 'too_short' THEN -80.0 WHEN 'short_without_fact' THEN -80.0 WHE
 ELSE round(least(length(bare), 360) / 18.0 + len(regexp_extract_all(bare, '[。！？；.!?;]')) * 2 + f::INT * 8 + q::INT * 5, 3) END::DOUBLE AS score FROM judged""",
     "evidence_corpus_dedup": f"WITH {CANON}, {chunks_sql('canon')} SELECT path, evidence_id, seq, sha256(text) AS content_sha256 FROM corpus",
     "retrieval_bm25": f"WITH {CANON}, {chunks_sql('canon')}, {ASKED}, {bm25_sql('corpus', 'asked')}, fused AS (SELECT *, round(bm25 / max(bm25) OVER (PARTITION BY query_id), 6) AS score FROM scored), {RANKED.format(per=3)} SELECT query_id, rank, path, evidence_id, score FROM ranked WHERE rank <= 8",
-    "retrieval_narrowed": f"""WITH {CANON}, {chunks_sql('canon')}, {ASKED}, fr AS (SELECT * FROM corpus WHERE path LIKE 'fr/%'), {bm25_sql('fr', 'asked')}, fused AS (SELECT *, round(bm25 / max(bm25) OVER (PARTITION BY query_id), 6) AS score FROM scored), {RANKED.format(per=3)},
-few AS (SELECT * FROM fr WHERE evidence_id IN (SELECT evidence_id FROM ranked WHERE rank <= 50)), again AS (
+    "retrieval_narrowed": f"""WITH {CANON}, {chunks_sql('canon')}, {ASKED}, {bm25_sql('corpus', 'asked')}, fused AS (SELECT *, round(bm25 / max(bm25) OVER (PARTITION BY query_id), 6) AS score FROM scored), {RANKED.format(per=3)},
+few AS (SELECT * FROM corpus WHERE evidence_id IN (SELECT evidence_id FROM ranked WHERE rank <= 50)), again AS (
 WITH {bm25_sql('few', 'asked')}, fused AS (SELECT *, round(bm25 / max(bm25) OVER (PARTITION BY query_id), 6) AS score FROM scored), {RANKED.format(per=3)} SELECT * FROM ranked WHERE rank <= 5)
 SELECT query_id, rank, path, evidence_id, score FROM again""",
     "retrieval_manifest": f"""WITH {CANON}, {chunks_sql('canon')}, {topics_sql('canon')}, {CLUSTERS}, asked AS (SELECT cluster_id AS query_id, label AS query FROM clusters WHERE cluster_id <= 'TOPIC-0005'), {bm25_sql('corpus', 'asked')}, fused AS (SELECT *, round(bm25 / max(bm25) OVER (PARTITION BY query_id), 6) AS score FROM scored), {RANKED.format(per=3)}
 SELECT query_id, rank, path, evidence_id, score FROM ranked WHERE rank <= 6""",
-    "retrieval_hybrid": f"""WITH {CANON}, {chunks_sql('canon')}, {ASKED}, de AS (SELECT * FROM corpus WHERE path LIKE 'de/%'), {bm25_sql('de', 'asked')},
-gram AS (SELECT path, evidence_id, g, count(*) AS tf FROM (SELECT path, evidence_id, unnest(flatten(list_transform([2, 3, 4], lambda k: list_transform(range(1, greatest(length(text) - k + 2, 1)), lambda i: substr(lower(text), i::INT, k))))) AS g FROM de) GROUP BY ALL),
-voc AS (SELECT g, ln((1 + (SELECT count(*) FROM de)) / (1 + count(*))::DOUBLE) + 1 AS idf FROM gram GROUP BY g ORDER BY sum(tf) DESC, g LIMIT 12000),
+    "retrieval_hybrid": f"""WITH {CANON}, {chunks_sql('canon')}, {ASKED}, {bm25_sql('corpus', 'asked')},
+gram AS (SELECT path, evidence_id, g, count(*) AS tf FROM (SELECT path, evidence_id, unnest(flatten(list_transform([2, 3, 4], lambda k: list_transform(range(1, greatest(length(text) - k + 2, 1)), lambda i: substr(lower(text), i::INT, k))))) AS g FROM corpus) GROUP BY ALL),
+voc AS (SELECT g, ln((1 + (SELECT count(*) FROM corpus)) / (1 + count(*))::DOUBLE) + 1 AS idf FROM gram GROUP BY g),
 qg AS (SELECT query_id, g, count(*) AS tf FROM (SELECT query_id, unnest(flatten(list_transform([2, 3, 4], lambda k: list_transform(range(1, greatest(length(q) - k + 2, 1)), lambda i: substr(q, i::INT, k))))) AS g FROM (SELECT query_id, lower(trim(regexp_replace(query, '\\s+', ' ', 'g'))) AS q FROM asked)) GROUP BY ALL),
 dv AS (SELECT path, evidence_id, g, (1 + ln(tf)) * idf AS w FROM gram JOIN voc USING (g)), qv AS (SELECT query_id, g, (1 + ln(tf)) * idf AS w FROM qg JOIN voc USING (g)),
 dn AS (SELECT path, evidence_id, sqrt(sum(w * w)) AS s FROM dv GROUP BY ALL), qn AS (SELECT query_id, sqrt(sum(w * w)) AS s FROM qv GROUP BY ALL),
