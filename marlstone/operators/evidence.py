@@ -27,12 +27,16 @@ def evidence_units(docs: DataFrame, unit: int = UNIT_CHARS) -> DataFrame:
     """docs: path, sha256, text. Units of each whole text, cut at page marks, headings and every ``unit`` characters."""
     sections = F.split(F.coalesce("text", F.lit("")), f"(?={SECTION_MARK})", -1)
 
-    def cut(section: Column) -> Column:
-        page = F.coalesce(F.nullif(F.regexp_extract(section, PAGE_MARK, 1), F.lit("")), F.nullif(F.regexp_extract(section, PAGE_MARK, 2), F.lit(""))).cast("int")
-        starts = F.sequence(F.lit(0), F.greatest(F.length(section) - 1, F.lit(0)), F.lit(unit))
-        return F.transform(starts, lambda i: F.struct(page.alias("page"), i.alias("first"), collapse(F.substring(section, i + 1, F.lit(unit))).alias("text")))
+    def paged(section: Column) -> Column:
+        page = F.coalesce(F.nullif(F.regexp_extract(section, PAGE_MARK, 1), F.lit("")), F.nullif(F.regexp_extract(section, PAGE_MARK, 2), F.lit("")))
+        return F.struct(page.cast("int").alias("page"), section.alias("body"))
 
-    units = F.filter(F.flatten(F.transform(sections, cut)), lambda u: u["text"] != "")
+    def cut(x: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.length(x["body"]) - 1, F.lit(0)), F.lit(unit))
+        return F.transform(starts, lambda i: F.struct(x["page"].alias("page"), collapse(F.substring(x["body"], i + 1, F.lit(unit))).alias("text")))
+
+    # a section's page is looked up once, not for each of its units
+    units = F.filter(F.flatten(F.transform(F.transform(sections, paged), cut)), lambda u: u["text"] != "")
     out = docs.select("path", "sha256", F.posexplode(units).alias("seq", "u"))
     named = F.concat(F.lit("E-"), F.substring("sha256", 1, 10), F.lit("-"), F.lpad((F.col("seq") + 1).cast("string"), F.greatest(F.lit(5), F.length((F.col("seq") + 1).cast("string"))), F.lit("0")))
     return out.select("path", named.alias("evidence_id"), (F.col("seq") + 1).cast("long").alias("seq"), F.col("u.page").alias("page"), F.lit("text_chunk").alias("label"), F.col("u.text").alias("text"), F.col("sha256").alias("source_sha256"), F.sha2("u.text", 256).alias("content_sha256"))
@@ -73,8 +77,8 @@ def gated(units: DataFrame) -> DataFrame:
 
 def corpus(units: DataFrame) -> DataFrame:
     """Eligible units, each text of a page once for each path (the first one)."""
-    good = gated(units).filter("quality.eligible and length(text) >= 2")
-    return first_rows(good, ["path", "page", "content_sha256"], [F.col("seq")], 1)
+    # equal texts have equal verdicts, so the gate may come last, where Spark doesn't work it out a second time to filter early
+    return first_rows(gated(units), ["path", "page", "content_sha256", "label"], [F.col("seq")], 1).filter("quality.eligible and length(text) >= 2")
 
 
 def matched_terms(terms: Column, text: Column, n: int = 8) -> Column:
