@@ -7,9 +7,11 @@ record identifier and chunk number; each chunk carries the digest of the
 payload up to its end, so a reader never holds a whole record, whatever its
 length, and the last chunk has the whole payload's length and digest.
 
-Files go through pyarrow.fs, so any file system that it knows will do; each is
-written under a name of its own attempt and renamed when complete, so a task
-that is lost and run again replaces its archive. Records are gzip members.
+Files go through pyarrow.fs, so any file system that it knows will do. An
+archive's name holds the task's attempt and nothing is ever renamed: a task that
+is lost, or runs twice, writes archives of other names, and the table of archives
+lists those of the attempt that Spark accepted. Records are gzip members; chunks
+have CHUNK bytes but for a record's last one.
 
 Null html is an empty payload. Rows that repeat a page id and its payload are
 all responses if theirs is the largest id. Rows with a null id count as smaller
@@ -42,6 +44,8 @@ def revisits(pages: DataFrame, revisit_bytes: int = 1000) -> DataFrame:
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     own = own.withColumns({"payload_bytes": F.octet_length("html").cast("long"), "payload_digest": F.sha1(F.col("html").cast("binary"))})
     keys = own.drop("html", "url").filter(F.col("payload_bytes") >= revisit_bytes).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("largest"), F.count("*").alias("n")).filter("n > 1")
+    # one row for each repeated payload, written so that Spark sees its size: pages stay where they are, or a hot payload is split
+    keys = materialize(keys, "payloads")
     joined = own.join(keys.select(F.col("payload_digest").alias("k_digest"), F.col("payload_bytes").alias("k_bytes"), "largest"), (F.col("payload_digest") == F.col("k_digest")) & (F.col("payload_bytes") == F.col("k_bytes")), "left")
     again = F.col("largest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("largest"))
     return joined.select("page_id", "url", "html", "payload_bytes", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("largest")).alias("refers_to"))
@@ -77,14 +81,15 @@ def write_archives(spark: SparkSession, records: DataFrame, folder: str, max_byt
         store, base = fs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
         task, part, done, out = TaskContext.get(), 0, 0, None
-        attempt = f"{task.stageId()}-{task.taskAttemptId()}"
+
+        def named() -> str:
+            return f"part-{task.partitionId():06d}-{task.stageId()}-{task.taskAttemptId()}-{part:04d}.warc.gz"
+
         names: list[tuple[str, int]] = []
 
         def close() -> None:
             out.close()
-            name = f"{base}/part-{task.partitionId():06d}-{part:04d}.warc.gz"
-            store.move(f"{base}/.{attempt}-{part}", name)
-            names.append((f"{folder}/{name.rsplit('/', 1)[1]}", done))
+            names.append((f"{folder}/{named()}", done))
 
         for batch in in_parts(batches):
             html = column(batch, "html").cast(pa.binary())
@@ -94,7 +99,7 @@ def write_archives(spark: SparkSession, records: DataFrame, folder: str, max_byt
                     close()
                     part, done, out = part + 1, 0, None
                 if out is None:
-                    out = store.open_output_stream(f"{base}/.{attempt}-{part}")
+                    out = store.open_output_stream(f"{base}/{named()}", compression=None)
                 write_record(out, row, memoryview(payload.as_buffer()), row["payload_digest"])
                 done += 1
         if out is not None:
@@ -127,8 +132,9 @@ class _Members:
         out, self.ready = self.ready.split(NL, 1)
         return out
 
-    def upto(self, n: int) -> bytes:
-        while not self.ready:
+    def exactly(self, n: int) -> bytes:
+        """The next n bytes, CHUNK at most."""
+        while len(self.ready) < n:
             if not self.more():
                 raise EOFError("the archive ends within a record")
         out, self.ready = self.ready[:n], self.ready[n:]
@@ -173,7 +179,7 @@ def stream_chunks(raw: BinaryIO, archive: str, with_data: bool) -> Iterator[tupl
             if block - held != size:
                 raise ValueError(f"{archive}: record {number} has {block} bytes, not {held + size}")
             while True:
-                data = members.upto(min(CHUNK, size - at)) if at < size else b""
+                data = members.exactly(min(CHUNK, size - at))
                 at += len(data)
                 sha1.update(data)
                 last = at == size
