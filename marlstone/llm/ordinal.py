@@ -9,11 +9,16 @@ documents are kept.
 Weights are fitted by adaptive gradient steps with an L1 penalty, so that a
 feature with no steady bearing on the grade has no weight and a long text's many
 common words add no noise. The model is fitted on at most ``fit_rows`` rated
-documents, chosen by a hash of their id; every document is scored. Null or empty
-text has no features and gets the thresholds' own probabilities. A document with
-several ratings has the lowest. Ratings of unknown documents and null ratings are
-left out; without ratings of two grades there is nothing to fit and the figures
-are null. Rows that repeat are scored each. Other columns are left out.
+documents of at most ``fit_features`` features together, one row for each id,
+chosen by a hash of the id; so what reaches the driver is bounded. Every document
+is scored.
+
+Null or empty text has no features and gets the thresholds' own probabilities. A
+document with several ratings has the lowest; of rows that repeat a rated id one
+is fitted, and all are scored. Ratings of unknown documents and null ratings are
+left out; a grade outside 0 to n_grades - 1 is an error. Without ratings of two
+grades there is nothing to fit and the figures are null. Other columns are left
+out.
 """
 
 from __future__ import annotations
@@ -24,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import column, in_parts, materialize, texts_of
@@ -42,7 +48,7 @@ def text_features(text: bytes, bits: int) -> np.ndarray:
             out.add(crc(b"\0trail" + trail))
         if len(core) > 1 and core.isupper():
             out.add(crc(b"\0capitals"))
-    return np.unique(np.fromiter(out, np.int64, len(out)) & ((1 << bits) - 1))
+    return np.unique(np.fromiter(out, np.int64, len(out)) & ((1 << bits) - 1)).astype(np.int32)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -54,6 +60,19 @@ def _ordered(free: np.ndarray) -> np.ndarray:
     return np.concatenate([free[:1], free[0] + np.cumsum(np.exp(free[1:]))])
 
 
+def link_loss(score: np.ndarray, grades: np.ndarray, free: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Negative log likelihood of the grades, and its slopes by each row's score and by the free threshold parameters."""
+    row, ends = np.arange(len(score)), np.ones((len(score), 1))
+    above = np.concatenate([ends, _sigmoid(score[:, None] - _ordered(free)), 0 * ends], axis=1)
+    slope, p = above * (1 - above), np.maximum(above[row, grades] - above[row, grades + 1], 1e-9)
+    by_cut = np.zeros(above.shape[1])
+    np.add.at(by_cut, grades, slope[row, grades] / p)
+    np.add.at(by_cut, grades + 1, -slope[row, grades + 1] / p)
+    by_cut = by_cut[1:-1]
+    by_free = np.concatenate([[by_cut.sum()], np.cumsum(by_cut[::-1])[::-1][1:] * np.exp(free[1:])])
+    return float(-np.log(p).sum()), -(slope[row, grades] - slope[row, grades + 1]) / p, by_free
+
+
 class CumulativeLink:
     def __init__(self, weights: np.ndarray, cuts: np.ndarray, bits: int):
         self.weights, self.cuts, self.bits = weights, cuts, bits
@@ -77,16 +96,9 @@ class CumulativeLink:
             for part in np.array_split(rng.permutation(n), max(1, n // 32)):
                 features = np.concatenate([rows[i] for i in part])
                 owner = np.repeat(np.arange(len(part)), [len(rows[i]) for i in part])
-                score, g, row = np.bincount(owner, w[features], len(part)), grades[part], np.arange(len(part))
-                above = np.concatenate([np.ones((len(part), 1)), _sigmoid(score[:, None] - _ordered(free)), np.zeros((len(part), 1))], axis=1)
-                slope, p = above * (1 - above), np.maximum(above[row, g] - above[row, g + 1], 1e-9)
-                by_cut = np.zeros(n_grades + 1)
-                np.add.at(by_cut, g, slope[row, g] / p)
-                np.add.at(by_cut, g + 1, -slope[row, g + 1] / p)
-                by_cut = by_cut[1:-1]
-                by_free = np.concatenate([[by_cut.sum()], np.cumsum(by_cut[::-1])[::-1][1:] * np.exp(free[1:])])
+                _, by_score, by_free = link_loss(np.bincount(owner, w[features], len(part)), grades[part], free)
                 own, back, uses = np.unique(features, return_inverse=True, return_counts=True)
-                by_w = np.bincount(back, (-(slope[row, g] - slope[row, g + 1]) / p)[owner], len(own))
+                by_w = np.bincount(back, by_score[owner], len(own))
                 w_sum[own] += by_w**2
                 step = rate / np.sqrt(w_sum[own])
                 moved = w[own] - step * by_w
@@ -96,19 +108,26 @@ class CumulativeLink:
         return cls(w, _ordered(free), bits)
 
 
-def grade_documents(docs: DataFrame, ratings: DataFrame, *, n_grades: int = 3, fit_rows: int = 12_000, bits: int = 18, keep_tail: float = 0.5, seed: int = 5) -> DataFrame:
+def grade_documents(docs: DataFrame, ratings: DataFrame, *, n_grades: int = 3, fit_rows: int = 12_000, fit_features: int = 16_000_000, bits: int = 18, keep_tail: float = 0.5, seed: int = 5) -> DataFrame:
     """docs: doc_id, text; ratings: doc_id, grade from 0 to n_grades - 1. Grade probabilities and verdict for each row of docs."""
     spark = docs.sparkSession
-    rated = ratings.filter("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
-    chosen = materialize(rated.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(fit_rows), "rated")
+    rated = ratings.filter("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"), F.max("grade").alias("most"))
+    if not rated.filter((F.col("grade") < 0) | (F.col("most") >= n_grades)).isEmpty():
+        raise ValueError(f"grades must be from 0 to {n_grades - 1}")
+    order = F.xxhash64("doc_id", F.lit(seed))
+    chosen = materialize(rated.orderBy(order, "doc_id").limit(fit_rows).select("doc_id", "grade"), "rated")
     kind = dict(docs.dtypes)["doc_id"]
-    # at most fit_rows rows are broadcast
-    fit = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(lambda it: _hashed(it, bits), f"doc_id {kind}, grade int, features array<bigint>").toArrow().sort_by("doc_id")
+    # at most fit_rows rows are broadcast; copies of a row meet in partial aggregates first
+    hashed = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(lambda it: _hashed(it, bits), f"doc_id {kind}, grade int, features array<int>")
+    one = materialize(hashed.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("features"), "grade", "features")).alias("x")).select("doc_id", "x.grade", "x.features"), "fit")
+    sizes = one.select("doc_id", F.size("features").alias("n"))  # fit_rows narrow rows
+    upto = sizes.select("doc_id", F.sum("n").over(W.orderBy(order, "doc_id")).alias("upto")).filter(F.col("upto") <= fit_features)
+    fit = one.join(F.broadcast(upto.select("doc_id")), "doc_id", "left_semi").toArrow().sort_by("doc_id")
     grades = fit["grade"].to_numpy()
     if not len(grades) or len(set(grades.tolist())) < 2:
         return docs.select("doc_id", F.lit(None).cast("double").alias("expected_grade"), F.lit(None).cast("double").alias("tail_probability"), F.lit(None).cast("double").alias("low_probability"), F.lit(None).cast("boolean").alias("kept"))
-    features = [np.asarray(x, np.int64) for x in fit["features"].to_numpy()]
-    model = CumulativeLink.fit(features, np.clip(grades, 0, n_grades - 1), n_grades, bits, seed=seed)
+    features = [np.asarray(x, np.int32) for x in fit["features"].to_numpy()]
+    model = CumulativeLink.fit(features, grades, n_grades, bits, seed=seed)
     sent = spark.sparkContext.broadcast((model.weights.astype(np.float32), model.cuts, bits))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,4 +142,4 @@ def grade_documents(docs: DataFrame, ratings: DataFrame, *, n_grades: int = 3, f
 
 def _hashed(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     for batch in in_parts(batches):
-        yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "grade"), pa.array([text_features(t, bits) for t in texts_of(batch)], pa.list_(pa.int64()))], names=["doc_id", "grade", "features"])
+        yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "grade"), pa.array([text_features(t, bits) for t in texts_of(batch)], pa.list_(pa.int32()))], names=["doc_id", "grade", "features"])
