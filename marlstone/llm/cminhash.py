@@ -24,14 +24,20 @@ At 0.75 a pair shares no band with probability (1 - 0.75**4)**32 = 5e-6.
 Sets are only built again for the classes in candidate pairs: a table of at
 most 2**20 hash positions, so of a fixed size, sorts out the others at the scan.
 
+Hot keys: a band key, a component or a set that very many rows share only ever
+meets a written table with one row for each key, so Spark sees that table's size
+and sends it to the tasks, or splits the hot key's rows.
+
 Null or empty text has an empty set and no links; fewer than five words are one
-shingle. Rows that share a doc_id count as one document and share its answer;
-rows with a null doc_id link others but stay themselves. An empty table gives
-an empty result.
+shingle. A document is a doc_id: rows that repeat an id with other words belong
+together, as if their texts were linked, and share one component; a row without
+words stays by itself whatever its id. Rows with a null doc_id link others but
+stay themselves. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -215,25 +221,35 @@ def _rare_pairs(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     sizes = listed.groupBy("rare", "part").agg(F.count("*").alias("k"))
     mixed = sizes.groupBy("rare").agg(F.max(F.struct("k", "part")).alias("top"), F.count("*").alias("parts")).filter("parts > 1").select("rare", F.col("top.part").alias("main"))
     met = materialize(listed.join(mixed, "rare"), "rare")
-    x = met.filter("part <> main").select("rare", *(F.col(c).alias(f"x_{c}") for c in ("set_id", "part", "n", "pos")))
-    y = met.select("rare", *(F.col(c).alias(f"y_{c}") for c in ("set_id", "part", "n", "pos")), (F.col("part") == F.col("main")).alias("y_main"))
-    # from the first shingle that both have, either must go on long enough to hold the overlap that a link needs
+    # from the first shingle that both have, either must go on long enough to hold the overlap that a link needs,
+    # so a row only meets sets of such sizes as it can still be linked with: sizes are part of the key, in steps of a tenth
+    rest = F.col("n") - F.col("pos")
+    most = F.least(F.ceil(F.col("n") * 100 / percent), F.floor(rest * (100 + percent) / percent) - F.col("n"))
+    least = F.floor(F.col("n") * percent / 100)
+    x = met.filter("part <> main").withColumns({"least": least, "most": most}).filter("most >= least and most >= 1")
+    x = x.select("rare", F.explode(F.sequence(_step(F.greatest("least", F.lit(1))), _step(F.col("most")))).alias("step"), *(F.col(c).alias(f"x_{c}") for c in ("set_id", "part", "n", "pos")))
+    y = met.select("rare", _step(F.col("n")).alias("step"), *(F.col(c).alias(f"y_{c}") for c in ("set_id", "part", "n", "pos")), (F.col("part") == F.col("main")).alias("y_main"))
     left = F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos"))
     close = left * (100 + percent) >= (F.col("x_n") + F.col("y_n")) * percent
-    pairs = x.join(y, "rare").filter((F.col("x_part") != F.col("y_part")) & close & (F.col("y_main") | (F.col("x_set_id") < F.col("y_set_id"))))
+    pairs = x.join(y, ["rare", "step"]).filter((F.col("x_part") != F.col("y_part")) & close)
     return pairs.select(F.least("x_set_id", "y_set_id").alias("a"), F.greatest("x_set_id", "y_set_id").alias("b")).distinct()
 
 
+def _step(n: Column) -> Column:
+    """Sizes in steps of a tenth."""
+    return F.floor(F.ln(n.cast("double")) / math.log(1.1)).cast("int")
+
+
 def _sized(x: Column, y: Column, percent: int) -> Column:
     """Whether sets of these sizes can be linked at all."""
     return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
 
-def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """Smallest reachable node for each node of the links (a, b), by label propagation with pointer jumping."""
+def components(links: DataFrame) -> DataFrame:
+    """Smallest reachable node for each node of the links (a, b), by label propagation with pointer jumping until nothing changes."""
     edges = materialize(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
     labels = materialize(edges.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")), "labels")
-    for _ in range(max_rounds):
+    while True:
         near = edges.join(labels.withColumnRenamed("node", "a"), "a").select(F.col("b").alias("node"), "label")
         lower = near.union(labels).groupBy("node").agg(F.min("label").alias("label"))
         of = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
@@ -242,7 +258,13 @@ def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
         labels = new
         if not changed:
             return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def _of_one_id(signed: DataFrame) -> DataFrame:
+    """Links (a, b) between the first set of a document and its others, where rows repeat an id."""
+    known = signed.filter("doc_id is not null and set_id is not null").select("doc_id", "set_id")
+    several = materialize(known.groupBy("doc_id").agg(F.min("set_id").alias("a"), F.max("set_id").alias("z")).filter("a <> z").drop("z"), "repeated")
+    return known.join(several, "doc_id").filter("set_id <> a").select("a", F.col("set_id").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = 75) -> DataFrame:
@@ -251,18 +273,18 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75) -> DataFrame:
     signed = materialize(docs.mapInArrow(sign, SIGNED), "signed")
     sets = signed.filter("set_id is not null").groupBy("set_id").agg(F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
     members = sets.select("set_id", "n_shingles", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = materialize(members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
     buckets = materialize(members.join(shared, "bucket"), "buckets")
     weights = buckets.groupBy("set_id").agg(F.sum("n").alias("weight"))
-    centres = buckets.join(weights, "set_id").groupBy("bucket").agg(F.max(F.struct("weight", "set_id", "n_shingles")).alias("centre"))
+    centres = materialize(buckets.join(weights, "set_id").groupBy("bucket").agg(F.max(F.struct("weight", "set_id", "n_shingles")).alias("centre")), "centres")
     met = buckets.join(centres, "bucket").filter((F.col("set_id") != F.col("centre.set_id")) & _sized(F.col("n_shingles"), F.col("centre.n_shingles"), percent))
     stars = materialize(met.select(F.least("set_id", "centre.set_id").alias("a"), F.greatest("set_id", "centre.set_id").alias("b")).distinct(), "stars")
     ids = stars.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    links = materialize(_verified(stars, _sets(ids, docs, signed), percent), "links")
+    links = materialize(_verified(stars, _sets(ids, docs, signed), percent).union(_of_one_id(signed)), "links")
     near = components(links)
 
     placed = buckets.join(near.withColumnRenamed("node", "set_id"), "set_id", "left").select("bucket", "set_id", F.coalesce("label", "set_id").alias("part"))
-    mixed = placed.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("bucket")
+    mixed = materialize(placed.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("bucket"), "mixed")
     open_sets = materialize(placed.join(mixed, "bucket", "left_semi").select("set_id", "part").distinct(), "open")
     if not open_sets.isEmpty():
         sets = _sets(open_sets.select("set_id"), docs, signed)
@@ -273,8 +295,9 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75) -> DataFrame:
 
     classes = signed.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"))
     grouped = classes.join(near.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", "least", F.coalesce("label", "set_id").alias("part"))
-    heads = grouped.groupBy("part").agg(F.min("least").alias("component_id"))
-    of_set = grouped.join(heads, "part").select("set_id", "component_id")
+    grouped = materialize(grouped, "grouped")
+    heads = materialize(grouped.groupBy("part").agg(F.min("least").alias("component_id")), "heads")
+    of_set = materialize(grouped.join(heads, "part").select("set_id", "component_id"), "of-set")
     lonely = signed.filter("set_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     found = signed.filter("set_id is not null").join(of_set, "set_id").select("doc_id", "n_shingles", "component_id").union(lonely)
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.col("component_id"))
