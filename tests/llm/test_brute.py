@@ -75,15 +75,105 @@ def test_base_figures(spark, data, texts):
         assert r.base_failed == (len(words) < 10 or 100 * len(inside) > 20 * len(words)) and not (r.kept and r.base_failed)
 
 
-def test_kneser_ney_sums_to_one():
-    text = b"the cat and the dog and the bird sat on the mat " * 3
-    keys, counts = np.unique(perplexity.keys_of(text), return_counts=True)
-    model = perplexity.KneserNey(keys, counts)
-    for context in (b"the", b"and", b"qqq"):
-        head = 0
-        for b in context:
-            head = head << 6 | int(perplexity.CLASSES[b])
-        assert np.exp(model.log_probability((head << 6) | np.arange(64))).sum() == pytest.approx(1, abs=1e-5)
+def classes_of(text: str) -> list[int]:
+    out = []
+    for i, ch in enumerate(text):
+        c = ord(ch)
+        if "A" <= ch <= "Z":
+            out.append(perplexity.SHOUTED if i and "A" <= text[i - 1] <= "Z" else c + 32)
+        elif "0" <= ch <= "9":
+            out.append(48)
+        elif ch in " \t\x0b\f\r":
+            out.append(32)
+        elif ch == "\n":
+            out.append(10)
+        elif c < 32 or c == 127:
+            out.append(perplexity.CONTROL)
+        else:
+            out.append(c if c < 2048 else 2048 + (c * 2654435761 >> 7) % 2048)
+    return out
+
+
+def plain_kneser_ney(texts: list[str]):
+    """P(x | context) by dictionaries and recursion."""
+    runs = [[0, 0, 0, 0, *classes_of(t), 0] for t in texts]
+    counts = {5: Counter(tuple(r[i : i + 5]) for r in runs for i in range(len(r) - 4))}
+    for n in (4, 3, 2, 1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    cuts = {}
+    for n, c in counts.items():
+        seen = [sum(v == i for v in c.values()) for i in range(5)]
+        y = seen[1] / (seen[1] + 2 * seen[2]) if seen[1] and seen[2] else 0.5
+        d = [0.0] + [min(i, max(0.05, i - (i + 1) * y * seen[i + 1] / seen[i])) if seen[i] else 0.5 for i in (1, 2, 3)]
+        cuts[n] = {g: min(v, d[min(v, 3)]) for g, v in c.items()}
+    totals, lost = {n: Counter() for n in counts}, {n: Counter() for n in counts}
+    for n, c in counts.items():
+        for g, v in c.items():
+            totals[n][g[:-1]] += v
+            lost[n][g[:-1]] += cuts[n][g]
+
+    def p(g: tuple) -> float:
+        if not g:
+            return 1 / 4096
+        n, t = len(g), totals[len(g)][g[:-1]]
+        below = p(g[1:])
+        return below if not t else (counts[n].get(g, 0) - cuts[n].get(g, 0)) / t + lost[n][g[:-1]] / t * below
+
+    return p
+
+
+def test_perplexity_is_the_plain_model(spark):
+    rng = random.Random(2)
+    words = {"en": "the harbour and a ship went out to sea with cargo HIGH 12".split(), None: "море и корабль 港口 船 è ñ".split(), "": ["aa", "ab", "b#a"]}
+    rows = [(i, " ".join(rng.choice(words[k]) for _ in range(rng.randrange(10, 30))) + "\n" * (i % 2), k) for i in range(60) for k in words]
+    rows = [(i, t, k) for i, (_, t, k) in enumerate(rows)] + [(900, "", "en"), (901, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r.doc_id: r for r in perplexity.judge_documents(docs).collect()}
+    parted = {r.doc_id: r for r in perplexity.judge_documents(docs, entries=300).collect()}
+    halves = defaultdict(list)
+    for _, t, k in rows:
+        halves[k, zlib.crc32((t or "").encode()) % 2].append(t or "")
+    prose = {k: [t for t in v if sum(t.count(x) for x in "#*$%&|<>") <= 0.1 * len(t.split())] for k, v in halves.items()}
+    models = {k: plain_kneser_ney(prose[k] if any(prose[k]) else v) for k, v in halves.items()}
+    for i, t, k in rows:
+        text = t or ""
+        run = [0, 0, 0, 0, *classes_of(text), 0]
+        model = models[k, 1 - zlib.crc32(text.encode()) % 2]
+        want = math.exp(-sum(math.log(model(tuple(run[j : j + 5]))) for j in range(len(run) - 4)) / (len(text) + 1))
+        assert found[i].perplexity == pytest.approx(want, rel=1e-4), (text, k)
+        assert parted[i].perplexity == pytest.approx(want, rel=1e-4) and parted[i].kept == found[i].kept
+
+
+def test_both_bands_and_several_scripts(spark):
+    rng = random.Random(12)
+    letters = {"ru": "оеаинтсрвлкмдпуя", "zh": "港口船货物流量增长年度报告关闭延误成本价格", "ar": "ابتثجحخدذرزسشصضطظعغ"}
+    rows, junk = [], {}
+    for lang, own in letters.items():
+        vocabulary = ["".join(rng.choice(own) for _ in range(rng.randrange(2, 6))) for _ in range(150)]
+        for _ in range(200):
+            rows.append((len(rows), " ".join(rng.choices(vocabulary, [1 / (i + 1) for i in range(150)], k=80)), lang))
+        for _ in range(5):
+            junk[len(rows)] = "high"
+            rows.append((len(rows), " ".join("".join(chr(rng.randrange(0x21, 0x7E)) for _ in range(6)) for _ in range(80)), lang))
+            junk[len(rows)] = "high"
+            rows.append((len(rows), " ".join("".join(rng.choice(own) for _ in range(5)) for _ in range(80)), lang))
+            junk[len(rows)] = "low"
+            rows.append((len(rows), " ".join(vocabulary[i] for i in rng.choices(range(3), k=80)), lang))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = {r.doc_id: r for r in perplexity.judge_documents(docs).collect()}
+    for i, side in junk.items():
+        r = out[i]
+        assert not r.kept
+        if not r.base_failed:
+            assert r.perplexity > r.upper_bound if side == "high" else r.perplexity < r.lower_bound, (rows[i], r)
+    assert sum(r.kept for i, r in out.items() if i not in junk) >= 0.95 * (len(rows) - len(junk))
+
+
+def test_perplexity_hands_on_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "some words " * 8, "en", True, 5), (2, None, None, None, None)], "doc_id long, text string, lang string, kept boolean, own int")
+    out = perplexity.judge_documents(docs, id_columns=("doc_id", "text", "lang", "kept", "own"))
+    assert out.columns[:5] == ["doc_id", "text", "lang", "kept_", "own"]
+    assert {(r.doc_id, r.text, r.kept_, r.own) for r in out.collect()} == {(1, "some words " * 8, True, 5), (2, None, None, None)}
 
 
 def test_perplexity_rejects_noise(spark, data, texts):
