@@ -28,9 +28,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the quality rules reject go, whatever other rows of their id are like."""
-    named = {"doc_id": "doc_id", "text": "__text", "lang": "__lang", "source": "source", "n_chars": "n_chars"}
-    judged = judge_documents(docs.select("text", "lang", *(F.col(c).alias(n) for c, n in named.items())), id_columns=tuple(named.values()))
-    return judged.filter("kept").select(*(F.col(n).alias(c) for c, n in named.items()))
+    return judge_documents(docs, id_columns=COLUMNS).filter("kept").select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
