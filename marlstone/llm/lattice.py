@@ -1,28 +1,37 @@
 """Subword lattice likelihood (operator 1).
 
-A text is a run of tokens: its words and then one end. Training rows fall into
-groups by language, and a text's probability is the marginal over the groups,
-
-    P(text) = sum_k share_k * product over tokens of P_k(t)
-    P_k(t) = (c_k - D_k) / N_k + D_k V_k / N_k * P(t)
-    P(t) = (c - D) / N + D V / N * Q(t)
-
-with c, N and V counted over the training rows (of the group, or of all) and D
-the usual absolute discount n1 / (n1 + 2 n2). The scored row's own language is
-not looked at. Q is the subword lattice: every way to cut the word into pieces
-of an existing vocabulary adds its probability, by a forward recursion in log
-space, so Q is the marginal over all segmentations. The first piece comes from
-the pieces that open a word, the others from the rest, and a stop ends the word,
-so Q sums to one over words and P over tokens. Pieces start with weights after
-the vocabulary's own scores (its rank order, read as a Zipf law) and are fitted
-to the training words by expectation maximisation; the vocabulary itself stays
-as it is. Single bytes are pieces too, so every text has a finite score.
+A text is a run of tokens: its words and then one end. A word's probability is
+the sum over all ways through its lattice, by a forward recursion in log space:
+
+    P(word) = sum over all segmentations of the product of its arcs
+
+The arcs are the pieces of an existing vocabulary, single bytes, and, for words of
+the training rows, one arc from the word's beginning to its end. The long arc
+weighs (c - D) / N, the way into the pieces D V / N, with c, N and V counted over
+the training rows and D the usual absolute discount n1 / (n1 + 2 n2). The first
+piece comes from the pieces that open a word, the others from the rest, and a stop
+ends the word, so P sums to one over words. ``score`` is the log10 probability of
+the text; ``piece_score`` leaves the long arcs out.
+
+The vocabulary's scores are ranks (0, -1, ...), so a piece of score s weighs
+1 / (3 - s), normalised. These weights start expectation maximisation over the
+distinct training words and are its prior too, worth ``prior`` uses in all; the
+vocabulary itself stays as it is. Single bytes are pieces too, so every text has a
+finite score.
+
+``mixture_score`` is a further figure: the marginal over language groups, each
+with long arcs of its own above the lattice,
+
+    P(text) = sum_k share_k * product over tokens of
+        (c_k - D_k) / N_k + D_k V_k / N_k * P(t)
+
+where the ``languages`` most frequent languages have a group of their own and all
+others and null share one. The scored row's own language is not looked at.
 
 Counts come from all rows. The figures of the most frequent words (at most
 ``head_words``, each known by at most 64 bytes, so of a fixed size) are sent to
 the tasks; all other words meet theirs in a shuffle join, in which no key is
-frequent. The ``languages`` most frequent languages have a group of their own,
-all others and null share one.
+frequent.
 
 Null text counts as empty (only the end is scored), a null id trains, repeated
 rows count and are scored each, an empty table gives an empty result. Other
@@ -86,14 +95,14 @@ class Pieces:
 
     @classmethod
     def from_vocabulary(cls, pieces: list[tuple[bytes, bool, float]]) -> Pieces:
-        """pieces: bytes, whether it opens a word, score (only its order is used)."""
-        order = sorted(pieces, key=lambda p: -p[2])
+        """pieces: bytes, whether it opens a word, score (0 for the first, lower for all others)."""
         opening, inner = {}, {}
-        for rank, (piece, opens, _) in enumerate(order):
-            (opening if opens else inner).setdefault(piece, 1 / (rank + 3))
+        for piece, opens, score in pieces:
+            (opening if opens else inner).setdefault(piece, 1 / (3 - score))
+        least = 1 / (3 - min((s for _, _, s in pieces), default=0))
         for b in range(256):
-            inner.setdefault(bytes([b]), 1 / (len(order) + 3))
-        opening.setdefault(b"", 1 / (len(order) + 3))
+            inner.setdefault(bytes([b]), least)
+        opening.setdefault(b"", least)
         return cls.normalised(opening, inner, 0.35)
 
     @classmethod
@@ -101,8 +110,8 @@ class Pieces:
         a, b = sum(opening.values()), sum(inner.values())
         return cls({p: math.log(w / a) for p, w in opening.items()}, {p: math.log(w / b * (1 - stop)) for p, w in inner.items()}, math.log(stop))
 
-    def _forward(self, x: np.ndarray, cells: list | None = None) -> tuple[np.ndarray, list]:
-        """x: words of one length, a row each. Log-space forward recursion; cells gets the pieces of each span."""
+    def _forward(self, x: np.ndarray) -> tuple[np.ndarray, list]:
+        """x: words of one length, a row each. Log probability of all ways to each place, and the states of the opening pieces."""
         rows, n = x.shape
         alpha = np.full((n + 1, rows), -np.inf)
         state, first = np.ones(rows, np.int32), [(0, np.ones(rows, np.int32))]
@@ -114,40 +123,45 @@ class Pieces:
             alpha[j + 1] = self.open_weight[state]
             first.append((j + 1, state))
         for i in range(n):
-            state = np.ones(rows, np.int32)
-            for j in range(i, n):
-                state = self.in_step[state, x[:, j]]
-                if not state.any():
-                    break
-                np.logaddexp(alpha[j + 1], alpha[i] + self.in_weight[state], out=alpha[j + 1])
-                if cells is not None:
-                    cells.append((i, j + 1, state))
+            for j, state in self._from(x, i):
+                np.logaddexp(alpha[j], alpha[i] + self.in_weight[state], out=alpha[j])
         return alpha, first
 
-    def log_probabilities(self, words: list[bytes]) -> np.ndarray:
-        """Natural log of Q for each word."""
+    def _from(self, x: np.ndarray, i: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Ends and states of the pieces that begin at i."""
+        state = np.ones(x.shape[0], np.int32)
+        for j in range(i, x.shape[1]):
+            state = self.in_step[state, x[:, j]]
+            if not state.any():
+                return
+            yield j + 1, state
+
+    def log_probabilities(self, words: list[bytes], long_arcs: np.ndarray | None = None, into_pieces: float = 0.0) -> np.ndarray:
+        """Natural log of each word's sum over its lattice. long_arcs: log weight of the arc over the whole word; into_pieces: of the way into the pieces."""
         out = np.empty(len(words))
         for at, x in _by_length(words):
-            out[at] = self._forward(x)[0][-1] + self.stop
+            last = self._forward(x)[0][-1] + into_pieces + self.stop
+            out[at] = last if long_arcs is None else np.logaddexp(last, long_arcs[at])
         return out
 
     def expect(self, words: list[bytes], opening: np.ndarray, inner: np.ndarray) -> None:
-        """Adds the expected number of uses of each state's piece; runs of over 512 bytes count in parts."""
-        parts = [w[i : i + 512] for w in words for i in range(0, len(w), 512)]
-        for _, x in _by_length(parts):
-            cells: list = []
-            alpha, first = self._forward(x, cells)
+        """Adds the expected number of uses of each state's piece. The way back walks the pieces again, so only a row of figures for each place is held."""
+        for _, x in _by_length(words):
+            alpha, first = self._forward(x)
             n, total = x.shape[1], alpha[-1]
             beta = np.full_like(alpha, -np.inf)
             beta[n] = 0.0
-            states, uses = [], []
-            for i, j, state in reversed(cells):
-                through = self.in_weight[state] + beta[j]
-                np.logaddexp(beta[i], through, out=beta[i])
-                states.append(state)
-                uses.append(np.exp(alpha[i] + through - total))
-            if states:
-                inner += np.bincount(np.concatenate(states), np.concatenate(uses), len(inner))
+            states, uses, held = [], [], 0
+            for i in range(n - 1, -1, -1):
+                for j, state in self._from(x, i):
+                    through = self.in_weight[state] + beta[j]
+                    np.logaddexp(beta[i], through, out=beta[i])
+                    states.append(state)
+                    uses.append(np.exp(alpha[i] + through - total))
+                    held += len(state)
+                if held > 1 << 18 or (not i and states):
+                    inner += np.bincount(np.concatenate(states), np.concatenate(uses), len(inner))
+                    states, uses, held = [], [], 0
             for j, state in first:
                 opening += np.bincount(state, np.exp(self.open_weight[state] + beta[j] - total), len(opening))
 
@@ -207,9 +221,10 @@ def count_words(batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.R
     yield out()
 
 
-def fit_pieces(words: DataFrame, pieces: Pieces, rounds: int) -> Pieces:
-    """Expectation maximisation over the distinct training words, one Spark job a round."""
+def fit_pieces(words: DataFrame, pieces: Pieces, rounds: int, prior: float) -> Pieces:
+    """Expectation maximisation over the distinct training words, one Spark job a round; the first weights count as ``prior`` uses."""
     spark = words.sparkSession
+    believed = [{p: prior * math.exp(w) for p, w in table.items()} for table in (pieces.opening, pieces.inner)]
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast((pieces.opening, pieces.inner, pieces.stop))
 
@@ -230,8 +245,8 @@ def fit_pieces(words: DataFrame, pieces: Pieces, rounds: int) -> Pieces:
         sent.unpersist()
         if not ended:
             break
-        opening = {p: uses.get((0, p), 0.0) + 0.01 for p in pieces.opening}
-        inner = {p: uses.get((1, p), 0.0) + 0.01 for p in pieces.inner}
+        opening = {p: uses.get((0, p), 0.0) + m for p, m in believed[0].items()}
+        inner = {p: uses.get((1, p), 0.0) + m for p, m in believed[1].items()}
         pieces = Pieces.normalised(opening, inner, (ended + 1) / (ended + inner_uses + 2))
     return pieces
 
@@ -250,7 +265,7 @@ def _least_count(spectrum: dict[int, int], room: int) -> int:
     return least
 
 
-def score_documents(docs: DataFrame, model_file: str, *, head_words: int = 150_000, rounds: int = 2, languages: int = 7) -> DataFrame:
+def score_documents(docs: DataFrame, model_file: str, *, head_words: int = 150_000, rounds: int = 2, prior: float = 300.0, languages: int = 7) -> DataFrame:
     """docs: doc_id, text, lang, held_out. One row for each row of docs; see the module's text."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"), F.coalesce("held_out", F.lit(False)).alias("held_out"))
@@ -280,10 +295,10 @@ def score_documents(docs: DataFrame, model_file: str, *, head_words: int = 150_0
     laws = [law(c, ended.get(k, 0)) for k, c in enumerate(cs)]
     shares = [math.log10((ended.get(k, 0) + 1) / (ends + groups)) for k in range(groups)]
 
-    pieces = fit_pieces(words.filter("train > 0"), Pieces.from_vocabulary(load_pieces(model_file)), rounds)
+    pieces = fit_pieces(words.filter("train > 0"), Pieces.from_vocabulary(load_pieces(model_file)), rounds, prior)
     sent = spark.sparkContext.broadcast((pieces.opening, pieces.inner, pieces.stop))
     ms = [f"m{k}" for k in range(groups)]
-    sums = ["b", *ms, "q"]
+    sums = ["b", "p", *ms, "q"]
 
     def own(c: np.ndarray, d: float, n: int) -> np.ndarray:
         return np.where(c > 0, c - d, 0) / max(n, 1)
@@ -293,19 +308,20 @@ def score_documents(docs: DataFrame, model_file: str, *, head_words: int = 150_0
         for batch in in_parts(batches):
             names = column(batch, "word").to_pylist()
             c = column(batch, "train").to_numpy().astype(float)
-            q = model.log_probabilities(names)
             with np.errstate(divide="ignore"):
-                p = np.logaddexp(np.log(own(c, discount, total)), math.log(left) + q)
+                long_arcs = np.log(own(c, discount, total))
+                p = model.log_probabilities(names, long_arcs, math.log(left))
+                q = model.log_probabilities(names)
                 m = [np.logaddexp(np.log(own(column(batch, k).to_numpy().astype(float), d, n)), math.log(rest) + p) / LN10 for k, (n, _, d, rest) in zip(cs, laws, strict=True)]
             known = [pa.array(list(map(word_key, names)), pa.binary()), column(batch, "train"), column(batch, "other")]
-            yield pa.RecordBatch.from_arrays([*known, *map(pa.array, (np.log10(c + 1), *m, q / LN10))], names=["word", "train", "other", *sums])
+            yield pa.RecordBatch.from_arrays([*known, *map(pa.array, (np.log10(c + 1), p / LN10, *m, q / LN10))], names=["word", "train", "other", *sums])
 
     weighed = materialize(words.mapInArrow(weigh, "word binary, train bigint, other bigint, " + ", ".join(f"{x} double" for x in sums)), "weighed")
     frequent = F.col("train") + F.col("other") >= least
     head = weighed.filter(frequent).select("word", (F.col("train") > 0).cast("double").alias("known"), *sums).toArrow()  # head_words rows at most
     sent_head = spark.sparkContext.broadcast(({w: i for i, w in enumerate(head.column("word").to_pylist())}, np.stack([head.column(c).to_numpy() for c in ("known", *sums)], axis=1)))
     end_all = max(ends - discount, 1e-300) / max(total, 1)
-    end = [float(ends > 0), math.log10(ends + 1), *(math.log10(own(np.array(float(ended.get(k, 0))), d, n) + rest * end_all) for k, (n, _, d, rest) in enumerate(laws)), 0.0]
+    end = [float(ends > 0), math.log10(ends + 1), math.log10(end_all), *(math.log10(own(np.array(float(ended.get(k, 0))), d, n) + rest * end_all) for k, (n, _, d, rest) in enumerate(laws)), 0.0]
     totals = ["n_known", *sums]
     parts_of = ["uid bigint", "doc_id " + dict(docs.dtypes)["doc_id"], "held_out boolean", "n_tokens bigint", *(f"{x} double" for x in totals), "word binary", "tf bigint"]
     kinds = spark.createDataFrame([], ", ".join(parts_of)).schema
@@ -345,6 +361,7 @@ def score_documents(docs: DataFrame, model_file: str, *, head_words: int = 150_0
         F.round("n_known").cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("b") - F.col("n_tokens") * F.lit(math.log10(total + distinct + 1))).alias("base_score"),
-        marginal.alias("score"),
+        F.col("p").alias("score"),
         F.col("q").alias("piece_score"),
+        marginal.alias("mixture_score"),
     )

@@ -55,6 +55,50 @@ def test_lattice_is_the_sum_over_all_cuts():
     assert np.exp(pieces.log_probabilities(words)) == pytest.approx([total(w, False) for w in words])
 
 
+def test_scores_are_sums_over_all_segmentations(spark, monkeypatch):
+    """The whole operator on a small vocabulary, against every way to cut every word."""
+    vocabulary = [(b"", True, 0.0), (b"a", True, -1.0), (b"ab", True, -2.0), (b"a", False, -3.0), (b"b", False, -4.0), (b"ba", False, -5.0)]
+    monkeypatch.setattr(lattice, "load_pieces", lambda _: vocabulary)
+    rows = [(1, "ab ab ba A", "x", False), (2, "ab bb bab", "y", False), (3, "abba ab", "x", True), (4, None, None, False), (5, "bbab c" + "d" * 700, None, True)]
+    out = {r.doc_id: r for r in lattice.score_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string, held_out boolean"), "", rounds=0).collect()}
+    pieces = lattice.Pieces.from_vocabulary(vocabulary)
+
+    def total(word: bytes) -> float:
+        ways = [0.0] * (len(word) + 1)
+        for p, w in pieces.opening.items():
+            if word.startswith(p):
+                ways[len(p)] += math.exp(w)
+        for i in range(len(word)):
+            for p, w in pieces.inner.items():
+                if word.startswith(p, i):
+                    ways[i + len(p)] += ways[i] * math.exp(w)
+        return ways[-1] * math.exp(pieces.stop)
+
+    tokens = {k: [*(t or "").lower().split(), None] for k, t, _, _ in rows}
+    counts = Counter(w for k, _, _, held in rows if not held for w in tokens[k])
+    words = {w: c for w, c in counts.items() if w is not None}
+    n, v = counts.total(), len(counts)
+    ones, twos = (sum(c == i for c in words.values()) for i in (1, 2))
+    d = min(0.95, max(0.05, ones / (ones + 2 * twos)))
+    assert math.isfinite(out[5].score) and out[5].score < -700  # too small for the plain sum
+    for k in out.keys() - {5}:
+        want = sum(math.log10(max(counts[w] - d, 0) / n + (d * v / n * total(w.encode()) if w else 0)) for w in tokens[k])
+        assert out[k].score == pytest.approx(want, rel=1e-9)
+
+
+def test_expected_uses_are_the_slopes_of_the_log_probability():
+    """Also of words of any length."""
+    pieces = lattice.Pieces.normalised({b"": 1.0, b"a": 2.0, b"ab": 1.0}, {b"a": 1.0, b"b": 1.0, b"ab": 3.0, b"ba": 1.0}, 0.3)
+    for words in ([b"abab", b"bba", b"aab"], [b"ab" * 400]):
+        opening, inner = np.zeros(len(pieces.open_weight)), np.zeros(len(pieces.in_weight))
+        pieces.expect(words, opening, inner)
+        for p, s in pieces.in_at.items():
+            e = 1e-6
+            up = lattice.Pieces(pieces.opening, pieces.inner | {p: pieces.inner[p] + e}, pieces.stop)
+            slope = (up.log_probabilities(words).sum() - pieces.log_probabilities(words).sum()) / e
+            assert inner[s] == pytest.approx(slope, rel=1e-3, abs=1e-4)
+
+
 def test_word_probabilities_sum_below_one():
     pieces = lattice.Pieces.normalised({b"": 1.0, b"a": 1.0}, {b"a": 1.0, b"b": 2.0}, 0.4)
     words = [bytes(x) for n in range(1, 12) for x in np.array(np.meshgrid(*[[97, 98]] * n)).reshape(n, -1).T.astype(np.uint8)]
