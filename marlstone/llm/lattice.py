@@ -136,13 +136,15 @@ class Pieces:
                 return
             yield j + 1, state
 
-    def log_probabilities(self, words: list[bytes], long_arcs: np.ndarray | None = None, into_pieces: float = 0.0) -> np.ndarray:
-        """Natural log of each word's sum over its lattice. long_arcs: log weight of the arc over the whole word; into_pieces: of the way into the pieces."""
-        out = np.empty(len(words))
+    def log_probabilities(self, words: list[bytes], long_arcs: np.ndarray | None = None, into_pieces: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """Natural log of each word's sum over its lattice, with and without the arc over the whole word.
+
+        long_arcs: log weight of that arc; into_pieces: log weight of the way into the pieces.
+        """
+        pieces = np.empty(len(words))
         for at, x in _by_length(words):
-            last = self._forward(x)[0][-1] + into_pieces + self.stop
-            out[at] = last if long_arcs is None else np.logaddexp(last, long_arcs[at])
-        return out
+            pieces[at] = self._forward(x)[0][-1] + self.stop
+        return (pieces if long_arcs is None else np.logaddexp(pieces + into_pieces, long_arcs)), pieces
 
     def expect(self, words: list[bytes], opening: np.ndarray, inner: np.ndarray) -> None:
         """Adds the expected number of uses of each state's piece. The way back walks the pieces again, so only a row of figures for each place is held."""
@@ -310,8 +312,7 @@ def score_documents(docs: DataFrame, model_file: str, *, head_words: int = 150_0
             c = column(batch, "train").to_numpy().astype(float)
             with np.errstate(divide="ignore"):
                 long_arcs = np.log(own(c, discount, total))
-                p = model.log_probabilities(names, long_arcs, math.log(left))
-                q = model.log_probabilities(names)
+                p, q = model.log_probabilities(names, long_arcs, math.log(left))
                 m = [np.logaddexp(np.log(own(column(batch, k).to_numpy().astype(float), d, n)), math.log(rest) + p) / LN10 for k, (n, _, d, rest) in zip(cs, laws, strict=True)]
             known = [pa.array(list(map(word_key, names)), pa.binary()), column(batch, "train"), column(batch, "other")]
             yield pa.RecordBatch.from_arrays([*known, *map(pa.array, (np.log10(c + 1), p / LN10, *m, q / LN10))], names=["word", "train", "other", *sums])
