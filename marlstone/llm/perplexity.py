@@ -43,6 +43,7 @@ count each. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -193,8 +194,7 @@ class HashArrays:
     """One part of the table: sorted keys and their values, and what has been looked up lately."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, self.values = keys[order], values[order]
+        self.keys, self.values = keys, values
         self.late_keys, self.late_sums = np.zeros(LATE, np.int64), np.zeros(LATE)
 
     def _of(self, h: np.ndarray) -> np.ndarray:
@@ -224,6 +224,17 @@ class HashArrays:
         return out
 
 
+_arrays: dict[str, HashArrays] = {}
+
+
+def _arrays_of(name: str, sent: Broadcast) -> HashArrays:
+    """The worker's arrays; those of another part are let go."""
+    if name not in _arrays:
+        _arrays.clear()
+        _arrays[name] = HashArrays(*sent.value)
+    return _arrays[name]
+
+
 def log_probabilities(arrays: HashArrays, models: list[int], texts: list[bytes]) -> np.ndarray:
     """This part's share of the log probability of each text."""
     out = np.zeros(len(texts))
@@ -279,11 +290,11 @@ def facts(text: bytes) -> tuple[int, int, int, int, int]:
     return len(words), chars, symbols_in(text), len(lines) - len(set(lines)), repeated_words(words)
 
 
-def _scored(source: DataFrame, ids: list[str], sent: Broadcast, kinds: dict[str, str]) -> DataFrame:
+def _scored(source: DataFrame, ids: list[str], name: str, sent: Broadcast, kinds: dict[str, str]) -> DataFrame:
     """Base figures and the first part's share of the log probability."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrays = HashArrays(*sent.value)
+        arrays = _arrays_of(name, sent)
         for batch in in_parts(batches):
             texts, rows = texts_of(batch), []
             for text in texts:
@@ -298,11 +309,11 @@ def _scored(source: DataFrame, ids: list[str], sent: Broadcast, kinds: dict[str,
     return source.select(*ids, "text", "other").mapInArrow(score, ", ".join([*(f"{c} {kinds[c]}" for c in ids), FACTS]))
 
 
-def _share(source: DataFrame, sent: Broadcast) -> DataFrame:
+def _share(source: DataFrame, name: str, sent: Broadcast) -> DataFrame:
     """uid, log_p: a further part's share."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrays = HashArrays(*sent.value)
+        arrays = _arrays_of(name, sent)
         for batch in in_parts(batches):
             yield pa.RecordBatch.from_arrays([column(batch, "uid"), pa.array(log_probabilities(arrays, column(batch, "other").to_pylist(), texts_of(batch)))], names=["uid", "log_p"])
 
@@ -330,14 +341,14 @@ def judge_documents(docs: DataFrame, *, id_columns: tuple[str, ...] = ("doc_id",
         source = materialize(source.withColumn("uid", F.monotonically_increasing_id()), "source")
         ids.append("uid")
 
-    def send(part: int) -> Broadcast:
-        rows = table.filter(F.pmod(F.xxhash64("key"), F.lit(parts)) == part).toArrow()  # about ``entries`` rows
-        return spark.sparkContext.broadcast((rows["key"].to_numpy(), rows["value"].to_numpy()))
+    def send(part: int) -> tuple[str, Broadcast]:
+        rows = table.filter(F.pmod(F.xxhash64("key"), F.lit(parts)) == part).orderBy("key").toArrow()  # about ``entries`` rows
+        return uuid.uuid4().hex, spark.sparkContext.broadcast((rows["key"].to_numpy(), rows["value"].to_numpy()))
 
     kept_ids = [*ids, "lang_id"]
-    scored = materialize(_scored(source, kept_ids, send(0), dict(source.dtypes)), "scored")
+    scored = materialize(_scored(source, kept_ids, *send(0), dict(source.dtypes)), "scored")
     for part in range(1, parts):
-        more = materialize(_share(source, send(part)), "share").withColumnRenamed("log_p", "more")
+        more = materialize(_share(source, *send(part)), "share").withColumnRenamed("log_p", "more")
         scored = materialize(scored.join(more, "uid").withColumn("log_p", F.col("log_p") + F.col("more")).drop("more"), "scored")
     scored = scored.withColumn("log_ppl", float(np.log(CLASSES)) - F.col("log_p") / (F.col("n_chars") + 1))
     # counts by steps of a thousandth, so a table of a fixed size for each language, which comes out alike in every run
