@@ -1,4 +1,4 @@
-"""Clusters of vectors: neighbours, average link for small corpora, k-means beyond, sign buckets."""
+"""Clusters of vectors: neighbours, k-means, average link for few vectors, sign buckets."""
 
 from __future__ import annotations
 
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import cosine, sign_bits
 from .inventory import first_rows
 
-#: Above this many vectors, average link gives way to k-means.
+#: Average link compares all pairs in one task, so it takes no more vectors than these.
 AVERAGE_LINK = 500
 
 
@@ -102,16 +102,21 @@ def _average_link(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["vec_id", "first_id", "size", "place", "mean_similarity", "threshold"])
 
 
+def average_link(vectors: DataFrame) -> DataFrame:
+    """vec_id, cluster (the smallest id in it), size, place by centrality, mean similarity, threshold; for AVERAGE_LINK vectors at most."""
+    own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    if own.limit(AVERAGE_LINK + 1).count() > AVERAGE_LINK:
+        raise ValueError(f"average link takes {AVERAGE_LINK} vectors at most; use clusters")
+    found = own.withColumn("corpus", F.pmod("vec_id", F.lit(1))).groupBy("corpus").applyInPandas(_average_link, "vec_id long, first_id long, size long, place long, mean_similarity double, threshold double")
+    return found.withColumnRenamed("first_id", "cluster")
+
+
 def clusters(vectors: DataFrame, *, seed: int = 42) -> DataFrame:
-    """vec_id, cluster (the smallest id in it), size, place by centrality, mean similarity, threshold, method.
+    """vec_id, cluster (the smallest id in it), size, place among the three next to the centre, mean similarity to it.
 
-    At most AVERAGE_LINK vectors go through average link in one task; more go
-    through distributed k-means with round(sqrt(n)) clusters, 8 to 96.
+    Distributed k-means with round(sqrt(n)) clusters, 8 to 96, at every size.
     """
     own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    if own.limit(AVERAGE_LINK + 1).count() <= AVERAGE_LINK:
-        found = own.withColumn("corpus", F.pmod("vec_id", F.lit(1))).groupBy("corpus").applyInPandas(_average_link, "vec_id long, first_id long, size long, place long, mean_similarity double, threshold double")
-        return found.withColumnRenamed("first_id", "cluster").withColumn("method", F.lit("average_link"))
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
@@ -122,7 +127,7 @@ def clusters(vectors: DataFrame, *, seed: int = 42) -> DataFrame:
     heads = placed.groupBy("prediction").agg(F.min("vec_id").alias("cluster"), F.count("*").alias("size"), F.round(F.avg("similarity"), 6).alias("mean_similarity"))
     best = first_rows(placed.select("prediction", "vec_id", "similarity"), ["prediction"], [F.desc("similarity"), F.col("vec_id")], 3)
     ranked = best.withColumn("place", F.row_number().over(W.partitionBy("prediction").orderBy(F.desc("similarity"), "vec_id")).cast("long")).select("vec_id", "place")
-    return placed.select("vec_id", "prediction").join(F.broadcast(heads), "prediction").join(F.broadcast(ranked), "vec_id", "left").select("vec_id", "cluster", "size", "place", "mean_similarity", F.lit(None).cast("double").alias("threshold"), F.lit("kmeans").alias("method"))
+    return placed.select("vec_id", "prediction").join(F.broadcast(heads), "prediction").join(F.broadcast(ranked), "vec_id", "left").select("vec_id", "cluster", "size", "place", "mean_similarity")
 
 
 def cache_misses(wanted: DataFrame, cache: DataFrame) -> DataFrame:

@@ -208,6 +208,27 @@ def representative(units: DataFrame) -> DataFrame:
     return good.groupBy("path").agg(F.min_by(F.struct("evidence_id", F.substring("text", 1, 300).alias("text")), "seq").alias("x")).select("path", "x.*")
 
 
+def node_evidence(judged: DataFrame, scopes: DataFrame) -> DataFrame:
+    """Evidence below each node. judged: units with their quality; scopes: scope, path.
+
+    Units are summed up for each path before they meet the nodes above it.
+    """
+    good = F.col("quality.eligible")
+    each = judged.groupBy("path").agg(F.count("*").alias("units"), F.count_if(good).alias("eligible_units"), F.sum(F.when(good, F.col("quality.score"))).alias("points"))
+    below = scopes.select(F.col("scope").alias("node_id"), "path").join(each, "path").groupBy("node_id")
+    out = below.agg(F.sum("units").alias("units"), F.sum("eligible_units").alias("eligible_units"), F.count_if(F.col("eligible_units") > 0).alias("sources"), F.sum("points").alias("points"))
+    return out.select("node_id", "units", "eligible_units", "sources", F.round(F.col("points") / F.nullif("eligible_units", F.lit(0)), 3).alias("mean_score"))
+
+
+def best_of_nodes(judged: DataFrame, members: DataFrame, *, per_source: int = 2, limit: int = 5) -> DataFrame:
+    """The best eligible units of each node's documents, in order. members: node_id, path."""
+    good = judged.filter("quality.eligible").select("path", "evidence_id", "seq", F.col("quality.score").alias("score"))
+    few = first_rows(good, ["path"], [F.desc("score"), F.col("seq")], per_source)
+    order = [F.desc("score"), F.col("path"), F.col("seq")]
+    best = first_rows(members.join(few, "path"), ["node_id"], order, limit)
+    return best.withColumn("place", F.row_number().over(W.partitionBy("node_id").orderBy(*order)).cast("long")).select("node_id", "path", "evidence_id", "score", "place")
+
+
 def latest_by_key(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
     """The newest row of each key, as a store with upserts would give it."""
     return rows.withColumn("__r", F.row_number().over(W.partitionBy(*keys).orderBy(order.desc()))).filter("__r = 1").drop("__r")

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.cells import ENTITY, SENSITIVE, date, kind, missing, named_like, number, trimmed
-from ..storage import materialize, running_sum
+from ..storage import materialize, running_sum, small
 from .inventory import first_rows
 
 # Words that name an operation, first match wins.
@@ -27,12 +27,42 @@ OPERATIONS = [
 ]
 
 
+def _cell(position: int, name: str, kind_of: str) -> Column:
+    """A cell by its type: whole, real, time or text (trimmed); the others are null."""
+    x = F.col(f"`{name}`")
+    whole, real, time = kind_of in ("tinyint", "smallint", "int", "bigint"), kind_of in ("float", "double"), kind_of in ("date", "timestamp", "timestamp_ntz")
+    return F.struct(
+        F.lit(position).alias("position"),
+        (x if whole else F.lit(None)).cast("long").alias("whole"),
+        (x if real else F.lit(None)).cast("double").alias("real"),
+        (x if time else F.lit(None)).cast("timestamp_ntz").alias("time"),
+        (F.lit(None) if whole or real or time else trimmed(x.cast("string"))).cast("string").alias("text"),
+    )
+
+
 def cell_counts(table: DataFrame, row_id: Column) -> DataFrame:
-    """column, position, value (trimmed text or null), n, first_row, and the value's kind, number and date."""
-    cells = F.explode(F.array(*(F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), trimmed(F.col(f"`{c}`").cast("string")).alias("value")) for i, c in enumerate(table.columns))))
-    counted = table.select(row_id.alias("row"), cells.alias("x")).groupBy("x.column", "x.position", "x.value").agg(F.count("*").alias("n"), F.min("row").alias("first_row"))
-    v = F.col("value")
-    return materialize(counted.withColumns({"kind": kind(v), "number": number(v), "date": F.when(~missing(v), date(v))}), "cells")
+    """column, position, value (trimmed text or null), n, first_row, and the value's kind, number and date.
+
+    Numbers and times are grouped as such and only written as text once for each
+    distinct value; cells of other types are read as text. row_id: best a number,
+    so that Spark groups by hash.
+    """
+    cells = F.explode(F.array(*(_cell(i, c, k) for i, (c, k) in enumerate(table.dtypes))))
+    grouped = table.select(row_id.alias("row"), cells.alias("x")).groupBy("x.position", "x.whole", "x.real", "x.time", "x.text").agg(F.count("*").alias("n"), F.min("row").alias("first_row"))
+    finite = F.col("real").isNotNull() & ~F.isnan("real") & (F.abs("real") != float("inf"))
+    text_of = F.when(F.col("time").isNotNull(), F.col("time").cast("string")).otherwise(F.coalesce(F.col("whole").cast("string"), F.col("real").cast("string"), F.col("text")))
+    named = F.element_at(F.array(*(F.lit(c) for c in table.columns)), F.col("position") + 1)
+    counted = grouped.select(named.alias("column"), "position", text_of.alias("value"), "n", "first_row", "whole", "real", "time", finite.alias("finite"))
+    v, plain = F.col("value"), F.col("whole").isNull() & F.col("time").isNull() & ~F.col("finite")
+    return materialize(
+        counted.select(
+            "column", "position", "value", "n", "first_row",
+            F.when(F.col("time").isNotNull(), "datetime").when(~plain, "number").otherwise(kind(v)).alias("kind"),
+            F.when(F.col("whole").isNotNull(), F.col("whole").cast("double")).when(F.col("finite"), F.col("real")).when(plain, number(v)).alias("number"),
+            F.when(F.col("time").isNotNull(), F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss")).when(plain & ~missing(v), date(v)).alias("date"),
+        ),
+        "cells",
+    )
 
 
 def _numbers(cells: DataFrame) -> DataFrame:
@@ -163,7 +193,7 @@ def answer(questions: DataFrame, profiles: DataFrame) -> DataFrame:
     words = F.regexp_extract_all("column", F.lit(r"[A-Za-z0-9_\x{4e00}-\x{9fff}]{2,}"), F.lit(0))
     named = lambda t: F.contains(F.lower("question"), F.lower(t))
     score = F.when(named(F.col("column")), 10).otherwise(0) + 4 * F.size(F.filter(pieces, named)) + 2 * F.size(F.filter(words, named))
-    met = questions.withColumn("operation", operation).join(F.broadcast(numeric), F.lit(True), "left").withColumn("score", F.when(F.col("column").isNotNull(), score))
+    met = questions.withColumn("operation", operation).join(small(materialize(numeric, "numeric-columns"), 10_000), F.lit(True), "left").withColumn("score", F.when(F.col("column").isNotNull(), score))
     w = W.partitionBy("question_id")
     best = met.withColumns({"candidates": F.count("column").over(w), "place": F.row_number().over(w.orderBy(F.desc("score"), "source", "column"))}).filter("place = 1")
     value = F.when(F.col("operation") == "sum", F.coalesce("sum", F.round(F.col("mean") * F.col("count"), 6))).when(F.col("operation") == "average", F.col("mean")).when(F.col("operation") == "max", F.col("max")).when(F.col("operation") == "min", F.col("min")).otherwise(F.col("count").cast("double"))

@@ -1,15 +1,14 @@
 """Similar documents by 64-bit SimHash: fingerprints, links, groups.
 
-Documents with one fingerprint are one class and only classes are compared.
-Candidates share one of eight bands of eight bits, or one of their strongest
-words if few documents have it. A link needs a Hamming distance of at most 8 and
-a size ratio of at least .55, or else that most words of the smaller text stand
-in the larger one and a distance of at most 14.
-
-A band has 256 values, so comparisons grow with the square of the number of
-classes however they are dealt; the join checks distances as it goes and gives
-out only what passes. For corpora beyond some million texts the circulant
-MinHash of the training-data operators is the way to go.
+Documents with one fingerprint are one class and only classes are compared. A link
+needs a Hamming distance of at most 8 and a size ratio of at least .55, or else
+that most words of the smaller text stand in the larger one and a distance of at
+most 14. All such pairs are found:
+
+* of ten blocks of a fingerprint at most eight differ within a distance of 8, so
+  two are alike: classes meet by pairs of blocks, 45 keys of 12 to 14 bits each;
+* a text with four fifths of its words in another has one of its rarest fifth
+  there: classes meet by these words, which few texts have.
 """
 
 from __future__ import annotations
@@ -17,10 +16,12 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import features
@@ -28,7 +29,9 @@ from ..functions.vectors import hamming
 from ..storage import materialize, numbered
 
 MIN_CHARS, MAX_DISTANCE, RATIO, CONTAINED = 120, 8, 0.55, 0.8
-ANCHORS, ANCHOR_DOCUMENTS = 64, 256
+#: Blocks of a fingerprint: (first bit, bits).
+BLOCKS = [(0, 7), (7, 7), (14, 7), (21, 7), (28, 6), (34, 6), (40, 6), (46, 6), (52, 6), (58, 6)]
+LEAST_WORDS = 20
 
 
 def _hash(token: str, kind: str) -> int:
@@ -37,7 +40,7 @@ def _hash(token: str, kind: str) -> int:
 
 
 def fingerprints(docs: DataFrame, kind: str = "md5") -> DataFrame:
-    """path, chars, fingerprint (null without words), anchors. kind: md5 or blake2b.
+    """path, chars, fingerprint (null without words). kind: md5 or blake2b.
 
     A word weighs by the logarithm of its count, 6 at most; each hash bit votes.
     """
@@ -45,10 +48,9 @@ def fingerprints(docs: DataFrame, kind: str = "md5") -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits: dict[str, np.ndarray] = {}
         for batch in batches:
-            prints, anchors = [], []
+            prints = []
             for words in batch["words"]:
                 counts = Counter(words)
-                anchors.append([w for w, _ in counts.most_common(ANCHORS) if len(w) >= 3])
                 if not counts:
                     prints.append(None)
                     continue
@@ -60,10 +62,10 @@ def fingerprints(docs: DataFrame, kind: str = "md5") -> DataFrame:
                         vote = bits[word] = np.unpackbits(np.array([_hash(word, kind)], ">u8").view(np.uint8)).astype(np.int64) * 2 - 1
                     total += min(6, (n + 1).bit_length()) * vote  # 1 + floor(log2(n + 1))
                 prints.append(int(np.packbits(total >= 0).view(">u8")[0].astype(np.uint64).view(np.int64)))
-            yield pd.DataFrame({"path": batch["path"], "chars": batch["chars"], "fingerprint": pd.array(prints, dtype="Int64"), "anchors": anchors})
+            yield pd.DataFrame({"path": batch["path"], "chars": batch["chars"], "fingerprint": pd.array(prints, dtype="Int64")})
 
     text = F.coalesce("text", F.lit(""))
-    return docs.select("path", F.length(text).cast("long").alias("chars"), features(text).alias("words")).mapInPandas(run, "path string, chars long, fingerprint long, anchors array<string>")
+    return docs.select("path", F.length(text).cast("long").alias("chars"), features(text).alias("words")).mapInPandas(run, "path string, chars long, fingerprint long")
 
 
 def similar_pairs(docs: DataFrame, *, kind: str = "md5", max_distance: int = MAX_DISTANCE) -> DataFrame:
@@ -74,41 +76,48 @@ def similar_pairs(docs: DataFrame, *, kind: str = "md5", max_distance: int = MAX
     and size.
     """
     signed = materialize(fingerprints(docs.filter(F.length(F.trim("text")) >= MIN_CHARS), kind).filter("fingerprint is not null"), "fingerprints")
-    classes = materialize(signed.groupBy("fingerprint", "chars").agg(F.min(F.struct("path", "anchors")).alias("x"), F.count("*").alias("copies")).select(F.col("x.path").alias("path"), "fingerprint", "chars", "copies", F.col("x.anchors").alias("anchors")), "classes")
-    keys = [F.struct(F.lit(b).alias("band"), F.shiftrightunsigned("fingerprint", 8 * b).bitwiseAND(255).alias("key")) for b in range(8)]
-    near = classes.select("path", "fingerprint", "chars", F.explode(F.array(*keys)).alias("bucket"))
-
-    def side(df: DataFrame, name: str, extra: str) -> DataFrame:
-        return df.select(*(F.col(c).alias(f"{name}_{c}") for c in ("path", "fingerprint", "chars")), extra)
-
-    def joined(df: DataFrame, key: str, limit: Column) -> DataFrame:
-        met = side(df, "left", key).join(side(df, "right", key), key).filter((F.col("left_path") < F.col("right_path")) & (hamming(F.col("left_fingerprint"), F.col("right_fingerprint")) <= limit))
-        return met.drop(key)
-
-    limit = F.when(_ratio() >= RATIO, max_distance).otherwise(max_distance + 6)
-    by_band = joined(near, "bucket", limit)
-    anchored = classes.select("path", "fingerprint", "chars", F.explode("anchors").alias("anchor"))
-    few = anchored.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n").between(2, ANCHOR_DOCUMENTS)).select("anchor")
-    by_anchor = joined(anchored.join(few, "anchor"), "anchor", limit)
-    candidates = materialize(by_band.unionByName(by_anchor).distinct(), "candidates").withColumn("distance", hamming(F.col("left_fingerprint"), F.col("right_fingerprint")))
-    direct = candidates.filter(_ratio() >= RATIO)
-    texts = docs.select("path", F.array_distinct(features(F.coalesce("text", F.lit("")))).alias("words"))
-    unequal = candidates.filter(_ratio() < RATIO).join(texts.withColumnsRenamed({"path": "left_path", "words": "lw"}), "left_path").join(texts.withColumnsRenamed({"path": "right_path", "words": "rw"}), "right_path")
+    classes = materialize(signed.groupBy("fingerprint", "chars").agg(F.min("path").alias("path")), "classes")
+    block = [F.shiftrightunsigned("fingerprint", first).bitwiseAND((1 << bits) - 1) for first, bits in BLOCKS]
+    keys = [F.lit(i << 14) + block[a] * 128 + block[b] for i, (a, b) in enumerate(combinations(range(len(BLOCKS)), 2))]
+    near = classes.select("path", "fingerprint", "chars", F.explode(F.array(*keys)).alias("key"))
+    left, right = (near.select("key", *(F.col(c).alias(f"{side}_{c}") for c in ("path", "fingerprint", "chars"))) for side in ("left", "right"))
+    apart = hamming(F.col("left_fingerprint"), F.col("right_fingerprint"))
+    met = left.join(right, "key").filter((F.col("left_path") < F.col("right_path")) & (apart <= max_distance) & (_ratio() >= RATIO))
+    direct = met.drop("key").distinct().withColumn("distance", apart)
+    texts = docs.select("path", F.array_distinct(features(F.coalesce("text", F.lit("")))).alias("words")).join(classes, "path")
+    texts = materialize(texts, "words")
+    maybe = _containing(texts).filter((apart <= max_distance + 6) & (_ratio() < RATIO)).distinct().withColumn("distance", apart)
+    words = texts.select("path", "words")
+    unequal = maybe.join(words.withColumnsRenamed({"path": "left_path", "words": "lw"}), "left_path").join(words.withColumnsRenamed({"path": "right_path", "words": "rw"}), "right_path")
     least = F.least(F.size("lw"), F.size("rw"))
-    contained = F.when(least >= 20, F.size(F.array_intersect("lw", "rw")) / least).otherwise(0.0)
+    contained = F.when(least >= LEAST_WORDS, F.size(F.array_intersect("lw", "rw")) / least).otherwise(0.0)
     linked = direct.unionByName(unequal.filter(contained >= CONTAINED).drop("lw", "rw"))
     return linked.select("left_path", "right_path", "distance", "left_fingerprint", "right_fingerprint", "left_chars", "right_chars")
 
 
+def _containing(texts: DataFrame) -> DataFrame:
+    """Pairs of which the one with fewer words has one of its rarest words in the other; left_path < right_path. texts: path, fingerprint, chars, words."""
+    own = ["path", "fingerprint", "chars"]
+    each = materialize(texts.filter(F.size("words") >= LEAST_WORDS).select(*own, F.size("words").alias("n"), F.explode("words").alias("word")), "each-word")
+    uses = materialize(each.groupBy("word").agg(F.count("*").alias("uses")).filter("uses > 1"), "uses")
+    rarest = F.row_number().over(W.partitionBy("path").orderBy(F.coalesce("uses", F.lit(1)), "word"))
+    few = each.join(uses, "word", "left").withColumn("place", rarest).filter((F.col("place") <= F.floor(F.col("n") * (1 - CONTAINED) + 1e-9) + 1) & (F.col("uses") > 1))
+    small_side = few.select("word", *(F.col(c).alias(f"a_{c}") for c in (*own, "n")))
+    large_side = each.select("word", *(F.col(c).alias(f"b_{c}") for c in (*own, "n")))
+    met = small_side.join(large_side, "word").filter((F.col("a_path") != F.col("b_path")) & (F.col("a_n") <= F.col("b_n")) & (F.least("a_chars", "b_chars") < RATIO * F.greatest("a_chars", "b_chars")) & (hamming(F.col("a_fingerprint"), F.col("b_fingerprint")) <= MAX_DISTANCE + 6))
+    first = F.col("a_path") < F.col("b_path")
+    return met.select(*(F.when(first, F.col(f"{x}_{c}")).otherwise(F.col(f"{y}_{c}")).alias(f"{side}_{c}") for side, x, y in (("left", "a", "b"), ("right", "b", "a")) for c in own))
+
+
 def _ratio() -> Column:
     return F.least("left_chars", "right_chars") / F.greatest("left_chars", "right_chars")
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """node, component: the smallest node that each node of the links (a, b) reaches; labels jump ahead in each round."""
     edges = materialize(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
     labels = materialize(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component")), "labels")
-    for _ in range(max_rounds):
+    while True:
         near = edges.join(labels.withColumnRenamed("node", "a"), "a").select(F.col("b").alias("node"), "component").union(labels)
         low = near.groupBy("node").agg(F.min("component").alias("component"))
         hop = labels.select(F.col("node").alias("component"), F.col("component").alias("next"))
@@ -117,7 +126,6 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         labels = new
         if still:
             return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def similar_groups(docs: DataFrame, *, kind: str = "md5") -> DataFrame:
@@ -128,7 +136,7 @@ def similar_groups(docs: DataFrame, *, kind: str = "md5") -> DataFrame:
     pairs = materialize(similar_pairs(docs, kind=kind), "similar")
     signed = fingerprints(docs.filter(F.length(F.trim("text")) >= MIN_CHARS), kind).filter("fingerprint is not null").select("path", "chars", "fingerprint")
     signed = materialize(signed, "signed")
-    heads = signed.groupBy("fingerprint", "chars").agg(F.min("path").alias("head"))
+    heads = materialize(signed.groupBy("fingerprint", "chars").agg(F.min("path").alias("head")), "heads")
     members = signed.join(heads, ["fingerprint", "chars"])
     near = components(pairs.select(F.col("left_path").alias("a"), F.col("right_path").alias("b")))
     placed = materialize(members.join(near.select(F.col("node").alias("head"), "component"), "head", "left").withColumn("component", F.coalesce("component", "head")), "placed")

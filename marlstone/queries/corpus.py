@@ -230,7 +230,46 @@ def cluster_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.cluster_names(groups, topics.content_topics(docs, 8))
 
 
+def package_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether documents and pages together count as a large package."""
+    return spark.createDataFrame([inventory.policy(files(spark, sf_dir))], "mode string, enabled boolean, inventory_files long, inventory_bytes long")
+
+
+def even_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixty paths at even distances in the order of paths."""
+    return inventory.even_sample(documents(spark, sf_dir).select("path"), "path", 60)
+
+
+def alias_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of the folders' groups: the canonical documents, and after them their exact copies wherever those are."""
+    docs = documents(spark, sf_dir)
+    members = duplicates.canonical_documents(docs).select(F.element_at(F.split("path", "/"), 1).alias("folder"), "path")
+    return duplicates.with_aliases(members, docs.select("path", "sha256", "size", "modified_at"))
+
+
+def answer_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten answers of some claims each: supported only if all their claims are."""
+    claims = claim_binding(spark, sf_dir)
+    return evidence.answer_status(claims.select((F.col("question_id") % 10).alias("node_id"), "claim_status"))
+
+
+def node_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue of evidence below each folder: units, eligible units, files with evidence, mean score."""
+    judged = evidence.gated(evidence.evidence_units(documents(spark, sf_dir)))
+    return evidence.node_evidence(judged, inventory.folder_scopes(inventory.with_names(documents(spark, sf_dir).select("path", "size"))))
+
+
+def cluster_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each topic cluster the best units of its documents: two of a document, five in all."""
+    docs, wide = _wide_topics(spark, sf_dir)
+    narrow = wide.filter("rank < 5")
+    found = materialize(topics.topic_clusters(narrow, wide.filter("rank < 10")), "clusters")
+    members = narrow.join(F.broadcast(found.select("cluster_id", "topic")), "topic").select(F.col("cluster_id").alias("node_id"), "path")
+    return evidence.best_of_nodes(evidence.gated(evidence.evidence_units(docs)), members, per_source=2, limit=5)
+
+
 QUERIES = {f.__name__: f for f in (
+    package_policy, even_sample, alias_members, answer_status, node_evidence, cluster_evidence,
     inventory_type_counts, directory_rollup, exact_duplicate_groups, canonical_projection, export_manifest, evidence_chunks, evidence_quality_gate, evidence_corpus_dedup,
     retrieval_bm25, retrieval_hybrid, retrieval_narrowed, retrieval_manifest, content_topics, topic_clusters, adaptive_topic_assignment, topic_mounts, topic_subtopics, document_roles,
     claim_verification, evidence_selection, claim_binding, research_directions, coverage_ledger, value_judgement, representative_sample, checkpoint_reuse,
@@ -365,10 +404,8 @@ SELECT path, length(text) AS chars, lpad(upper(to_hex(v)), 16, '0') AS fingerpri
 PRINTS = ORACLE_SQL["simhash_fingerprints"].split("SELECT path, length(text) AS chars")[0].replace(DOCS, CANON).replace("FROM docs)", "FROM canon)")
 SIMILAR = f"""{PRINTS}, fp AS (SELECT path, length(text) AS chars, v, text FROM canon JOIN p USING (path) WHERE length(trim(text)) >= 120),
 cls AS (SELECT *, min(path) OVER (PARTITION BY v, chars) AS head FROM fp), one AS (SELECT * FROM cls WHERE path = head),
-fe AS (SELECT path, topic, row_number() OVER (PARTITION BY path ORDER BY rank) AS place FROM topics JOIN one USING (path)),
-few AS (SELECT topic FROM fe WHERE place <= 64 GROUP BY topic HAVING count(*) BETWEEN 2 AND 256),
-cand AS (SELECT a.path AS l, b.path AS r FROM one a JOIN one b ON a.path < b.path AND bit_count(xor(a.v, b.v)) <= 14 AND (bit_count(xor(a.v, b.v)) <= 8 OR least(a.chars, b.chars) / greatest(a.chars, b.chars) < 0.55) AND list_bool_or(list_transform([0, 8, 16, 24, 32, 40, 48, 56], lambda k: ((a.v >> k::UBIGINT) & 255) = ((b.v >> k::UBIGINT) & 255)))
- UNION SELECT x.path, y.path FROM fe x JOIN few USING (topic) JOIN fe y ON y.topic = x.topic AND x.path < y.path WHERE x.place <= 64 AND y.place <= 64),
+fe AS (SELECT path, topic FROM topics JOIN one USING (path)),
+cand AS (SELECT a.path AS l, b.path AS r FROM one a JOIN one b ON a.path < b.path AND bit_count(xor(a.v, b.v)) <= 14),
 size_of AS (SELECT path, count(*) AS k FROM fe GROUP BY 1), c2 AS (SELECT l, r, bit_count(xor(a.v, b.v))::BIGINT AS distance, least(a.chars, b.chars) / greatest(a.chars, b.chars) AS ratio FROM cand JOIN one a ON a.path = l JOIN one b ON b.path = r),
 c3 AS (SELECT * FROM c2 WHERE (ratio >= 0.55 AND distance <= 8) OR (ratio < 0.55 AND distance <= 14)),
 common AS (SELECT l, r, count(*) AS k FROM c3 JOIN fe x ON x.path = l JOIN fe y ON y.path = r AND y.topic = x.topic WHERE ratio < 0.55 GROUP BY ALL),
@@ -393,3 +430,12 @@ ORACLE_SQL["cluster_names"] = f"""WITH RECURSIVE sim AS ({ORACLE_SQL["near_dupli
 c AS (SELECT cluster_id AS cluster, topic, count(*) AS n FROM sim JOIN topics USING (path) WHERE rank < 8 AND topic NOT IN ('security', 'software', 'system', 'systems', 'hardware', 'data', 'paper', 'abstract', 'introduction', 'using', 'based') GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, topic) <= 3),
 n AS (SELECT cluster, string_agg(topic, ' / ' ORDER BY n DESC, topic) AS name FROM c GROUP BY 1), e AS (SELECT cluster, coalesce(name, 'topic ' || cluster) AS name FROM (SELECT DISTINCT cluster_id AS cluster FROM sim) LEFT JOIN n USING (cluster)),
 k AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY cluster) AS r FROM e) SELECT cluster, CASE WHEN r > 1 THEN name || ' (' || r || ')' ELSE name END AS name FROM k"""
+ORACLE_SQL["package_policy"] = f"WITH {FILES} SELECT CASE WHEN sum(size) >= 1073741824 OR count(*) >= 3000 THEN 'large_package' ELSE 'standard' END AS mode, sum(size) >= 1073741824 OR count(*) >= 3000 AS enabled, count(*) AS inventory_files, sum(size)::BIGINT AS inventory_bytes FROM files"
+ORACLE_SQL["even_sample"] = f"WITH {DOCS}, n AS (SELECT path, row_number() OVER (ORDER BY path) AS k, count(*) OVER () AS total FROM docs) SELECT path FROM n WHERE total <= 60 OR k IN (SELECT round_even(i * (total - 1) / 59, 0)::BIGINT + 1 FROM range(60) r(i))"
+ORACLE_SQL["alias_members"] = f"WITH {DOCS}, p AS (SELECT path, first_value(path) OVER (PARTITION BY sha ORDER BY size DESC, path) AS head FROM docs) SELECT string_split(head, '/')[1] AS folder, path, path <> head AS duplicate_alias FROM p"
+ORACLE_SQL["answer_status"] = f"WITH c AS ({ORACLE_SQL['claim_binding']}) SELECT question_id % 10 AS node_id, CASE WHEN bool_and(claim_status = 'direct') THEN 'supported' WHEN bool_or(claim_status IN ('direct', 'partial')) THEN 'partial' ELSE 'insufficient' END AS answer_status FROM c GROUP BY 1"
+SCORED = "CASE reason WHEN 'too_short' THEN -80.0 WHEN 'short_without_fact' THEN -80.0 WHEN 'question' THEN -70.0 WHEN 'topic_phrase' THEN -55.0 ELSE round(least(length(bare), 360) / 18.0 + len(regexp_extract_all(bare, '[。！？；.!?;]')) * 2 + f::INT * 8 + q::INT * 5, 3) END::DOUBLE"
+ORACLE_SQL["node_evidence"] = f"""WITH {DOCS}, {chunks_sql('docs')}, sc AS (SELECT '.' AS node_id, path FROM docs UNION ALL SELECT array_to_string(string_split(path, '/')[1:k], '/'), path FROM (SELECT path, unnest(range(1, len(string_split(path, '/')))) AS k FROM docs))
+SELECT node_id, count(*) AS units, count(*) FILTER (reason = 'eligible') AS eligible_units, count(DISTINCT path) FILTER (reason = 'eligible') AS sources, round(avg({SCORED}) FILTER (reason = 'eligible'), 3) AS mean_score FROM sc JOIN judged USING (path) GROUP BY node_id"""
+ORACLE_SQL["cluster_evidence"] = f"""WITH {CANON}, {chunks_sql('canon')}, {topics_sql('canon')}, {CLUSTERS}, u AS (SELECT cluster_id AS node_id, j.path, evidence_id, seq, {SCORED} AS score FROM clusters c JOIN topics t ON t.topic = c.topic AND t.rank < 5 JOIN judged j ON j.path = t.path WHERE reason = 'eligible'),
+few AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY node_id, path ORDER BY score DESC, seq) <= 2) SELECT node_id, path, evidence_id, score, row_number() OVER (PARTITION BY node_id ORDER BY score DESC, path, seq) AS place FROM few QUALIFY place <= 5"""

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.cells import ENTITY, SENSITIVE, named_like
 from ..operators import duplicates, profile
 from ..storage import materialize
 from .common import Query, table
@@ -17,7 +19,8 @@ QUESTIONS = ["total o_totalprice", "average l_quantity", "max l_extendedprice",
 
 
 def cells(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return profile.cell_counts(table(spark, sf_dir, name), F.struct(*KEYS[name]))
+    """The first key gives the order of rows."""
+    return profile.cell_counts(table(spark, sf_dir, name), F.col(KEYS[name][0]))
 
 
 def _column_profile(name: str) -> Query:
@@ -71,13 +74,18 @@ def structured_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sensitive_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = [(n, c) for n in KEYS for c in table(spark, sf_dir, n).columns]
     rows = spark.createDataFrame(names, "source string, column string")
-    from ..functions.cells import ENTITY, SENSITIVE, named_like
-
     return rows.select("source", "column", F.array_join(named_like(F.col("column"), SENSITIVE), "|").alias("sensitive"), F.array_join(named_like(F.col("column"), ENTITY), "|").alias("entity"))
 
 
 def entity_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.entity_values(cells(spark, sf_dir, "customer"))
+    """Values of all columns, of all tables, whose names tell of persons, places or events."""
+    parts = []
+    for name in KEYS:
+        own = table(spark, sf_dir, name)
+        told = [c for c in own.columns if any(re.search(p, c, re.IGNORECASE) for p in ENTITY.values())]
+        if told:
+            parts.append(profile.cell_counts(own.select(*told), F.lit(0).cast("long")))
+    return profile.entity_values(reduce(DataFrame.unionByName, parts))
 
 
 def json_props_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,7 +192,7 @@ ORACLE_SQL = {
     "table_quality_score": f"WITH {_quality_sql()} SELECT * FROM lev",
     "structured_overview": f"WITH {_quality_sql()} SELECT count(*) AS profiled_tables, sum(row_count)::BIGINT AS total_rows, round(avg(quality_score), 2) AS average_quality_score, sum(duplicate_row_count)::BIGINT AS duplicate_rows, count(*) FILTER (sensitive_columns <> '') AS tables_with_sensitive_columns FROM lev",
     "sensitive_columns": f"SELECT source, c AS \"column\", {CATEGORIES} AS sensitive, {ENTITIES} AS entity FROM (VALUES {', '.join(f"('{n}', '{c}')" for n, cs in COLUMNS.items() for c in cs)}) v(source, c)",
-    "entity_values": "(SELECT 'person' AS category, c_name AS value, count(*) AS n FROM customer GROUP BY 2 ORDER BY n DESC, value LIMIT 20)",
+    "entity_values": "SELECT category, value, n FROM (SELECT category, v AS value, count(*) AS n FROM (SELECT 'person' AS category, c_name AS v FROM customer UNION ALL SELECT 'person', s_name FROM supplier UNION ALL SELECT 'person', p_name FROM part UNION ALL SELECT 'event', event_type FROM events UNION ALL SELECT 'event', event_id::VARCHAR FROM events) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY category ORDER BY n DESC, value) <= 20",
     "json_props_profile": "SELECT key, count(*) AS rows, count(DISTINCT v) AS unique_count, count(TRY_CAST(v AS DOUBLE)) AS number_cells, min(TRY_CAST(v AS DOUBLE)) AS min, max(TRY_CAST(v AS DOUBLE)) AS max FROM (SELECT key, json_extract_string(props, '$.\"' || key || '\"') AS v FROM (SELECT props, unnest(json_keys(props)) AS key FROM events)) GROUP BY key",
     "structured_qa": """SELECT * FROM (
 SELECT 0::BIGINT AS question_id, 'sum' AS operation, 'answered' AS status, 'orders' AS source, 'o_totalprice' AS "column", round(sum(o_totalprice), 2) AS value, 'high' AS confidence FROM orders

@@ -1,11 +1,12 @@
-"""Queries over the analysis tree of the documents' folders, with edits, and over jobs."""
+"""Queries over the analysis tree of the documents' folders, with edits, and over the order of jobs."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import tree
+from ..operators import evidence, tree
+from ..storage import materialize, numbered
 from .common import DOCS, documents, table
 
 EDITS = [
@@ -16,7 +17,6 @@ EDITS = [
     {"edit_id": "e5", "operation": "undo", "payload": {"edit_id": "e4"}},
     {"edit_id": "e6", "operation": "merge", "payload": {"node_ids": ["de", "fr"], "name": "Continental"}},
 ]
-JOBS = [("a", "queued", 100, 1, None), ("b", "running", 50, 2, 10.0), ("c", "queued", 200, 3, None), ("d", "completed", 50, 4, 5.0), ("e", "queued", 200, 5, None), ("f", "cancelling", 10, 6, 20.0), ("g", "failed", 10, 7, 8.0)]
 
 
 def language_tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -42,23 +42,21 @@ def tree_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def job_queue_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Jobs in the order of a task list: running, queued, done; and the place of those that wait."""
-    from pyspark.sql import Window as W
-
-    jobs = spark.createDataFrame(JOBS, "job_id string, status string, priority int, row_id int, started_at double")
-    bucket = F.when(F.col("status").isin("running", "cancelling"), 0).when(F.col("status") == "queued", 1).otherwise(2)
-    waits = F.col("status") == "queued"
-    place = F.when(waits, F.row_number().over(W.partitionBy(waits).orderBy(F.desc("priority"), "row_id")))
-    listed = F.row_number().over(W.orderBy(bucket, F.coalesce("started_at", F.lit(0.0)).desc(), F.desc("row_id")))
-    return jobs.select("job_id", "status", place.cast("long").alias("queue_position"), listed.cast("long").alias("list_position"))
+    """The latest event of each user as a job, in the order of a task list: running (clicks), queued (views and sign-ups), done; and the place of those that wait."""
+    last = evidence.latest_by_key(table(spark, sf_dir, "events"), ["user_id"], F.struct("ts", "event_id"))
+    status = F.when(F.col("event_type") == "click", "running").when(F.col("event_type").isin("view", "signup"), "queued").otherwise("completed")
+    jobs = materialize(last.select("user_id", status.alias("status"), "event_id", F.floor("value").cast("long").alias("priority")), "jobs")
+    bucket = F.when(F.col("status") == "running", 0).when(F.col("status") == "queued", 1).otherwise(2)
+    listed = numbered(jobs, [bucket, -F.col("event_id")], "list_position")
+    waiting = numbered(jobs.filter("status = 'queued'"), [-F.coalesce("priority", F.lit(0)), F.col("event_id")], "queue_position").select("user_id", "queue_position")
+    return listed.join(waiting, "user_id", "left").select("user_id", "status", "queue_position", "list_position")
 
 
 QUERIES = {f.__name__: f for f in (tree_edit_replay, tree_filter, job_queue_order)}
-VALUES = ", ".join(f"('{j}', '{s}', {p}, {r}, {'NULL' if t is None else t})" for j, s, p, r, t in JOBS)
 ORACLE_SQL = {
     "tree_edit_replay": f"""WITH {DOCS}, m AS (SELECT string_split(path, '/')[1] AS lang, path FROM docs UNION ALL SELECT 'es', 'extra/one.txt')
 SELECT CASE WHEN lang IN ('de', 'fr') THEN 'manual-merge-' || substr(sha256('de|fr'), 1, 16) ELSE lang END AS node_id, CASE WHEN lang IN ('de', 'fr') THEN 'Continental' WHEN lang = 'en' THEN 'English' ELSE lang END AS name, false AS confirmed, count(*) AS files FROM m GROUP BY 1, 2""",
     "tree_filter": f"""WITH {DOCS}, l AS (SELECT doc_id, max(quality) AS q FROM labels GROUP BY 1) SELECT string_split(path, '/')[1] AS node_id, string_split(path, '/')[1] AS name, count(*) AS files FROM docs JOIN l USING (doc_id) WHERE q < 0.65 GROUP BY 1, 2""",
-    "job_queue_order": f"""WITH j AS (SELECT * FROM (VALUES {VALUES}) v(job_id, status, priority, row_id, started_at)) SELECT job_id, status, CASE WHEN status = 'queued' THEN (SELECT count(*) FROM j k WHERE k.status = 'queued' AND (k.priority > j.priority OR (k.priority = j.priority AND k.row_id <= j.row_id))) END AS queue_position,
-row_number() OVER (ORDER BY CASE WHEN status IN ('running', 'cancelling') THEN 0 WHEN status = 'queued' THEN 1 ELSE 2 END, coalesce(started_at, 0) DESC, row_id DESC) AS list_position FROM j""",
+    "job_queue_order": """WITH l AS (SELECT *, CASE WHEN event_type = 'click' THEN 'running' WHEN event_type IN ('view', 'signup') THEN 'queued' ELSE 'completed' END AS status FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
+SELECT user_id, status, CASE WHEN status = 'queued' THEN row_number() OVER (PARTITION BY status ORDER BY coalesce(floor(value), 0) DESC, event_id) END AS queue_position, row_number() OVER (ORDER BY CASE status WHEN 'running' THEN 0 WHEN 'queued' THEN 1 ELSE 2 END, event_id DESC) AS list_position FROM l""",
 }

@@ -177,15 +177,71 @@ def test_similar_texts_group_by_distance(spark):
 def test_average_link_parts_two_directions(spark):
     rng = random.Random(1)
     rows = [(i, [1 + rng.random() / 10, rng.random() / 10] if i % 2 else [rng.random() / 10, 1 + rng.random() / 10]) for i in range(20)]
-    out = clusters.clusters(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    out = clusters.average_link(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
     assert {r.vec_id % 2: r.cluster for r in out} == {0: 0, 1: 1} and {r.size for r in out} == {10}
 
 
-def test_many_vectors_go_to_k_means(spark):
+def test_k_means_at_every_size(spark):
     rng = random.Random(2)
-    rows = [(i, [rng.gauss(i % 3 * 5, 0.1), rng.gauss(5 - i % 3 * 5, 0.1)]) for i in range(520)]
-    out = clusters.clusters(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
-    assert len(out) == 520 and {r.method for r in out} == {"kmeans"} and len({r.cluster for r in out}) <= 23
+    for n, most in ((60, 8), (520, 23)):
+        rows = [(i, [rng.gauss(i % 3 * 5, 0.1), rng.gauss(5 - i % 3 * 5, 0.1)]) for i in range(n)]
+        out = clusters.clusters(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+        assert len(out) == n and len({r.cluster for r in out}) <= most
+        assert all(len({r.vec_id % 3 for r in out if r.cluster == c}) == 1 for c in {r.cluster for r in out})
+    with pytest.raises(ValueError):
+        clusters.average_link(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+
+
+def test_all_similar_pairs_are_found(spark):
+    """Variants at all distances, and texts that stand in longer ones, against all pairs."""
+    rng = random.Random(6)
+    vocabulary = [f"{a}{b}{c}x" for a in "bdfgk" for b in "aeiou" for c in "lmnrst"]
+    texts = {}
+    for k in range(12):
+        base = [rng.choice(vocabulary) for _ in range(80)]
+        for v in range(6):
+            words = list(base)
+            for _ in range(v * 3):
+                words[rng.randrange(len(words))] = rng.choice(vocabulary)
+            texts[f"{k:02d}v{v}"] = " ".join(words)
+        texts[f"{k:02d}w"] = " ".join(base * 2 + rng.choices(base, k=30))
+    docs = documents(spark, texts)
+    prints = {r.path: (r.fingerprint & (1 << 64) - 1, r.chars) for r in similar.fingerprints(docs).collect()}
+    words = {f"d/{k}.txt": set(t.split()) for k, t in texts.items()}
+    heads = {}
+    for p in sorted(prints):
+        heads.setdefault(prints[p], p)
+    want = set()
+    for a in heads.values():
+        for b in heads.values():
+            d, ratio = (prints[a][0] ^ prints[b][0]).bit_count(), min(prints[a][1], prints[b][1]) / max(prints[a][1], prints[b][1])
+            least = min(len(words[a]), len(words[b]))
+            if a < b and (d <= 8 if ratio >= 0.55 else d <= 14 and least >= 20 and len(words[a] & words[b]) / least >= 0.8):
+                want.add((a, b, d))
+    got = {(r.left_path, r.right_path, r.distance) for r in similar.similar_pairs(docs).collect()}
+    assert got == want and any(d > 8 for _, _, d in want) and len(want) > 12
+
+
+def test_blocks_of_questions_change_nothing(spark, monkeypatch):
+    texts = {f"n{i}": LONG + " ".join(random.Random(i).choices(["alpha", "beta", "gamma", "delta", "omega", "sigma"], k=40)) for i in range(40)}
+    units = evidence.corpus(evidence.evidence_units(documents(spark, texts)))
+    asked = spark.createDataFrame([(i, f"{a} cargo {b}") for i, (a, b) in enumerate([("alpha", "beta"), ("gamma", "omega"), ("sigma", "sigma"), ("none", "such")])], "query_id long, query string")
+    one = {tuple(r) for r in retrieval.retrieve(units, asked).collect()}
+    blocks = retrieval.blocks
+    monkeypatch.setattr(retrieval, "blocks", lambda q: blocks(q, 2))
+    assert one == {tuple(r) for r in retrieval.retrieve(units, asked).collect()} and len(one) == 32
+    monkeypatch.setattr(retrieval, "SENT_GRAMS", 10)  # counts of grams are then joined
+    assert {(r.query_id, r.rank, r.evidence_id) for r in retrieval.retrieve(units, asked).collect()} == {(r[0], r[-1], r[2]) for r in one}
+
+
+def test_typed_cells_are_as_their_text(spark):
+    from datetime import datetime
+
+    rows = [(1, 2.5, datetime(2024, 1, 2, 3, 4, 5), " a "), (2, float("nan"), None, "1,000"), (2, float("inf"), datetime(2024, 1, 2), None), (None, 1e-7, None, "2024-01-02")]
+    table = spark.createDataFrame(rows, "w int, r double, t timestamp_ntz, s string").withColumn("id", F.monotonically_increasing_id())
+    text = table.select(*(F.col(c).cast("string").alias(c) for c in ("w", "r", "t", "s")), "id")
+    want = {(r.column, r.value, r.n, r.kind, r.number, r.date) for r in profile.cell_counts(text, F.col("id")).filter("column <> 'id'").collect()}
+    assert {(r.column, r.value, r.n, r.kind, r.number, r.date) for r in profile.cell_counts(table, F.col("id")).filter("column <> 'id'").collect()} == want
 
 
 def test_edits_replay_with_undo_and_redo(spark):
