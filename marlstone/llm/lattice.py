@@ -10,8 +10,19 @@ the training rows, one arc from the word's beginning to its end. The long arc
 weighs (c - D) / N, the way into the pieces D V / N, with c, N and V counted over
 the training rows and D the usual absolute discount n1 / (n1 + 2 n2). The first
 piece comes from the pieces that open a word, the others from the rest, and a stop
-ends the word, so P sums to one over words. ``score`` is the log10 probability of
-the text; ``piece_score`` leaves the long arcs out.
+ends the word, so P sums to one over words.
+
+Training rows fall into groups by language, and each group has a lattice of its
+own, in which words of its rows have a second long arc, of weight
+(c_k - D_k) / N_k, and D_k V_k / N_k leads to the arcs above. ``score`` is the
+marginal over groups and segmentations,
+
+    P(text) = sum_k share_k * product over tokens of P_k(token)
+
+``lattice_score`` is that of the one lattice without groups, ``piece_score`` that
+of the pieces alone. The scored row's own language is not looked at. The
+``languages`` most frequent languages have a group of their own, all others and
+null share one.
 
 The vocabulary's scores are ranks (0, -1, ...), so a piece of score s weighs
 1 / (3 - s), normalised. These weights start expectation maximisation over the
@@ -19,15 +30,6 @@ distinct training words and are its prior too, worth ``prior`` uses in all; the
 vocabulary itself stays as it is. Single bytes are pieces too, so every text has a
 finite score.
 
-``mixture_score`` is a further figure: the marginal over language groups, each
-with long arcs of its own above the lattice,
-
-    P(text) = sum_k share_k * product over tokens of
-        (c_k - D_k) / N_k + D_k V_k / N_k * P(t)
-
-where the ``languages`` most frequent languages have a group of their own and all
-others and null share one. The scored row's own language is not looked at.
-
 Counts come from all rows. The figures of the most frequent words (at most
 ``head_words``, each known by at most 64 bytes, so of a fixed size) are sent to
 the tasks; all other words meet theirs in a shuffle join, in which no key is
@@ -362,7 +364,7 @@ def score_documents(docs: DataFrame, model_file: str, *, head_words: int = 150_0
         F.round("n_known").cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("b") - F.col("n_tokens") * F.lit(math.log10(total + distinct + 1))).alias("base_score"),
-        F.col("p").alias("score"),
+        marginal.alias("score"),
+        F.col("p").alias("lattice_score"),
         F.col("q").alias("piece_score"),
-        marginal.alias("mixture_score"),
     )

@@ -80,10 +80,23 @@ def test_scores_are_sums_over_all_segmentations(spark, monkeypatch):
     n, v = counts.total(), len(counts)
     ones, twos = (sum(c == i for c in words.values()) for i in (1, 2))
     d = min(0.95, max(0.05, ones / (ones + 2 * twos)))
+    def law(rows_of):
+        """Counts, tokens, distinct tokens and discount of some training rows."""
+        c = Counter(w for k, _, lang, held in rows if not held and rows_of(lang) for w in tokens[k])
+        spectrum = Counter(n for w, n in c.items() if w is not None)
+        cut = min(0.95, max(0.05, spectrum[1] / (spectrum[1] + 2 * spectrum[2]))) if spectrum[1] else 0.5
+        return c, c.total(), len(c), cut
+
+    def one(w) -> float:
+        return max(counts[w] - d, 0) / n + (d * v / n * total(w.encode()) if w else 0)
+
+    groups = [law(lambda x: x == "x"), law(lambda x: x == "y"), law(lambda x: x not in ("x", "y"))]
+    share = [(g[0][None] + 1) / (counts[None] + 3) for g in groups]
     assert math.isfinite(out[5].score) and out[5].score < -700  # too small for the plain sum
     for k in out.keys() - {5}:
-        want = sum(math.log10(max(counts[w] - d, 0) / n + (d * v / n * total(w.encode()) if w else 0)) for w in tokens[k])
-        assert out[k].score == pytest.approx(want, rel=1e-9)
+        assert out[k].lattice_score == pytest.approx(sum(math.log10(one(w)) for w in tokens[k]), rel=1e-9)
+        ways = [part * math.prod((max(c[w] - cut, 0) / m if c[w] else 0) + cut * u / m * one(w) for w in tokens[k]) for part, (c, m, u, cut) in zip(share, groups, strict=True)]
+        assert out[k].score == pytest.approx(math.log10(sum(ways)), rel=1e-9)
 
 
 def test_expected_uses_are_the_slopes_of_the_log_probability():
