@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline as p
-from marlstone.llm import perplexity, urltrees
+from marlstone.llm import perplexity, queries, urltrees
 
 
 def test_perplexity_rejects_symbols_tables_and_shouting(spark, data):
@@ -66,3 +66,37 @@ def test_near_dedup_keeps_one_row_of_a_group_and_rows_without_id(spark, data):
     out = p.near_dedup(spark, spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], docs.schema), data).collect()
     key = lambda r: (r[0] is None, r[0] or 0, r[1])
     assert sorted(((r.doc_id, r.text) for r in out), key=key) == sorted([(3, x), (5, y), (5, z), (None, y), (None, y), (9, ""), (9, "")], key=key)
+
+
+def _parts(url):
+    if url is None or "://" not in url:
+        return "", ""
+    rest = url.split("://", 1)[1]
+    at = min((i for i in (rest.find(c) for c in "/?#") if i >= 0), default=len(rest))
+    path = rest[at:]
+    end = min((i for i in (path.find(c) for c in "?#") if i >= 0), default=len(path))
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in rest[:at]), path[:end]
+
+
+def test_hosts_paths_and_rules_in_plain_python(spark, data):
+    rules = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+    urls = {r.page_id: r.url for r in spark.read.parquet(f"{data}/pages.parquet").collect()}
+    found = {r.page_id: r for r in queries.op4_url_trees(spark, data).collect()}
+    assert found.keys() == urls.keys()
+    ruled = 0
+    for k, url in urls.items():
+        host, path = _parts(url)
+        fits = [(len(h + q), h + q, v) for v, h, q in rules if (host == h or host.endswith("." + h)) and path.startswith(q)]
+        rule, verdict = max(fits)[1:] if fits else (None, None)
+        r = found[k]
+        assert (r.host, r.path, r.rule) == (host, path, rule) and r.verdict == (verdict or r.verdict)
+        assert r.verdict in ("allow", "block")
+        ruled += rule is not None
+    assert 0 < ruled < len(urls)
+
+
+def test_rules_of_one_length_block(spark):
+    rules = [urltrees.Rule("allow", "b.org", "/x"), urltrees.Rule("block", "a.b.org", ""), urltrees.Rule("allow", "b.org", "/y/")]
+    rows = [(1, "http://a.b.org/x"), (2, "http://a.b.org/y/"), (3, "http://B.ORG/x?q#f"), (4, "http://cb.org/x")]
+    out = {r.page_id: (r.rule, r.verdict) for r in urltrees.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()}
+    assert out[1] == ("a.b.org", "block") and out[2] == ("b.org/y/", "allow") and out[3] == ("b.org/x", "allow") and out[4][0] is None
