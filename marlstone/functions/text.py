@@ -110,3 +110,44 @@ def human_size(c: Column) -> Column:
 
 def stable_id(prefix: str, *parts: Column) -> Column:
     return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 16))
+
+
+def path_id(path: Column) -> Column:
+    return F.substring(F.sha1(path), 1, 16)
+
+
+def long_parts(text: Column, most: int = 12, preferred: int = 32_000) -> Column:
+    """Array of (index, start, end): parts of at least ``preferred`` characters, about ``most`` of them.
+
+    A part that isn't the last is cut back to the last newline of its last
+    quarter. Null and empty texts have none. Pass a column, not an expression.
+    """
+    n = F.length(text)
+    size = F.greatest(F.lit(preferred), F.ceil(n / float(max(1, most))).cast("int"))
+    empty = F.array().cast("array<struct<index:int,start:int,end:int>>")
+
+    def step(done: Column, i: Column) -> Column:
+        start = F.coalesce(F.get(done, F.size(done) - 1)["end"], F.lit(0))
+        end = F.least(n, start + size)
+        low = start + F.floor(size * 0.75).cast("int")
+        back = F.locate("\n", F.reverse(F.substring(text, low + 1, end - low)))
+        cut = F.when((end < n) & (back > 0) & (end - back > start), end - back).otherwise(end)
+        return F.when(start >= n, done).otherwise(F.concat(done, F.array(F.struct(i.alias("index"), start.alias("start"), cut.alias("end")))))
+
+    steps = F.sequence(F.lit(1), F.ceil(n / F.floor(size * 0.75)).cast("int") + 1)
+    return F.when(F.coalesce(n, F.lit(0)) == 0, empty).otherwise(F.aggregate(steps, empty, step))
+
+
+def semantic_profile(title: Column, headings: Column, body: Column, most: int = 1700) -> Column:
+    """What stands for a document when it is embedded: title, six headings, and its body, of a long one the head, middle and tail.
+
+    body: collapsed. The whole text stays where it is; this is a view for models with a bound.
+    """
+    first = F.filter(F.transform(F.slice(headings, 1, 8), collapse), lambda h: h != "")
+    long = F.concat_ws("\n", F.concat(F.lit("开头："), F.substring(body, 1, 520)), F.concat(F.lit("中段："), F.substring(body, F.greatest(F.lit(0), F.floor(F.length(body) / 2).cast("int") - 220) + 1, F.lit(440))), F.concat(F.lit("结尾："), F.right(body, F.lit(520))))
+    parts = [
+        F.concat(F.lit("标题："), F.coalesce(F.get(first, F.lit(0)), title, F.lit(""))),
+        F.when(F.size(first) > 0, F.concat(F.lit("章节："), F.array_join(F.slice(first, 1, 6), " | "))),
+        F.when(F.length(body) > 1200, long).when(F.length(body) > 0, F.concat(F.lit("正文："), body)),
+    ]
+    return F.substring(F.concat_ws("\n", *parts), 1, most)

@@ -232,3 +232,9 @@ def best_of_nodes(judged: DataFrame, members: DataFrame, *, per_source: int = 2,
 def latest_by_key(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
     """The newest row of each key, as a store with upserts would give it."""
     return rows.withColumn("__r", F.row_number().over(W.partitionBy(*keys).orderBy(order.desc()))).filter("__r = 1").drop("__r")
+
+
+def resolved(wanted: DataFrame, units: DataFrame) -> DataFrame:
+    """wanted (any columns and evidence_id) with the unit's path and text. Ids that no unit has are left out, never replaced."""
+    own = materialize(units.groupBy("evidence_id").agg(F.min(F.struct("path", "text")).alias("u")).select("evidence_id", F.col("u.path").alias("unit_path"), F.col("u.text").alias("unit_text")), "units")
+    return wanted.join(own, "evidence_id")

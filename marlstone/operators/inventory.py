@@ -157,3 +157,22 @@ def most_common_frequency(documents: int) -> int:
 def first_rows(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
     """The first n rows of each group; Spark drops rows beyond n before the shuffle."""
     return df.withColumn("__r", F.row_number().over(W.partitionBy(*by).orderBy(*order))).filter(F.col("__r") <= n).drop("__r")
+
+
+def listing(files: DataFrame) -> DataFrame:
+    """parent_path, name, is_folder, place: what each folder holds, folders first, then by name with numbers by value."""
+    from ..storage import materialize, numbered
+
+    below = files.select(F.explode(F.filter(_ancestors(F.col("parent_path")), lambda x: x != ".")).alias("folder")).distinct()
+    parent = F.regexp_replace("folder", r"/?[^/]*$", "")
+    folders = below.select(F.when(parent == "", ".").otherwise(parent).alias("parent_path"), F.element_at(F.split("folder", "/"), -1).alias("name"), F.lit(True).alias("is_folder"))
+    both = folders.unionByName(files.select("parent_path", "name", F.lit(False).alias("is_folder"))).withColumn("__key", natural_key(F.col("name")))
+    dealt = materialize(numbered(both, ["parent_path", ~F.col("is_folder"), "__key", "name"], "__n"), "listing")
+    first = dealt.groupBy("parent_path").agg((F.min("__n") - 1).alias("__before"))
+    return dealt.join(first, "parent_path").select("parent_path", "name", "is_folder", (F.col("__n") - F.col("__before")).alias("place"))
+
+
+def time_range(files: DataFrame) -> DataFrame:
+    """One row: the first and last day on which a file was changed (null if none is known), and how many files say so."""
+    day = F.substring(F.nullif("modified_at", F.lit("")), 1, 10)
+    return files.agg(F.min(day).alias("first_day"), F.max(day).alias("last_day"), F.count(day).alias("dated_files"))

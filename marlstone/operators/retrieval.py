@@ -282,3 +282,10 @@ def parts_of(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
+
+
+def merged(found: DataFrame, limit: int = 12) -> DataFrame:
+    """The units of several searches in one list: by query and rank, each unit once, where it comes first."""
+    first = found.groupBy("evidence_id").agg(F.min(F.struct("query_id", "rank", "path")).alias("x"))
+    top = first.select("evidence_id", "x.*").orderBy("query_id", "rank", "evidence_id").limit(limit)
+    return top.select(F.row_number().over(W.orderBy("query_id", "rank", "evidence_id")).cast("long").alias("place"), "query_id", "path", "evidence_id")  # ``limit`` rows

@@ -30,6 +30,31 @@ def folder_summaries(docs: DataFrame, scopes: DataFrame, topics: DataFrame) -> D
     return out.select("scope", "files", "bytes", human_size(F.col("bytes")).alias("size_human"), "chars", "representatives", F.coalesce("topics", F.lit("")).alias("topics"))
 
 
+def file_summaries(docs: DataFrame, units: DataFrame, topics: DataFrame) -> DataFrame:
+    """docs: path, name, extension, size, chars, complete, parser, canonical_path. units: eligible ones. topics: path, rank, topic.
+
+    path, title, summary, topics (eight), evidence_ids (the first three), deep:
+    whether a closer look is worth it. A document without units or topics has
+    empty lists; copies say whose copies they are.
+    """
+    three = first_rows(units.select("path", "seq", "evidence_id", "text"), ["path"], [F.col("seq")], 3)
+    shown = three.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "evidence_id"))), lambda x: x["evidence_id"]), "|").alias("evidence_ids"), F.min_by("text", "seq").alias("clue"))  # three
+    eight = topics.filter("rank < 8").groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "topic"))), lambda x: x["topic"]), "|").alias("topics"))  # eight
+    said = F.concat(
+        F.coalesce(F.nullif("extension", F.lit("")), F.lit("untyped")), F.lit(" file, "), human_size(F.col("size")), F.lit(", read as "), F.coalesce("parser", F.lit("unknown")), F.lit("."),
+        F.when(F.col("clue").isNotNull(), F.concat(F.lit(" It says: "), F.substring("clue", 1, 260))).otherwise(""),
+        F.when(F.col("canonical_path") != F.col("path"), F.concat(F.lit(" A copy of "), F.col("canonical_path"), F.lit("."))).otherwise(""),
+    )
+    deep = F.col("evidence_ids").isNotNull() & (~F.coalesce("complete", F.lit(True)) | (F.col("chars") >= 8000))
+    out = docs.join(shown, "path", "left").join(eight, "path", "left")
+    return out.select("path", F.regexp_replace("name", r"(?<=.)\.[^.]*$", "").alias("title"), said.alias("summary"), F.coalesce("topics", F.lit("")).alias("topics"), F.coalesce("evidence_ids", F.lit("")).alias("evidence_ids"), deep.alias("deep"))
+
+
+def valid_summaries(summaries: DataFrame) -> DataFrame:
+    """Those of a version that reports can read."""
+    return summaries.filter(F.col("schema_version").isin(3, 4))
+
+
 def statistics(projection: DataFrame, roles: DataFrame, units: DataFrame, states: DataFrame) -> DataFrame:
     """name, value: counts over the package, and documents by role."""
     docs = projection.agg(F.count("*").alias("documents"), F.count_if(F.col("role") == "canonical").alias("canonical_documents"), F.count_if(F.col("role") != "canonical").alias("duplicate_aliases"), F.coalesce(F.sum("chars"), F.lit(0)).alias("characters"))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import materialize
+from .inventory import coverage
 
 MOST_EDITS = 10_000
 
@@ -93,3 +94,21 @@ def filter_files(leaves: DataFrame, status: str) -> DataFrame:
 def filter_tree(nodes: DataFrame, leaves: DataFrame, status: str) -> DataFrame:
     """Groups that keep a file, with the number of files that they keep."""
     return filter_files(leaves, status).groupBy("node_id").agg(F.count("*").alias("files")).join(nodes, "node_id").select("node_id", "name", "files")
+
+
+def find_node(nodes: DataFrame, node_id: str) -> DataFrame:
+    """The node of that id; of several the one that comes first."""
+    return nodes.filter(F.col("node_id") == F.lit(node_id)).orderBy("position", "parent_id", "name").limit(1)
+
+
+def tree_coverage(nodes: DataFrame, members: DataFrame, files: DataFrame, states: DataFrame) -> DataFrame:
+    """node_id, kind, name and the columns of ``coverage``, for the root over all files and for each group over its members.
+
+    A group without members has zeros, never the figures of the whole.
+    """
+    groups = nodes.filter("kind = 'group'").select("node_id", "kind", "name")
+    root = nodes.sparkSession.createDataFrame([("root", "analysis_root", "root")], "node_id string, kind string, name string")
+    scopes = members.select(F.col("node_id").alias("scope"), "path").distinct().unionByName(files.select(F.lit("root").alias("scope"), "path"))
+    found = coverage(files, states, scopes).withColumnRenamed("scope", "node_id")
+    out = groups.unionByName(root).join(found, "node_id", "left")
+    return out.fillna(0).fillna({"complete_analysis": False, "coverage_level": "inventory_complete", "inventory_size_human": "0.0 B"})

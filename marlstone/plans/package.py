@@ -54,6 +54,16 @@ def analyze(docs: DataFrame, states: DataFrame) -> Analysis:
     )
 
 
+def refreshed(docs: DataFrame, states: DataFrame, parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents and states after some documents were parsed in whole; ``analyze`` then derives copies, coverage and value anew.
+
+    parsed: columns of docs. They replace the rows of their paths.
+    """
+    paths = parsed.select("path").distinct()
+    now = paths.select("path", F.lit(True).alias("parsed"), F.lit(False).alias("failed"), F.lit(True).alias("complete"), F.lit(False).alias("sampled"))
+    return docs.join(paths, "path", "left_anti").unionByName(parsed), states.join(paths, "path", "left_anti").unionByName(now)
+
+
 def report_sections(analysis: Analysis) -> DataFrame:
     """The report as rows: section, place, title, body."""
     v = analysis.value.select(F.lit("value").alias("section"), F.lit(1).alias("place"), F.col("research_level").alias("title"), F.format_string("research %.1f, usability %.1f, richness %.1f", "research_score", "usability", "richness").alias("body"))

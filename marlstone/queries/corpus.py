@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse
-from ..operators import duplicates, evidence, inventory, retrieval, similar, summary, topics, value
+from ..functions.text import collapse, long_parts, path_id, semantic_profile
+from ..operators import duplicates, evidence, inventory, retrieval, similar, summary, topics, tree, value
 from ..storage import materialize
-from .common import CANON, DOCS, RANKED, bm25_sql, chunks_sql, documents, files, questions, table, topics_sql, units
+from .common import CANON, DOCS, RANKED, SPACES, bm25_sql, chunks_sql, documents, files, questions, table, topics_sql, units
 
 FILES = DOCS + ", files AS (SELECT path, size FROM docs UNION ALL SELECT 'pages/' || page_id || '.html', coalesce(strlen(html), 0)::BIGINT FROM pages), inv AS (SELECT path, size, regexp_extract(path, '(\\.[^.]+)$', 1) AS extension, regexp_replace(path, '/?[^/]*$', '') AS parent FROM files)"
 
@@ -268,7 +268,55 @@ def cluster_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.best_of_nodes(evidence.gated(evidence.evidence_units(docs)), members, per_source=2, limit=5)
 
 
+def file_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    heads = duplicates.canonical_projection(docs.select("path", "name", "sha256", "size", "modified_at", F.length("text").cast("long").alias("chars")))
+    good = evidence.gated(evidence.evidence_units(docs)).filter("quality.eligible")
+    return summary.file_summaries(heads.withColumns({"extension": F.lit(".txt"), "complete": F.lit(True), "parser": F.lit("text")}), good, topics.content_topics(docs, 8))
+
+
+def evidence_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What all questions find, as one list of twelve."""
+    return retrieval.merged(materialize(retrieval.retrieve(units(spark, sf_dir), questions(spark, sf_dir), vectors=False), "found"))
+
+
+def evidence_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first unit that each document should have, looked up by its id; some documents have none."""
+    wanted = documents(spark, sf_dir).select("doc_id", F.concat(F.lit("E-"), F.substring("sha256", 1, 10), F.lit("-00001")).alias("evidence_id"))
+    return evidence.resolved(wanted, units(spark, sf_dir)).select("doc_id", "evidence_id", "unit_path", F.sha2("unit_text", 256).alias("unit_sha256"))
+
+
+def text_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents in parts of 400 characters or more, twelve at most before they are cut back to newlines."""
+    parts = documents(spark, sf_dir).select("doc_id", "text", F.explode(long_parts(F.col("text"), 12, 400)).alias("p"))
+    return parts.select("doc_id", F.col("p.index").cast("long").alias("part"), F.col("p.start").cast("long").alias("start"), F.col("p.end").cast("long").alias("end"), F.sha2(F.substring("text", F.col("p.start") + 1, F.col("p.end") - F.col("p.start")), 256).alias("part_sha256"))
+
+
+def semantic_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts have no headings here; their profiles are named by their id."""
+    body = documents(spark, sf_dir).select("doc_id", "path", collapse(F.col("text")).alias("body"))
+    return body.select("doc_id", path_id(F.col("path")).alias("path_id"), semantic_profile(F.col("doc_id").cast("string"), F.array().cast("array<string>"), F.col("body")).alias("profile"))
+
+
+def directory_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inventory.listing(files(spark, sf_dir))
+
+
+def package_time_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event as a file that was changed when it happened."""
+    return inventory.time_range(table(spark, sf_dir, "events").select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("modified_at")))
+
+
+def tree_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverage of the root and of a group for each language, and of one that has no documents."""
+    docs = documents(spark, sf_dir)
+    members = docs.select(F.element_at(F.split("path", "/"), 1).alias("node_id"), "path")
+    nodes = members.select("node_id").distinct().unionByName(spark.createDataFrame([("nobody",)], "node_id string")).select("node_id", F.lit("group").alias("kind"), F.col("node_id").alias("name"))
+    return tree.tree_coverage(nodes, members, docs.select("path", "size"), _states(spark, sf_dir, docs))
+
+
 QUERIES = {f.__name__: f for f in (
+    file_summaries, evidence_union, evidence_resolution, text_parts, semantic_profiles, directory_listing, package_time_range, tree_coverage,
     package_policy, even_sample, alias_members, answer_status, node_evidence, cluster_evidence,
     inventory_type_counts, directory_rollup, exact_duplicate_groups, canonical_projection, export_manifest, evidence_chunks, evidence_quality_gate, evidence_corpus_dedup,
     retrieval_bm25, retrieval_hybrid, retrieval_narrowed, retrieval_manifest, content_topics, topic_clusters, adaptive_topic_assignment, topic_mounts, topic_subtopics, document_roles,
@@ -308,7 +356,38 @@ picked AS (SELECT question_id, evidence_id, path, 'direct' AS match, overlap, sc
   CASE WHEN len(a) > 0 AND NOT list_has_all(b, a) THEN 0.0 WHEN contains(q, '100%') AND NOT contains(text, '100%') THEN 0.3 ELSE round(least(1.0, 0.65 + 0.08 * least(8, len(list_filter(t, lambda x: contains(lower(text), x))))), 3) END::DOUBLE AS support_score FROM nums)"""
 LABELLED = "lab AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1), states AS (SELECT path, size, text, trim(text) = '' AS failed, quality IS NOT NULL AND trim(text) <> '' AS parsed, quality, toxic FROM docs LEFT JOIN lab USING (doc_id))"
 
+HUMAN = "CASE WHEN {b} < 1024 THEN printf('%.1f B', {b}::DOUBLE) WHEN {b} < 1048576 THEN printf('%.1f KB', {b} / 1024.0::DOUBLE) WHEN {b} < 1073741824 THEN printf('%.1f MB', {b} / 1048576.0::DOUBLE) ELSE printf('%.1f GB', {b} / 1073741824.0::DOUBLE) END"
+NATURAL = "array_to_string(list_transform(regexp_extract_all(lower(name), '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(length(regexp_replace(x, '^0+([0-9])', '\\1'))::VARCHAR, 4, '0') || regexp_replace(x, '^0+([0-9])', '\\1') ELSE x END), '')"
+
 ORACLE_SQL = {
+    "file_summaries": f"""WITH {DOCS}, {chunks_sql('docs')}, {topics_sql('docs')},
+ev AS (SELECT path, string_agg(evidence_id, '|' ORDER BY seq) AS ids, arg_min(text, seq) AS clue FROM (SELECT * FROM judged WHERE reason = 'eligible' QUALIFY row_number() OVER (PARTITION BY path ORDER BY seq) <= 3) GROUP BY path),
+tp AS (SELECT path, string_agg(topic, '|' ORDER BY rank) AS topics FROM topics WHERE rank < 8 GROUP BY path),
+d AS (SELECT *, first_value(path) OVER (PARTITION BY sha ORDER BY size DESC, path) AS head FROM docs)
+SELECT path, doc_id::VARCHAR AS title, '.txt file, ' || {HUMAN.format(b='size')} || ', read as text.' || coalesce(' It says: ' || substr(clue, 1, 260), '') || CASE WHEN head <> path THEN ' A copy of ' || head || '.' ELSE '' END AS summary,
+coalesce(topics, '') AS topics, coalesce(ids, '') AS evidence_ids, ids IS NOT NULL AND length(d.text) >= 8000 AS deep FROM d LEFT JOIN ev USING (path) LEFT JOIN tp USING (path)""",
+    "evidence_union": f"""WITH {CANON}, {chunks_sql('canon')}, {ASKED}, {bm25_sql('corpus', 'asked')}, fused AS (SELECT *, round(bm25 / max(bm25) OVER (PARTITION BY query_id), 6) AS score FROM scored), {RANKED.format(per=3)},
+once AS (SELECT evidence_id, path, query_id, rank FROM ranked WHERE rank <= 8 QUALIFY row_number() OVER (PARTITION BY evidence_id ORDER BY query_id, rank) = 1)
+SELECT row_number() OVER (ORDER BY query_id, rank, evidence_id) AS place, query_id, path, evidence_id FROM once ORDER BY place LIMIT 12""",
+    "evidence_resolution": f"""WITH {CANON}, {chunks_sql('canon')}, w AS (SELECT doc_id, 'E-' || sha[:10] || '-00001' AS evidence_id FROM docs) SELECT doc_id, evidence_id, path AS unit_path, sha256(text) AS unit_sha256 FROM w JOIN corpus USING (evidence_id)""",
+    "text_parts": """WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, greatest(400, ceil(length(coalesce(text, '')) / 12.0))::BIGINT AS size FROM documents),
+p AS (SELECT doc_id, 0::BIGINT AS part, 0::BIGINT AS start, 0::BIGINT AS stop FROM d UNION ALL
+SELECT doc_id, part + 1, stop, CASE WHEN stop + size < n AND contains(tail, chr(10)) THEN stop + floor(size * 0.75)::BIGINT + length(tail) - position(chr(10) IN reverse(tail)) ELSE least(n, stop + size) END
+FROM (SELECT p.*, d.n, d.size, substr(d.text, stop + floor(size * 0.75)::BIGINT + 1, least(n, stop + size) - stop - floor(size * 0.75)::BIGINT) AS tail FROM p JOIN d USING (doc_id) WHERE stop < n))
+SELECT doc_id, part, start, stop AS "end", sha256(substr(text, start + 1, stop - start)) AS part_sha256 FROM p JOIN d USING (doc_id) WHERE part > 0""",
+    "semantic_profiles": f"""WITH {DOCS}, b AS (SELECT doc_id, path, trim(regexp_replace(text, '{SPACES}', ' ', 'g')) AS x FROM docs)
+SELECT doc_id, sha1(path)[:16] AS path_id, substr('标题：' || doc_id || CASE WHEN length(x) > 1200 THEN chr(10) || '开头：' || substr(x, 1, 520) || chr(10) || '中段：' || substr(x, length(x) // 2 - 219, 440) || chr(10) || '结尾：' || right(x, 520) WHEN x <> '' THEN chr(10) || '正文：' || x ELSE '' END, 1, 1700) AS profile FROM b""",
+    "directory_listing": f"""WITH {FILES}, up AS (SELECT DISTINCT array_to_string(string_split(parent, '/')[1:k], '/') AS folder FROM (SELECT parent, unnest(range(1, len(string_split(parent, '/')) + 1)) AS k FROM inv WHERE parent <> '')),
+e AS (SELECT regexp_replace(folder, '/?[^/]*$', '') AS parent, string_split(folder, '/')[-1] AS name, true AS is_folder FROM up UNION ALL SELECT parent, string_split(path, '/')[-1], false FROM inv)
+SELECT CASE WHEN parent = '' THEN '.' ELSE parent END AS parent_path, name, is_folder, row_number() OVER (PARTITION BY parent ORDER BY NOT is_folder, {NATURAL}, name) AS place FROM e""",
+    "package_time_range": "SELECT min(strftime(ts, '%Y-%m-%d')) AS first_day, max(strftime(ts, '%Y-%m-%d')) AS last_day, count(ts) AS dated_files FROM events",
+    "tree_coverage": f"""WITH {DOCS}, {LABELLED}, sc AS (SELECT 'root' AS node_id, * FROM states UNION ALL SELECT string_split(path, '/')[1], * FROM states),
+g AS (SELECT node_id, count(*) AS inventory_files, count(*) FILTER (parsed) AS parsed_files, count(*) FILTER (failed) AS failed_files, count(*) FILTER (NOT parsed AND NOT failed) AS pending_files, count(*) FILTER (parsed AND quality = 1) AS complete_text_files, count(*) FILTER (parsed AND quality <> 1) AS partial_text_files, count(*) FILTER (parsed AND toxic = 1) AS sampled_files, sum(size)::BIGINT AS inventory_bytes, coalesce(sum(size) FILTER (parsed), 0)::BIGINT AS parsed_bytes FROM sc GROUP BY node_id),
+h AS (SELECT * FROM g UNION ALL SELECT 'nobody', 0, 0, 0, 0, 0, 0, 0, 0, 0)
+SELECT *, CASE WHEN node_id = 'root' THEN 'analysis_root' ELSE 'group' END AS kind, node_id AS name, coalesce(round(parsed_files / nullif(inventory_files, 0), 6), 0) AS parsed_file_ratio, round(parsed_bytes / greatest(inventory_bytes, 1), 6) AS parsed_byte_ratio,
+inventory_files > 0 AND pending_files + failed_files + partial_text_files = 0 AS complete_analysis,
+CASE WHEN inventory_files > 0 AND pending_files + failed_files + partial_text_files = 0 THEN 'full_text_analysis' WHEN parsed_files > 0 THEN 'representative_overview' ELSE 'inventory_complete' END AS coverage_level,
+{HUMAN.format(b='inventory_bytes')} AS inventory_size_human FROM h""",
     "inventory_type_counts": f"WITH {FILES} SELECT extension, count(*) AS files, sum(size)::BIGINT AS bytes, min(size) AS least_bytes, max(size) AS most_bytes FROM inv GROUP BY extension",
     "directory_rollup": f"""WITH {FILES}, up AS (SELECT path, size, extension, parent, '.' AS directory FROM inv UNION ALL
 SELECT path, size, extension, parent, array_to_string(string_split(parent, '/')[1:k], '/') FROM (SELECT *, unnest(range(1, len(string_split(parent, '/')) + 1)) AS k FROM inv WHERE parent <> '')),

@@ -32,6 +32,16 @@ def scan(spark: SparkSession, root: str, max_depth: int = 32) -> DataFrame:
     return kept(with_names(found)).filter(F.col("depth") <= max_depth)
 
 
+def resolve_under(requested: Column, root: str) -> Column:
+    """The path without dots, below the root; null where it leaves the root. Relative paths start at the root."""
+    base = "/" + "/".join(x for x in root.split("/") if x not in ("", "."))
+    given = F.replace(requested, F.lit("\\"), F.lit("/"))
+    parts = F.split(F.when(given.startswith("/"), given).otherwise(F.concat(F.lit(base + "/"), given)), "/")
+    walked = F.aggregate(parts, F.array().cast("array<string>"), lambda done, x: F.when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(x.isin("", "."), done).otherwise(F.concat(done, F.array(x))))
+    path = F.concat(F.lit("/"), F.array_join(walked, "/"))
+    return F.when((path == base) | path.startswith(base.rstrip("/") + "/"), path)
+
+
 def contents(spark: SparkSession, root: str, max_bytes: int = 256 << 20) -> DataFrame:
     """path, size, modified_at, extension, content; larger files keep their row without content, so that they can be reported."""
     found = _listed(spark, root).select(_relative(F.col("path"), root).alias("path"), F.col("length").alias("size"), F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("modified_at"), F.when(F.col("length") <= max_bytes, F.col("content")).alias("content"))
