@@ -259,8 +259,48 @@ def test_shards_hold_equal_bytes(spark, data, texts):
 def test_shards_by_target_size(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     found = kdshard.shard_documents(docs, target_bytes=5_000).groupBy("shard").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()
-    largest = docs.agg(F.max(F.octet_length("text"))).first()[0]
-    assert len(found) > 60 and max(r.b for r in found) <= 5_000 + 2 * largest
+    assert len(found) > 60 and all(r.b <= 5_000 or r.n == 1 for r in found)
+    assert sorted(r.shard for r in found) == list(range(len(found)))
+
+
+def plain_tree(items: list, leaves: int, target: int | None = None) -> list:
+    """Leaves from left to right, each a sorted list of uids."""
+    total = sum(r.size for r in items)
+    leaves = -(-total // target) if target else leaves
+    widths = [(max(r[f"k_{d}"] >> 24 for r in items) - min(r[f"k_{d}"] >> 24 for r in items), -i) for i, d in enumerate(kdshard.DIMS)]
+    key = f"k_{kdshard.DIMS[-max(widths)[1]]}"
+    ordered = sorted(items, key=lambda r: r[key])
+    if leaves < 2 or ordered[0][key] == ordered[-1][key]:
+        return [sorted(r.uid for r in items)]
+    goal, upto, at = total * (leaves // 2) / leaves, 0, 0
+    while upto + ordered[at].size < goal:
+        upto += ordered[at].size
+        at += 1
+    # the row that crosses the goal goes left unless that is farther from the goal
+    at += not goal - upto < upto + ordered[at].size - goal
+    at = min(max(at, 1), len(ordered) - 1)
+    return plain_tree(ordered[:at], leaves // 2, target) + plain_tree(ordered[at:], leaves - leaves // 2, target)
+
+
+@pytest.mark.parametrize("how", [{"shards": 16}, {"shards": 5}, {"target_bytes": 20_000}])
+def test_shards_are_the_plain_tree(spark, data, how):
+    docs = spark.read.parquet(f"{data}/documents.parquet").filter("doc_id is not null")
+    items = kdshard._items(docs).collect()
+    assert len({r[f"k_{d}"] for r in items for d in ["id"]}) == len(items)
+    want = plain_tree(items, how.get("shards", 0), how.get("target_bytes"))
+    ids = {r.uid: r.doc_id for r in items}
+    found = defaultdict(list)
+    for r in kdshard.shard_documents(docs, tolerance=0.0, **how).collect():
+        found[r.shard].append(r.doc_id)
+    assert [sorted(found[i]) for i in range(len(found))] == [sorted(ids[u] for u in leaf) for leaf in want]
+
+
+def test_names_are_coded_by_weighted_rank(spark):
+    rows = [(1, "x" * 9, "b", None), (2, "x" * 29, "a", "s"), (3, "x" * 19, None, "s"), (4, None, "b", "t"), (5, "x" * 38, "c", "")]
+    items = {r.doc_id: r for r in kdshard._items(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    share = lambda r, d: round((r[f"k_{d}"] >> 24) / (1 << 36) * 100)
+    assert {k: share(r, "lang") for k, r in items.items()} == {3: 0, 2: 20, 1: 50, 4: 50, 5: 61}
+    assert {k: share(r, "source") for k, r in items.items()} == {1: 0, 5: 10, 2: 49, 3: 49, 4: 99}
 
 
 def test_url_trees_learn(spark):
