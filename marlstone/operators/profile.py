@@ -82,10 +82,27 @@ def order_statistics(cells: DataFrame) -> DataFrame:
     return placed.groupBy("column").agg(at(whole(n / 4)).alias("first_quartile"), at(whole(n / 2)).alias("median"), at(whole(n * 3 / 4)).alias("third_quartile"))
 
 
+def column_kinds(cells: DataFrame) -> DataFrame:
+    """column, inferred_type: the most frequent kind of its cells, the first seen among equals."""
+    kinds = cells.groupBy("column", "kind").agg(F.sum("n").alias("k"), F.min("first_row").alias("f"))
+    return kinds.groupBy("column").agg(F.min_by("kind", F.struct(-F.col("k"), "f", "kind")).alias("inferred_type"))
+
+
+def recommended_questions(columns: DataFrame) -> DataFrame:
+    """What is worth asking of each table: source, place, question, columns (in the table's order).
+
+    columns: source, column, position, inferred_type. A question is asked if a column fits it.
+    """
+    told = named_like(F.col("column"), ENTITY)
+    fits = [("trend_over_time", F.col("inferred_type") == "datetime"), ("notable_numbers", F.col("inferred_type") == "number"), *((f"compare_by_{c}", F.array_contains(told, c)) for c in ENTITY)]
+    asked = F.array(*(F.when(fit, F.struct(F.lit(i).cast("long").alias("place"), F.lit(name).alias("question"))) for i, (name, fit) in enumerate(fits, 1)))
+    each = columns.withColumn("q", F.explode(F.filter(asked, lambda x: x.isNotNull()))).groupBy("source", "q").agg(F.array_sort(F.collect_list(F.struct("position", "column"))).alias("c"))
+    return each.select("source", "q.place", "q.question", F.array_join(F.transform("c", lambda x: x["column"]), "|").alias("columns"))
+
+
 def column_profile(cells: DataFrame, row_count: int) -> DataFrame:
     """One row for each column. row_count: rows of the table."""
-    kinds = cells.groupBy("column", "kind").agg(F.sum("n").alias("k"), F.min("first_row").alias("f"))
-    inferred = kinds.groupBy("column").agg(F.min_by("kind", F.struct(-F.col("k"), "f", "kind")).alias("inferred_type"))
+    inferred = column_kinds(cells)
     known = ~missing(F.col("value"))
     x, n = F.col("number"), F.col("n")
     base = cells.groupBy("column", "position").agg(

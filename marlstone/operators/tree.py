@@ -11,10 +11,11 @@ import hashlib
 from typing import Any
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..storage import materialize
-from .inventory import coverage
+from .inventory import coverage, first_rows
 
 MOST_EDITS = 10_000
 
@@ -101,6 +102,44 @@ def find_node(nodes: DataFrame, node_id: str) -> DataFrame:
     return nodes.filter(F.col("node_id") == F.lit(node_id)).orderBy("position", "parent_id", "name").limit(1)
 
 
+def topic_tree(parts: DataFrame, docs: DataFrame, judged: DataFrame, *, per_source: int = 2, topic_items: int = 8, part_items: int = 5, file_items: int = 3) -> DataFrame:
+    """The tree of topics, their parts and the parts' files, each with the evidence below it.
+
+    parts: topic, part, path (``topics.subtopics``). docs: path, size. judged: units
+    with their quality. Evidence of a node: eligible units of its documents that
+    hold the topic's or the part's name, those with both first, then by quality;
+    at most ``per_source`` of a document. A group's confidence follows its number
+    of documents, its id the names on its way, so that no list of paths is
+    gathered. A group of files is summed up by partial aggregates; units of a
+    document are cut to the best before they meet the levels above.
+    """
+    way, part, named = ["topic", "part", "path"], F.concat_ws("|", "topic", "part"), F.concat_ws("|", "topic", "part", "path")
+    level = lambda kind, key, parent, name, most: F.struct(F.lit(kind).alias("level"), key.alias("key"), parent.alias("parent"), F.col(name).alias("name"), F.lit(most).alias("most"))
+    below = F.explode(F.array(
+        level("topic", F.col("topic"), F.lit(None).cast("string"), "topic", topic_items),
+        level("part", part, F.col("topic"), "part", part_items),
+        level("file", named, part, "path", file_items),
+    )).alias("x")
+    nodes = parts.select(*way).join(docs.select("path", "size"), "path").select("path", "size", below).select("path", "size", "x.*")
+    nodes = nodes.groupBy("level", "key", "parent", "name").agg(F.count("*").alias("documents"), F.sum("size").alias("total_size"))
+    holds = lambda c: F.contains(F.lower("text"), F.lower(c)).cast("int")
+    good = judged.filter("quality.eligible").select("path", "evidence_id", "seq", "text", F.col("quality.score").alias("score"))
+    met = parts.select(*way).join(good, "path").withColumn("hits", holds("topic") + holds("part")).filter("hits > 0").drop("text")
+    order = [F.desc("hits"), F.desc("score"), F.col("path"), F.col("seq")]
+    few = first_rows(met, way, order, per_source).select("path", "evidence_id", "seq", "score", "hits", below).select("path", "evidence_id", "seq", "score", "hits", "x.key", "x.most")
+    best = first_rows(few, ["key"], order, max(topic_items, part_items, file_items))
+    ranked = best.withColumn("place", F.row_number().over(W.partitionBy("key").orderBy(*order))).filter(F.col("place") <= F.col("most"))
+    chain = ranked.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "evidence_id"))), lambda x: x["evidence_id"]), "|").alias("evidence"))
+    own_id = lambda c: F.concat(F.lit("group-"), F.substring(F.sha2(F.col(c), 256), 1, 16))
+    n = F.col("documents")
+    return nodes.join(chain, "key", "left").select(
+        own_id("key").alias("node_id"), F.coalesce(own_id("parent"), F.lit("root")).alias("parent_id"), "level", "name", "documents", "total_size",
+        F.when(F.col("level") != "file", F.when(n >= 3, "high").when(n >= 2, "medium").otherwise("low")).alias("confidence"),
+        F.when(F.col("evidence").isNotNull(), "supported").otherwise("insufficient").alias("evidence_status"),
+        F.coalesce("evidence", F.lit("")).alias("evidence"),
+    )
+
+
 def tree_coverage(nodes: DataFrame, members: DataFrame, files: DataFrame, states: DataFrame) -> DataFrame:
     """node_id, kind, name and the columns of ``coverage``, for the root over all files and for each group over its members.
 

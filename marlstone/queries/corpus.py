@@ -114,6 +114,14 @@ def topic_subtopics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.groupBy("topic", "part", "place").agg(F.count("*").alias("documents"), F.min("path").alias("first_path"))
 
 
+def topic_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topics, parts and files with their evidence."""
+    docs, wide = _wide_topics(spark, sf_dir)
+    _, members = _tree(docs, wide)
+    parts = materialize(topics.subtopics(members, wide.filter("rank < 10").select("path", "topic")), "parts")
+    return tree.topic_tree(parts, docs, evidence.gated(evidence.evidence_units(docs)))
+
+
 def document_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roles of documents, and of pages by their raw HTML."""
     pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("name"), F.coalesce("html", F.lit("")).alias("text"))
@@ -319,7 +327,7 @@ QUERIES = {f.__name__: f for f in (
     file_summaries, evidence_union, evidence_resolution, text_parts, semantic_profiles, directory_listing, package_time_range, tree_coverage,
     package_policy, even_sample, alias_members, answer_status, node_evidence, cluster_evidence,
     inventory_type_counts, directory_rollup, exact_duplicate_groups, canonical_projection, export_manifest, evidence_chunks, evidence_quality_gate, evidence_corpus_dedup,
-    retrieval_bm25, retrieval_hybrid, retrieval_narrowed, retrieval_manifest, content_topics, topic_clusters, adaptive_topic_assignment, topic_mounts, topic_subtopics, document_roles,
+    retrieval_bm25, retrieval_hybrid, retrieval_narrowed, retrieval_manifest, content_topics, topic_clusters, adaptive_topic_assignment, topic_mounts, topic_subtopics, topic_tree, document_roles,
     claim_verification, evidence_selection, claim_binding, research_directions, coverage_ledger, value_judgement, representative_sample, checkpoint_reuse,
     simhash_fingerprints, near_duplicate_pairs, near_duplicate_groups,
     folder_summaries, package_statistics, unparsed_files, report_categories, cluster_names,
@@ -518,3 +526,32 @@ ORACLE_SQL["node_evidence"] = f"""WITH {DOCS}, {chunks_sql('docs')}, sc AS (SELE
 SELECT node_id, count(*) AS units, count(*) FILTER (reason = 'eligible') AS eligible_units, count(DISTINCT path) FILTER (reason = 'eligible') AS sources, round(avg({SCORED}) FILTER (reason = 'eligible'), 3) AS mean_score FROM sc JOIN judged USING (path) GROUP BY node_id"""
 ORACLE_SQL["cluster_evidence"] = f"""WITH {CANON}, {chunks_sql('canon')}, {topics_sql('canon')}, {CLUSTERS}, u AS (SELECT cluster_id AS node_id, j.path, evidence_id, seq, {SCORED} AS score FROM clusters c JOIN topics t ON t.topic = c.topic AND t.rank < 5 JOIN judged j ON j.path = t.path WHERE reason = 'eligible'),
 few AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY node_id, path ORDER BY score DESC, seq) <= 2) SELECT node_id, path, evidence_id, score, row_number() OVER (PARTITION BY node_id ORDER BY score DESC, path, seq) AS place FROM few QUALIFY place <= 5"""
+
+
+def _parts_sql(most: int = 4) -> str:
+    """subparts (topic, part, place, path) from held and topics: each part takes the documents of the next term that still has two."""
+    out = """pin AS (SELECT h.topic, h.path, t.topic AS term FROM held h JOIN topics t ON t.path = h.path AND t.rank < 10 AND t.topic <> h.topic),
+psize AS (SELECT topic, count(*) AS size FROM held GROUP BY 1),
+pterm AS (SELECT topic, term, row_number() OVER (PARTITION BY topic ORDER BY df DESC, term) AS o FROM (SELECT topic, term, count(*) AS df FROM pin GROUP BY 1, 2) JOIN psize USING (topic) WHERE df >= 2 AND df < size),
+left0 AS (SELECT topic, path, term, o, 0 AS after FROM pin JOIN pterm USING (topic, term))"""
+    for k in range(most):
+        out += f""",
+turn{k} AS (SELECT topic, min(o) AS o FROM (SELECT topic, o FROM left{k} WHERE o > after GROUP BY 1, 2 HAVING count(*) >= 2) GROUP BY 1),
+now{k} AS (SELECT topic, path, term AS part, {k} AS place FROM left{k} JOIN turn{k} USING (topic, o)),
+left{k + 1} AS (SELECT l.topic, l.path, l.term, l.o, t.o AS after FROM left{k} l JOIN turn{k} t USING (topic) WHERE NOT EXISTS (SELECT 1 FROM now{k} n WHERE n.topic = l.topic AND n.path = l.path))"""
+    taken = " UNION ALL ".join(f"SELECT * FROM now{k}" for k in range(most))
+    return out + f""",
+taken AS ({taken}),
+subparts AS (SELECT * FROM taken UNION ALL SELECT topic, path, '(rest)', {most} FROM held h WHERE NOT EXISTS (SELECT 1 FROM taken t WHERE t.topic = h.topic AND t.path = h.path))"""
+
+
+PARTS = _parts_sql()
+ORACLE_SQL["topic_subtopics"] = f"WITH {CANON}, {topics_sql('canon')}, {ASSIGNED}, {PARTS} SELECT topic, part, place, count(*) AS documents, min(path) AS first_path FROM subparts GROUP BY 1, 2, 3"
+ORACLE_SQL["topic_tree"] = f"""WITH {CANON}, {chunks_sql('canon')}, {topics_sql('canon')}, {ASSIGNED}, {PARTS},
+levels AS (SELECT 'topic' AS level, topic AS key, NULL AS parent, topic AS name, 8 AS most, topic, part, path FROM subparts UNION ALL SELECT 'part', topic || '|' || part, topic, part, 5, topic, part, path FROM subparts UNION ALL SELECT 'file', topic || '|' || part || '|' || path, topic || '|' || part, path, 3, topic, part, path FROM subparts),
+nodes AS (SELECT level, key, parent, name, count(*) AS documents, sum(size)::BIGINT AS total_size FROM levels JOIN canon USING (path) GROUP BY ALL),
+u AS (SELECT topic, part, path, evidence_id, seq, {SCORED} AS score, contains(lower(text), topic)::INT + contains(lower(text), part)::INT AS hits FROM subparts JOIN judged USING (path) WHERE reason = 'eligible'),
+few AS (SELECT * FROM u WHERE hits > 0 QUALIFY row_number() OVER (PARTITION BY topic, part, path ORDER BY hits DESC, score DESC, seq) <= 2),
+best AS (SELECT key, evidence_id, row_number() OVER (PARTITION BY key ORDER BY hits DESC, score DESC, path, seq) AS place FROM levels JOIN few USING (topic, part, path) QUALIFY place <= most),
+chain AS (SELECT key, string_agg(evidence_id, '|' ORDER BY place) AS evidence FROM best GROUP BY key)
+SELECT 'group-' || substr(sha256(key), 1, 16) AS node_id, coalesce('group-' || substr(sha256(parent), 1, 16), 'root') AS parent_id, level, name, documents, total_size, CASE WHEN level = 'file' THEN NULL WHEN documents >= 3 THEN 'high' WHEN documents >= 2 THEN 'medium' ELSE 'low' END AS confidence, CASE WHEN evidence IS NULL THEN 'insufficient' ELSE 'supported' END AS evidence_status, coalesce(evidence, '') AS evidence FROM nodes LEFT JOIN chain USING (key)"""

@@ -71,6 +71,14 @@ def structured_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.overview(table_quality_score(spark, sf_dir))
 
 
+def recommended_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = []
+    for name in KEYS:
+        own = cells(spark, sf_dir, name)
+        each.append(profile.column_kinds(own).join(own.groupBy("column").agg(F.min("position").alias("position")), "column").withColumn("source", F.lit(name)))
+    return profile.recommended_questions(reduce(DataFrame.unionByName, each))
+
+
 def sensitive_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = [(n, c) for n in KEYS for c in table(spark, sf_dir, n).columns]
     rows = spark.createDataFrame(names, "source string, column string")
@@ -113,7 +121,7 @@ QUERIES = {
     **{f"column_top_values_{n}": _top_values(n) for n in ("orders", "customer", "part", "events")},
     **{f"column_histogram_{n}": _histogram(n) for n in ("lineitem", "orders", "events")},
     "column_samples_customer": _samples("customer"),
-    **{f.__name__: f for f in (duplicate_rows, table_quality_score, structured_overview, sensitive_columns, entity_values, json_props_profile, structured_qa)},
+    **{f.__name__: f for f in (duplicate_rows, table_quality_score, structured_overview, recommended_questions, sensitive_columns, entity_values, json_props_profile, structured_qa)},
 }
 
 COLUMNS = {
@@ -191,6 +199,10 @@ ORACLE_SQL = {
     "duplicate_rows": "SELECT count(*) AS row_count, count(*) - count(DISTINCT t) AS duplicate_row_count, 'events' AS source FROM events t UNION ALL SELECT count(*), count(*) - count(DISTINCT t), 'lineitem' FROM lineitem t UNION ALL SELECT count(*), count(*) - count(DISTINCT (o_custkey, o_orderstatus, o_orderpriority)), 'orders without key' FROM orders",
     "table_quality_score": f"WITH {_quality_sql()} SELECT * FROM lev",
     "structured_overview": f"WITH {_quality_sql()} SELECT count(*) AS profiled_tables, sum(row_count)::BIGINT AS total_rows, round(avg(quality_score), 2) AS average_quality_score, sum(duplicate_row_count)::BIGINT AS duplicate_rows, count(*) FILTER (sensitive_columns <> '') AS tables_with_sensitive_columns FROM lev",
+    "recommended_questions": " UNION ALL ".join(
+        f"SELECT source, {i}::BIGINT AS place, '{q}' AS question, string_agg(c, '|' ORDER BY i) AS columns FROM (VALUES {', '.join(f"('{n}', '{c}', {i}, '{k}')" for n, cs in COLUMNS.items() for i, (c, k) in enumerate(cs.items()))}) v(source, c, i, k) WHERE {where} GROUP BY source"
+        for i, (q, where) in enumerate([("trend_over_time", "k = 'd'"), ("notable_numbers", "k = 'n'"), *((f"compare_by_{e}", f"{ENTITIES} = '{e}'") for e in ("person", "location", "event"))], 1)
+    ),
     "sensitive_columns": f"SELECT source, c AS \"column\", {CATEGORIES} AS sensitive, {ENTITIES} AS entity FROM (VALUES {', '.join(f"('{n}', '{c}')" for n, cs in COLUMNS.items() for c in cs)}) v(source, c)",
     "entity_values": "SELECT category, value, n FROM (SELECT category, v AS value, count(*) AS n FROM (SELECT 'person' AS category, c_name AS v FROM customer UNION ALL SELECT 'person', s_name FROM supplier UNION ALL SELECT 'person', p_name FROM part UNION ALL SELECT 'event', event_type FROM events UNION ALL SELECT 'event', event_id::VARCHAR FROM events) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY category ORDER BY n DESC, value) <= 20",
     "json_props_profile": "SELECT key, count(*) AS rows, count(DISTINCT v) AS unique_count, count(TRY_CAST(v AS DOUBLE)) AS number_cells, min(TRY_CAST(v AS DOUBLE)) AS min, max(TRY_CAST(v AS DOUBLE)) AS max FROM (SELECT key, json_extract_string(props, '$.\"' || key || '\"') AS v FROM (SELECT props, unnest(json_keys(props)) AS key FROM events)) GROUP BY key",
