@@ -14,9 +14,12 @@ from .decontam import decontaminate
 from .kdshard import shard_documents
 from .lattice import score_documents
 from .linededup import dedup_lines
+from .mixing import mix_sources
 from .ordinal import grade_documents
 from .perplexity import judge_documents
+from .resample import resample
 from .urltrees import Rule, judge_urls
+from .variants import spelling_variants
 from .warc import archive_pages
 
 RULES = [Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/")]
@@ -76,9 +79,21 @@ def op10_aho_corasick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), ids.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_lattice_likelihood, op2_ngram_perplexity, op3_kd_shards, op4_url_trees, op5_ordinal_grades, op6_circulant_minhash, op7_warc_chunks, op8_line_dedup, op9_bpe_segment_tree, op10_aho_corasick)
+    for f in (op1_lattice_likelihood, op2_ngram_perplexity, op3_kd_shards, op4_url_trees, op5_ordinal_grades, op6_circulant_minhash, op7_warc_chunks, op8_line_dedup, op9_bpe_segment_tree, op10_aho_corasick, op11_spelling_variants, op12_importance_resample, op13_pivotal_mix)
 }
 
 ORACLE_SQL: dict[str, str] = {
