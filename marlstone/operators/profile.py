@@ -164,24 +164,36 @@ def entity_values(cells: DataFrame, k: int = 20) -> DataFrame:
     return first_rows(pooled, ["category"], [F.desc("n"), F.col("value")], k)
 
 
+def quality_score(missing_cells: Column, unique_columns: Column, column_count: Column, row_count: Column, penalty: Column) -> Column:
+    """Of a hundred points 70 for cells that are there and 30 for columns of mostly distinct values, less a share for repeated rows."""
+    complete = F.greatest(F.lit(0.0), 1 - missing_cells / F.greatest(F.lit(1.0), column_count * row_count.cast("double")))
+    score = (complete * 70 + unique_columns / F.greatest(column_count, F.lit(1)) * 30) * (1 - penalty)
+    return F.when((row_count == 0) | (column_count == 0), 0.0).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)), 2))
+
+
+def listed_columns(cond: Column) -> Column:
+    """Names of the columns that meet the condition, in the table's order."""
+    return F.coalesce(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("position", "column")))), lambda x: x["column"]), "|"), F.lit(""))
+
+
+def value_level(score: Column, row_count: Column) -> Column:
+    return F.when((score >= 80) & (row_count >= 10), "high").when(score >= 50, "medium").otherwise("needs_work")
+
+
 def table_profile(columns: DataFrame, row_count: int, duplicates: int, *, truncated: bool = False) -> DataFrame:
     """One row: quality score and level, lists of columns by kind."""
-    rows, penalty = float(max(1, row_count)), min(0.25, duplicates / max(1, row_count))
-    listed = lambda cond: F.coalesce(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("position", "column")))), lambda x: x["column"]), "|"), F.lit(""))
+    penalty = min(0.25, duplicates / max(1, row_count))
     one = columns.agg(
         F.count("*").alias("column_count"),
         F.coalesce(F.sum("missing_count"), F.lit(0)).alias("missing"),
         F.count_if(F.col("unique_count") >= max(1.0, row_count * 0.9)).alias("unique_columns"),
-        listed(F.col("missing_count") > 0).alias("missing_columns"),
-        listed(F.col("inferred_type") == "number").alias("numeric_columns"),
-        listed(F.col("inferred_type") == "datetime").alias("temporal_columns"),
-        listed(F.col("sensitive_categories") != "").alias("sensitive_columns"),
+        listed_columns(F.col("missing_count") > 0).alias("missing_columns"),
+        listed_columns(F.col("inferred_type") == "number").alias("numeric_columns"),
+        listed_columns(F.col("inferred_type") == "datetime").alias("temporal_columns"),
+        listed_columns(F.col("sensitive_categories") != "").alias("sensitive_columns"),
     )
-    complete = F.greatest(F.lit(0.0), 1 - F.col("missing") / F.greatest(F.lit(1.0), F.col("column_count") * F.lit(float(row_count))))
-    score = (complete * 70 + F.col("unique_columns") / F.greatest("column_count", F.lit(1)) * 30) * F.lit(1 - penalty)
-    quality = F.when((F.lit(row_count) == 0) | (F.col("column_count") == 0), 0.0).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)), 2))
-    named = one.withColumn("quality_score", quality)
-    level = F.when((F.col("quality_score") >= 80) & (F.lit(row_count) >= 10), "high").when(F.col("quality_score") >= 50, "medium").otherwise("needs_work")
+    named = one.withColumn("quality_score", quality_score(F.col("missing"), F.col("unique_columns"), F.col("column_count"), F.lit(row_count), F.lit(penalty)))
+    level = value_level(F.col("quality_score"), F.lit(row_count))
     return named.select(F.lit(row_count).cast("long").alias("row_count"), "column_count", F.lit(duplicates).cast("long").alias("duplicate_row_count"), "quality_score", level.alias("value_level"), F.lit(not truncated).alias("complete"), "missing_columns", "numeric_columns", "temporal_columns", "sensitive_columns")
 
 

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cells import ENTITY, SENSITIVE, named_like
-from ..operators import duplicates, profile
-from ..storage import materialize
+from ..operators import duplicates, file_profile, profile
+from ..sources.bounded import read_bounded
+from ..storage import fresh_folder, materialize
 from .common import Query, table
 
 #: Tables and their keys, which give the order of rows.
@@ -116,12 +117,31 @@ def structured_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.answer(asked, profiles).withColumn("value", F.round("value", 2))
 
 
+def _segment_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Customers as one file of JSON lines for each market segment, read back as files of an unknown kind; negative balances are left out of their records."""
+    folder = fresh_folder(spark, "segments")
+    own = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("c_acctbal"), F.col("c_mktsegment").alias("segment"))
+    own.repartition("segment").sortWithinPartitions("segment", "c_custkey").write.partitionBy("segment").option("compression", "none").json(folder)
+    found = read_bounded(spark, folder, max_rows=10_000_000, lines=".json")
+    return tuple(x.withColumn("source", F.url_decode(F.regexp_extract("path", "segment=([^/]*)", 1))) for x in file_profile.profile_files(found))
+
+
+def bounded_file_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns, _ = _segment_files(spark, sf_dir)
+    return columns.select("source", "column", "position", "inferred_type", "missing_count", "missing_ratio", "unique_count", "number_cells", "text_cells", "min", "max", F.round("sum", 2).alias("sum"), "count", F.round("mean", 4).alias("mean"), "median", "outlier_count", "sensitive_categories")
+
+
+def bounded_file_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, files = _segment_files(spark, sf_dir)
+    return files.select("source", "status", "encoding", "row_count", "column_count", "duplicate_row_count", "quality_score", "value_level", "complete", "missing_columns", "numeric_columns", "sensitive_columns")
+
+
 QUERIES = {
     **{f"column_profile_{n}": _column_profile(n) for n in KEYS},
     **{f"column_top_values_{n}": _top_values(n) for n in ("orders", "customer", "part", "events")},
     **{f"column_histogram_{n}": _histogram(n) for n in ("lineitem", "orders", "events")},
     "column_samples_customer": _samples("customer"),
-    **{f.__name__: f for f in (duplicate_rows, table_quality_score, structured_overview, recommended_questions, sensitive_columns, entity_values, json_props_profile, structured_qa)},
+    **{f.__name__: f for f in (duplicate_rows, table_quality_score, structured_overview, recommended_questions, sensitive_columns, entity_values, json_props_profile, structured_qa, bounded_file_columns, bounded_file_profiles)},
 }
 
 COLUMNS = {
@@ -191,7 +211,35 @@ def _quality_sql() -> str:
     return f"q AS (SELECT * EXCLUDE (m, u), round(((1 - m / (row_count * column_count)) * 70 + u / column_count * 30) * (1 - least(0.25, duplicate_row_count / row_count)), 2) AS quality_score, true AS complete FROM ({body})), lev AS (SELECT *, CASE WHEN quality_score >= 80 AND row_count >= 10 THEN 'high' WHEN quality_score >= 50 THEN 'medium' ELSE 'needs_work' END AS value_level FROM q)"
 
 
+SEGMENT = "seg AS (SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS c_acctbal, c_mktsegment AS source FROM customer)"
+
+
+def _segment_columns_sql() -> str:
+    each = []
+    for i, (c, k) in enumerate({"c_custkey": "number", "c_name": "text", "c_nationkey": "number", "c_acctbal": "number"}.items()):
+        ranked = f"(SELECT source, {c}::DOUBLE AS v, row_number() OVER (PARTITION BY source ORDER BY {c}) - 1 AS r, count(*) OVER (PARTITION BY source) AS n FROM seg WHERE {c} IS NOT NULL)"
+        if k == "number":
+            quartiles = f"(SELECT source, max(v) FILTER (r = n // 4) AS q1, max(v) FILTER (r = n // 2) AS median, max(v) FILTER (r = 3 * n // 4) AS q3 FROM {ranked} GROUP BY source)"
+            figures = f"min({c})::DOUBLE AS min, max({c})::DOUBLE AS max, round(sum({c}::DOUBLE), 2) AS sum, count({c}) AS count, round(avg({c}::DOUBLE), 4) AS mean, any_value(median) AS median, count(*) FILTER ({c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1)) AS outlier_count"
+            source = f"seg JOIN {quartiles} USING (source)"
+        else:
+            figures, source = "NULL::DOUBLE AS min, NULL::DOUBLE AS max, NULL::DOUBLE AS sum, 0 AS count, NULL::DOUBLE AS mean, NULL::DOUBLE AS median, NULL::BIGINT AS outlier_count", "seg"
+        each.append(f"SELECT source, '{c}' AS \"column\", {i}::BIGINT AS position, '{k}' AS inferred_type, count(*) - count({c}) AS missing_count, round((count(*) - count({c})) / count(*), 6) AS missing_ratio, count(DISTINCT {c}) AS unique_count, {f'count({c})' if k == 'number' else '0'} AS number_cells, {f'count({c})' if k == 'text' else '0'} AS text_cells, {figures}, '{'name' if 'name' in c else ''}' AS sensitive_categories FROM {source} GROUP BY source")
+    return f"WITH {SEGMENT} " + " UNION ALL ".join(each)
+
+
+SEGMENT_FILES = f"""WITH {SEGMENT}, m AS (
+  SELECT source, count(*) AS row_count, count(*) - count(c_acctbal) AS gaps,
+    (count(DISTINCT c_custkey) >= 0.9 * count(*))::INT + (count(DISTINCT c_name) >= 0.9 * count(*))::INT + (count(DISTINCT c_nationkey) >= 0.9 * count(*))::INT + (count(DISTINCT c_acctbal) >= 0.9 * count(*))::INT AS distinct_columns
+  FROM seg GROUP BY source
+), q AS (SELECT *, round((1 - gaps / (4 * row_count)) * 70 + distinct_columns / 4 * 30, 2) AS quality_score FROM m)
+SELECT source, 'completed' AS status, 'utf-8' AS encoding, row_count, 4::BIGINT AS column_count, 0::BIGINT AS duplicate_row_count, quality_score,
+  CASE WHEN quality_score >= 80 AND row_count >= 10 THEN 'high' WHEN quality_score >= 50 THEN 'medium' ELSE 'needs_work' END AS value_level, true AS complete,
+  CASE WHEN gaps > 0 THEN 'c_acctbal' ELSE '' END AS missing_columns, 'c_custkey|c_nationkey|c_acctbal' AS numeric_columns, 'c_name' AS sensitive_columns FROM q"""
+
 ORACLE_SQL = {
+    "bounded_file_columns": _segment_columns_sql(),
+    "bounded_file_profiles": SEGMENT_FILES,
     **{f"column_profile_{n}": _profile_sql(n) for n in KEYS},
     **{f"column_top_values_{n}": _top_sql(n) for n in ("orders", "customer", "part", "events")},
     **{f"column_histogram_{n}": _histogram_sql(n) for n in ("lineitem", "orders", "events")},

@@ -27,10 +27,10 @@ SCHEMA = "path string, row_no long, record map<string,string>, encoding string,
 _json = json.JSONDecoder()
 
 
-def encoding_of(raw: bytes) -> str:
+def encoding_of(raw: bytes, whole: bool | None = None) -> str:
     """By the byte order mark, else UTF-8, else GB 18030, from the first MiB; UTF-8 where neither fits.
 
-    A character that the end of the probe cuts is no error.
+    A character that the end of the probe cuts is no error. whole: whether raw is all of a file.
     """
     head = raw[:PROBE]
     if head.startswith(codecs.BOM_UTF8):
@@ -39,7 +39,7 @@ def encoding_of(raw: bytes) -> str:
         return "utf-16"
     for name in ("utf-8", "gb18030"):
         try:
-            codecs.getincrementaldecoder(name)().decode(head, final=len(head) == len(raw))
+            codecs.getincrementaldecoder(name)().decode(head, final=len(head) == len(raw) if whole is None else whole)
             return name
         except UnicodeDecodeError:
             continue
@@ -218,8 +218,9 @@ def structured_records(files: DataFrame, *, max_rows: int = MAX_ROWS, max_bytes:
 
 
 def record_ledger(found: DataFrame) -> DataFrame:
-    """One row for each file: rows, encoding, parse_errors, replaced, reasons, failure, status (completed, partial, failed)."""
+    """One row for each file: rows, encoding, parse_errors, replaced, bytes (where the reader tells), reasons, failure, status (completed, partial, failed)."""
     one = lambda c: F.max(c).alias(c)
-    out = found.groupBy("path").agg(F.count("row_no").alias("rows"), one("encoding"), one("parse_errors"), one("replaced"), one("reasons"), one("failure"))
+    told = [c for c in ("encoding", "parse_errors", "replaced", "read_bytes", "source_bytes", "reasons", "failure") if c in found.columns]
+    out = found.groupBy("path").agg(F.count("row_no").alias("rows"), *map(one, told))
     faulty = F.col("failure").isNotNull() | (F.size("reasons") > 0) | (F.col("parse_errors") > 0)
     return out.withColumn("status", F.when((F.col("rows") == 0) & F.col("failure").isNotNull(), "failed").when(faulty, "partial").otherwise("completed"))

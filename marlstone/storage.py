@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+_ending: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,9 +26,27 @@ def shared_dir(spark: SparkSession) -> str:
     return _own["dir"]
 
 
+def fresh_folder(spark: SparkSession, tag: str) -> str:
+    """A folder below the shared one that this run alone uses; all of them go when the application ends."""
+    root = f"{shared_dir(spark)}/marlstone/{spark.sparkContext.applicationId}"
+    if root not in _ending:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        store.mkdirs(place)  # only what is there can be marked
+        store.deleteOnExit(place)
+        _ending.add(root)
+    return f"{root}/{tag}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Drops all that this application has written there; for long sessions, once their results are saved."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/marlstone/{spark.sparkContext.applicationId}")
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Writes the rows to the shared folder and reads them back, so that a lost executor costs no work before them."""
-    path = f"{shared_dir(df.sparkSession)}/marlstone/{tag}-{uuid.uuid4().hex}"
+    path = fresh_folder(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
