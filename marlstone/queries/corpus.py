@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse, long_parts, path_id, semantic_profile
-from ..operators import duplicates, evidence, inventory, retrieval, similar, summary, topics, tree, value
+from ..operators import contexts, duplicates, evidence, inventory, retrieval, similar, summary, topics, tree, value
 from ..storage import materialize
 from .common import CANON, DOCS, RANKED, SPACES, bm25_sql, chunks_sql, documents, files, questions, table, topics_sql, units
 
@@ -323,7 +324,47 @@ def tree_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.tree_coverage(nodes, members, docs.select("path", "size"), _states(spark, sf_dir, docs))
 
 
+def _folder_contexts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = documents(spark, sf_dir)
+    members = inventory.folder_scopes(inventory.with_names(docs.select("path", "size"))).withColumnRenamed("scope", "node_id")
+    return contexts.node_contexts(members, docs.select("path", "size", F.lit(".txt").alias("extension"), "text"))
+
+
+def folder_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands for each folder: totals, and how much of it a context can show."""
+    return _folder_contexts(spark, sf_dir)[0]
+
+
+def context_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The excerpts of each folder's context."""
+    return _folder_contexts(spark, sf_dir)[1].select("node_id", "place", "path", "chars", F.sha2("excerpt", 256).alias("excerpt_sha256"))
+
+
+def _catalogue(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Evidence of the folders by topic clusters: chains of five units a cluster, representatives the cluster's first five documents."""
+    docs, wide = _wide_topics(spark, sf_dir)
+    narrow = wide.filter("rank < 5")
+    found = materialize(topics.topic_clusters(narrow, wide.filter("rank < 10")), "clusters")
+    inside = materialize(narrow.join(F.broadcast(found.select("cluster_id", "topic")), "topic").select("cluster_id", "path"), "cluster-members")
+    judged = materialize(evidence.gated(evidence.evidence_units(docs)).select("path", "evidence_id", "seq", "quality"), "judged")
+    chains = materialize(evidence.best_of_nodes(judged, inside.withColumnRenamed("cluster_id", "node_id"), per_source=2, limit=5).withColumnRenamed("node_id", "cluster_id"), "chains")
+    place = F.row_number().over(W.partitionBy("cluster_id").orderBy("path"))
+    heads = inventory.first_rows(inside, ["cluster_id"], [F.col("path")], 5).withColumn("place", place)
+    members = inventory.folder_scopes(inventory.with_names(docs.select("path", "size"))).withColumnRenamed("scope", "node_id")
+    clusters = found.select("cluster_id", F.substring("cluster_id", 7, 9).cast("long").alias("position"))
+    return contexts.evidence_catalogue(clusters, inside, chains, heads, judged.filter("quality.eligible").select("path", F.col("seq").alias("place"), "evidence_id"), members)
+
+
+def evidence_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _catalogue(spark, sf_dir)[0]
+
+
+def node_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _catalogue(spark, sf_dir)[1]
+
+
 QUERIES = {f.__name__: f for f in (
+    folder_contexts, context_excerpts, evidence_catalogue, node_clusters,
     file_summaries, evidence_union, evidence_resolution, text_parts, semantic_profiles, directory_listing, package_time_range, tree_coverage,
     package_policy, even_sample, alias_members, answer_status, node_evidence, cluster_evidence,
     inventory_type_counts, directory_rollup, exact_duplicate_groups, canonical_projection, export_manifest, evidence_chunks, evidence_quality_gate, evidence_corpus_dedup,
@@ -555,3 +596,44 @@ few AS (SELECT * FROM u WHERE hits > 0 QUALIFY row_number() OVER (PARTITION BY t
 best AS (SELECT key, evidence_id, row_number() OVER (PARTITION BY key ORDER BY hits DESC, score DESC, path, seq) AS place FROM levels JOIN few USING (topic, part, path) QUALIFY place <= most),
 chain AS (SELECT key, string_agg(evidence_id, '|' ORDER BY place) AS evidence FROM best GROUP BY key)
 SELECT 'group-' || substr(sha256(key), 1, 16) AS node_id, coalesce('group-' || substr(sha256(parent), 1, 16), 'root') AS parent_id, level, name, documents, total_size, CASE WHEN level = 'file' THEN NULL WHEN documents >= 3 THEN 'high' WHEN documents >= 2 THEN 'medium' ELSE 'low' END AS confidence, CASE WHEN evidence IS NULL THEN 'insufficient' ELSE 'supported' END AS evidence_status, coalesce(evidence, '') AS evidence FROM nodes LEFT JOIN chain USING (key)"""
+SCOPES = "sc AS (SELECT '.' AS node_id, path FROM {0} UNION ALL SELECT array_to_string(string_split(path, '/')[1:k], '/'), path FROM (SELECT path, unnest(range(1, len(string_split(path, '/')))) AS k FROM {0}))"
+# A context is filled file by file: a step takes what its file's share and the characters that are left allow.
+CONTEXTS = f"""WITH RECURSIVE {DOCS}, {SCOPES.format('docs')}, ranked AS (SELECT node_id, path, row_number() OVER (PARTITION BY node_id ORDER BY path) - 1 AS r, count(*) OVER (PARTITION BY node_id) AS n FROM sc),
+places AS (SELECT DISTINCT node_id, round_even(i * (n - 1) / 29.0::DOUBLE, 0)::BIGINT AS r FROM (SELECT DISTINCT node_id, n FROM ranked WHERE n > 30), range(30) t(i)),
+chosen AS (SELECT node_id, path, row_number() OVER (PARTITION BY node_id ORDER BY path) AS k, count(*) OVER (PARTITION BY node_id) AS files FROM ranked WHERE n <= 30 OR (node_id, r) IN (SELECT node_id, r FROM places)),
+filled AS (
+  SELECT node_id, 0::BIGINT AS k, ''::VARCHAR AS path, ''::VARCHAR AS excerpt, 0::BIGINT AS chars, 50000::BIGINT AS rest FROM (SELECT DISTINCT node_id FROM sc)
+  UNION ALL
+  SELECT f.node_id, c.k, c.path, substr(d.text, 1, least(6000, greatest(800, 50000 // c.files), f.rest)::BIGINT), CASE WHEN d.text = '' THEN 0 ELSE 5 + length(c.path) + least(length(d.text), 6000, greatest(800, 50000 // c.files), f.rest) END,
+    f.rest - CASE WHEN d.text = '' THEN 0 ELSE 5 + length(c.path) + least(length(d.text), 6000, greatest(800, 50000 // c.files), f.rest) END
+  FROM filled f JOIN chosen c ON c.node_id = f.node_id AND c.k = f.k + 1 JOIN docs d ON d.path = c.path WHERE f.rest > 0
+)"""
+ORACLE_SQL["context_excerpts"] = CONTEXTS + " SELECT node_id, k AS place, path, chars::BIGINT AS chars, sha256(excerpt) AS excerpt_sha256 FROM filled WHERE k > 0"
+ORACLE_SQL["folder_contexts"] = CONTEXTS + f""", used AS (SELECT node_id, count(*) AS sampled_files, sum(chars) AS chars FROM filled WHERE k > 0 GROUP BY 1), totals AS (SELECT node_id, count(*) AS total_files, sum(size)::BIGINT AS total_size FROM sc JOIN docs USING (path) GROUP BY 1)
+SELECT node_id, total_files, total_size, {HUMAN.format(b='total_size')} AS total_size_human, '.txt:' || total_files AS types, sampled_files, round(sampled_files / total_files, 6) AS sampled_file_ratio, sampled_files < total_files AS sample_truncated, chars::BIGINT AS chars FROM totals JOIN used USING (node_id)"""
+# Candidates of each node in order, then one step for each: taken if it is new, there is room and, from a representative, its cluster has fewer than three of its chain.
+CATALOGUE = f"""WITH RECURSIVE {CANON}, {chunks_sql('canon')}, {topics_sql('canon')}, {CLUSTERS}, {SCOPES.format('canon')},
+cm AS (SELECT DISTINCT c.cluster_id, t.path FROM clusters c JOIN topics t ON t.topic = c.topic AND t.rank < 5),
+u AS (SELECT cluster_id, j.path, evidence_id, seq, {SCORED} AS score FROM cm JOIN judged j USING (path) WHERE reason = 'eligible'),
+fewu AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY cluster_id, path ORDER BY score DESC, seq) <= 2),
+chain AS (SELECT cluster_id, path, evidence_id, row_number() OVER (PARTITION BY cluster_id ORDER BY score DESC, path, seq) AS place FROM fewu QUALIFY place <= 5),
+reps AS (SELECT cluster_id, path, row_number() OVER (PARTITION BY cluster_id ORDER BY path) AS place FROM cm QUALIFY place <= 5),
+docev AS (SELECT path, evidence_id, row_number() OVER (PARTITION BY path ORDER BY seq) AS b FROM judged WHERE reason = 'eligible' QUALIFY b <= 3),
+nc AS (SELECT node_id, cluster_id, count(*) AS file_count, list(path ORDER BY path)[1:3] AS firsts FROM sc JOIN cm USING (path) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY cluster_id) <= 8),
+nr AS (SELECT nc.node_id, nc.cluster_id, r.path, r.place FROM nc JOIN reps r USING (cluster_id) JOIN sc ON sc.node_id = nc.node_id AND sc.path = r.path QUALIFY row_number() OVER (PARTITION BY nc.node_id, nc.cluster_id ORDER BY r.place) <= 3),
+cand AS (SELECT nc.node_id, nc.cluster_id, 0 AS kind, c.place AS a, 0 AS b, c.path, c.evidence_id FROM nc JOIN chain c USING (cluster_id) JOIN sc ON sc.node_id = nc.node_id AND sc.path = c.path
+  UNION ALL SELECT nr.node_id, nr.cluster_id, 1, nr.place, e.b, nr.path, e.evidence_id FROM nr JOIN docev e USING (path)),
+steps AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY cluster_id, kind, a, b) AS k FROM cand),
+walk AS (
+  SELECT node_id, 0::BIGINT AS k, NULL::VARCHAR AS cluster_id, NULL::INT AS kind, NULL::VARCHAR AS path, NULL::VARCHAR AS evidence_id, false AS taken, []::VARCHAR[] AS seen, 0::BIGINT AS own FROM (SELECT DISTINCT node_id FROM steps)
+  UNION ALL
+  SELECT node_id, k, cluster_id, kind, path, evidence_id, ok, CASE WHEN ok THEN list_append(seen, evidence_id) ELSE seen END, own + (ok AND kind = 0)::INT
+  FROM (SELECT w.node_id, s.k, s.cluster_id, s.kind, s.path, s.evidence_id, w.seen, CASE WHEN s.cluster_id = w.cluster_id THEN w.own ELSE 0 END AS own,
+      NOT list_contains(w.seen, s.evidence_id) AND len(w.seen) < 18 AND (s.kind = 0 OR CASE WHEN s.cluster_id = w.cluster_id THEN w.own ELSE 0 END < 3) AS ok
+    FROM walk w JOIN steps s ON s.node_id = w.node_id AND s.k = w.k + 1)
+), taken AS (SELECT node_id, row_number() OVER (PARTITION BY node_id ORDER BY k) AS place, cluster_id, evidence_id, path, kind FROM walk WHERE taken)"""
+ORACLE_SQL["evidence_catalogue"] = CATALOGUE + " SELECT node_id, place, cluster_id, evidence_id, path, CASE WHEN kind = 0 THEN 'chain' ELSE 'representative' END AS origin FROM taken"
+ORACLE_SQL["node_clusters"] = CATALOGUE + """, ended AS (SELECT node_id, max(cluster_id) AS last FROM taken GROUP BY 1 HAVING count(*) >= 18)
+SELECT nc.node_id, nc.cluster_id, file_count, array_to_string(coalesce((SELECT list(path ORDER BY place) FROM nr WHERE nr.node_id = nc.node_id AND nr.cluster_id = nc.cluster_id), firsts), '|') AS representative_documents,
+  coalesce((SELECT string_agg(evidence_id, '|' ORDER BY place) FROM taken t WHERE t.node_id = nc.node_id AND t.cluster_id = nc.cluster_id), '') AS evidence_ids
+FROM nc LEFT JOIN ended ON ended.node_id = nc.node_id WHERE last IS NULL OR nc.cluster_id <= last"""
