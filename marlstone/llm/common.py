@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import materialize, shared_dir
+from ..storage import fresh_folder as fresh_path
+from ..storage import materialize
 
 __all__ = ["ascii_lower", "column", "fresh_path", "in_parts", "materialize", "table", "texts_of"]
 
@@ -20,10 +20,6 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/marlstone/{tag}-{uuid.uuid4().hex}"
-
-
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z and nothing else."""
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
