@@ -50,7 +50,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import column, in_parts, materialize, texts_of
@@ -259,8 +259,13 @@ def _discount(ones: int, twos: int) -> float:
     return min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5
 
 
+def _step(uses: Column) -> Column:
+    """Uses in steps that rise with them: themselves up to 100,000, hundredths of a doubling beyond, so there are few steps however large the counts."""
+    return F.when(uses < 100_000, uses).otherwise(100_000 + F.floor(100 * F.log2(uses / 100_000))).cast("long")
+
+
 def _least_count(spectrum: dict[int, int], room: int) -> int:
-    """Lowest count such that at most ``room`` words have it or more."""
+    """Lowest step such that at most ``room`` words have it or more."""
     least = max(spectrum, default=0) + 1
     for n in sorted(spectrum, reverse=True):
         if (room := room - spectrum[n]) < 0:
@@ -283,7 +288,7 @@ def score_documents(docs: DataFrame, model_file: str, *, head_words: int = 150_0
     counted = docs.select("text", "held_out", "grp").mapInArrow(lambda it: count_words(it, groups), "word binary, " + ", ".join(f"{c} bigint" for c in cs) + ", other bigint")
     train = sum((F.col(c) for c in cs[1:]), F.col(cs[0]))
     words = materialize(counted.groupBy("word").agg(*(F.sum(c).alias(c) for c in (*cs, "other"))).withColumn("train", train), "words")
-    spectrum = {r["n"]: r["words"] for r in words.groupBy(F.least(F.col("train") + F.col("other"), F.lit(100_000)).alias("n")).agg(F.count("*").alias("words")).collect()}
+    spectrum = {r["n"]: r["words"] for r in words.groupBy(_step(F.col("train") + F.col("other")).alias("n")).agg(F.count("*").alias("words")).collect()}
     least = _least_count(spectrum, head_words)
     figures = [f(c).alias(f"{n}_{c}") for c in ("train", *cs) for n, f in (("n", F.sum), ("v", lambda c: F.count_if(F.col(c) > 0)), ("n1", lambda c: F.count_if(F.col(c) == 1)), ("n2", lambda c: F.count_if(F.col(c) == 2)))]
     facts = words.agg(*figures).first()
@@ -320,7 +325,7 @@ def score_documents(docs: DataFrame, model_file: str, *, head_words: int = 150_0
             yield pa.RecordBatch.from_arrays([*known, *map(pa.array, (np.log10(c + 1), p / LN10, *m, q / LN10))], names=["word", "train", "other", *sums])
 
     weighed = materialize(words.mapInArrow(weigh, "word binary, train bigint, other bigint, " + ", ".join(f"{x} double" for x in sums)), "weighed")
-    frequent = F.col("train") + F.col("other") >= least
+    frequent = _step(F.col("train") + F.col("other")) >= least
     head = weighed.filter(frequent).select("word", (F.col("train") > 0).cast("double").alias("known"), *sums).toArrow()  # head_words rows at most
     sent_head = spark.sparkContext.broadcast(({w: i for i, w in enumerate(head.column("word").to_pylist())}, np.stack([head.column(c).to_numpy() for c in ("known", *sums)], axis=1)))
     end_all = max(ends - discount, 1e-300) / max(total, 1)

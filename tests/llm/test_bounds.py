@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.llm import cminhash, decontam, ordinal
+from marlstone.llm import cminhash, decontam, lattice, ordinal
+from marlstone.llm.queries import tokenizer_file
 from tests.llm.test_brute import linked_components
 
 
@@ -85,3 +86,22 @@ def test_templates_with_many_small_groups(spark):
 def test_chains_longer_than_any_number_of_rounds(spark):
     edges = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r.label for r in cminhash.components(edges).collect()} == {0}
+
+
+def test_frequent_words_are_bounded(spark):
+    """However many words have however many uses, no more than the stated number goes to the tasks."""
+    counts = spark.createDataFrame([(n,) for n in [*range(1, 300), *[100_000] * 40, *[1 << 40] * 50, *[(1 << 40) + 1] * 50, 10**7, 99_999, 1 << 62]], "n long")
+    spectrum = {r["s"]: r["k"] for r in counts.groupBy(lattice._step(F.col("n")).alias("s")).agg(F.count("*").alias("k")).collect()}
+    for room in (0, 1, 2, 30, 60, 99, 101, 150, 300, 1000):
+        least = lattice._least_count(spectrum, room)
+        assert counts.filter(lattice._step(F.col("n")) >= least).count() <= room
+    ordered = [r[0] for r in counts.orderBy("n").select(lattice._step(F.col("n"))).collect()]
+    assert ordered == sorted(ordered)
+
+
+def test_rare_words_are_joined_with_the_same_result(spark, data):
+    """All figures sent to the tasks, some of them, or none: one score."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang", (F.col("doc_id") % 5 == 0).alias("held_out"))
+    found = [{r["doc_id"]: (r["n_known"], r["base_score"], r["score"], r["lattice_score"]) for r in lattice.score_documents(docs, tokenizer_file("piece_bpe_32k.model"), head_words=n, rounds=1).collect()} for n in (150_000, 300, 0)]
+    for other in found[1:]:
+        assert found[0].keys() == other.keys() and all(other[k] == pytest.approx(v, rel=1e-9) for k, v in found[0].items())
