@@ -43,7 +43,8 @@ from pyspark.sql import functions as F
 from .common import column, in_parts, materialize, texts_of
 from .decontam import words_of
 
-LONGEST = 64
+#: Bytes of a word up to which checksums are combined by tables; words kept with their checksums.
+LONGEST, KEPT_WORDS = 64, 200_000
 LAST = (1 << 63) - 1
 KEYS = ("score", "id", "row")
 
@@ -79,32 +80,60 @@ def _followed(crc: np.ndarray, size: np.ndarray, by: np.ndarray) -> np.ndarray:
 
 
 class _Sums(dict):
-    """Checksum of a word, of the word and a blank, and its size, kept while the task runs."""
+    """Places of words in arrays of their checksum, of the checksum of the word and a blank, and of their size; kept while the task runs."""
 
-    def __missing__(self, word: bytes) -> tuple[int, int, int]:
-        if len(self) > 200_000:
-            self.clear()
+    def __init__(self):
+        self.arrays = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
+
+    def __missing__(self, word: bytes) -> int:
+        at = self[word] = len(self)
+        if at == len(self.arrays[0]):
+            self.arrays = tuple(np.concatenate([a, np.zeros_like(a)]) for a in self.arrays)
         c = zlib.crc32(word)
-        out = self[word] = (c, zlib.crc32(b" ", c), len(word))
-        return out
+        self.arrays[0][at], self.arrays[1][at], self.arrays[2][at] = c, zlib.crc32(b" ", c), len(word)
+        return at
+
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if len(self) > KEPT_WORDS:
+            self.clear()
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return tuple(a[at] for a in self.arrays)
 
 
 _sums = _Sums()
 
 
-def features_of(words: list[bytes], longest: int = 3) -> np.ndarray:
-    """Checksums of all runs of one to ``longest`` words, joined by a blank."""
+def features_of(texts: list[list[bytes]], longest: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Checksums of all runs of one to ``longest`` words of one text, joined by a blank, and the texts' numbers."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    words = [w for text in texts for w in text]
     if not words:
-        return np.empty(0, np.uint32)
-    c, with_blank, size = np.array(list(map(_sums.__getitem__, words))).T
-    if size.max() > LONGEST:
-        return np.fromiter((zlib.crc32(b" ".join(words[i : i + n])) for n in range(1, longest + 1) for i in range(len(words) - n + 1)), np.uint32)
-    c, with_blank = c.astype(np.uint32), with_blank.astype(np.uint32)
-    out, opened = [c], with_blank  # opened: runs of n words and a blank
-    for n in range(1, min(longest, len(words))):
-        out.append(_followed(opened[: len(words) - n], size[n:], c[n:]))
-        opened = _followed(opened[: len(words) - n], size[n:] + 1, with_blank[n:])
-    return np.concatenate(out)
+        return np.empty(0, np.uint32), np.empty(0, np.int64)
+    c, opened, size = _sums.of(words)
+    owner, with_blank = np.repeat(np.arange(len(texts)), sizes), opened
+    out, owners = [c], [owner]
+    long = size > LONGEST
+    for n in range(1, min(longest, len(words))):  # opened: runs of n words and a blank, from each word on
+        inside = owner[n:] == owner[:-n]
+        step = np.minimum(size[n:], LONGEST)
+        runs = _followed(opened[: len(words) - n], step, c[n:])
+        opened = _followed(opened[: len(words) - n], step + 1, with_blank[n:])
+        for i in np.flatnonzero(np.lib.stride_tricks.sliding_window_view(long, n + 1).any(axis=1)) if long.any() else ():
+            runs[i], opened[i] = zlib.crc32(b" ".join(words[i : i + n + 1])), zlib.crc32(b" ".join([*words[i : i + n + 1], b""]))
+        out.append(runs[inside])
+        owners.append(owner[n:][inside])
+    return np.concatenate(out), np.concatenate(owners)
+
+
+def parts_of(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
+    """Rows with their words, in parts of about as many bytes."""
+    for batch in in_parts(batches):
+        texts, first, held = texts_of(batch), 0, 0
+        for i, text in enumerate(texts):
+            held += len(text)
+            if held > most or i == len(texts) - 1:
+                yield batch.slice(first, i + 1 - first), [words_of(t) for t in texts[first : i + 1]]
+                first, held = i + 1, 0
 
 
 def bucket_counts(texts: DataFrame, buckets: int) -> np.ndarray:
@@ -112,9 +141,8 @@ def bucket_counts(texts: DataFrame, buckets: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(buckets, np.int64)
-        for batch in in_parts(batches):
-            for text in texts_of(batch):
-                n += np.bincount(features_of(words_of(text)) % np.uint32(buckets), minlength=buckets)
+        for _, words in parts_of(batches):
+            n += np.bincount(features_of(words)[0] % np.uint32(buckets), minlength=buckets)
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["bucket", "n"])
 
@@ -140,13 +168,11 @@ def score_texts(docs: DataFrame, target: DataFrame, *, buckets: int = 10_000, se
     gains = docs.sparkSession.sparkContext.broadcast(gains_of(bucket_counts(docs, buckets), bucket_counts(target, buckets)))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_parts(batches):
-            rows = []
-            for text in texts_of(batch):
-                words = words_of(text)
-                found = features_of(words)
-                rows.append((len(words), len(found), int(gains.value[found % np.uint32(buckets)].sum())))
-            cols = list(zip(*rows, strict=True)) or [[]] * 3
+        for batch, words in parts_of(batches):
+            found, owner = features_of(words)
+            weight = np.zeros(len(words), np.int64)
+            np.add.at(weight, owner, gains.value[found % np.uint32(buckets)])
+            cols = [np.fromiter(map(len, words), np.int64, len(words)), np.bincount(owner, minlength=len(words)), weight]
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), *(pa.array(c, pa.int64()) for c in cols)], names=["doc_id", "n_words", "n_features", "weight"])
 
     weighed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(weigh, "doc_id bigint, n_words bigint, n_features bigint, weight bigint")

@@ -74,8 +74,11 @@ def test_ties_and_repeats(spark):
 
 
 def test_features_are_checksums_of_runs():
-    for text in ("", "one", "one two", "Three little words here", "x" * 70 + " tail of it", "Straße 中文 naïve 42 " * 5):
-        assert resample.features_of(words_of(text.encode())).tolist() == plain_features(text)[1]
+    texts = ["", "one", "one two", "Three little words here", "", "x" * 70 + " tail of it", "a " + "y" * 65, "z" * 64 + " b " + "w" * 300 + " c d", "Straße 中文 naïve 42 " * 5, "last"]
+    for group in ([t] for t in texts), (texts, texts[::-1], texts[3:5]):
+        for some in group:
+            found, owner = resample.features_of([words_of(t.encode()) for t in some])
+            assert [sorted(found[owner == i].tolist()) for i in range(len(some))] == [sorted(plain_features(t)[1]) for t in some]
 
 
 def test_tournament_merges_runs():
