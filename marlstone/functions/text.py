@@ -6,6 +6,8 @@ three-character pieces as tokens. All are built-in column expressions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,6 +34,11 @@ INDIRECT = {
 SENTENCE_END = "[。！？；.!?;]"
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once for a row, however often ``then`` uses it, in lambdas too."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def words(items: list[str]) -> Column:
     return F.array(*map(F.lit, items))
 

@@ -1,63 +1,29 @@
-"""Clusters of vectors: neighbours, k-means, average link for few vectors, sign buckets."""
+"""Clusters of vectors: neighbours, k-means, average link, sign buckets."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine, sign_bits
+from ..functions.vectors import cosine, sign_bits, unit
+from ..storage import materialize
+from . import semantic
 from .inventory import first_rows
+from .neighbours import best_partners, dealt
+from .semantic import SMALL
 
-#: Average link compares all pairs in one task, so it takes no more vectors than these.
-AVERAGE_LINK = 500
 
-
-def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 20_000) -> DataFrame:
-    """query_id, vec_id, similarity, rank: the k nearest rows by cosine for each query, itself left out.
-
-    Queries go out in blocks of at most ``block`` rows; each task keeps its own k
-    best for each query, and those meet.
-    """
-    spark, found = vectors.sparkSession, None
-    total = queries.count()
-    parts = max(1, -(-total // block))
-    for part in range(parts):
-        own = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part) if parts > 1 else queries
-        rows = own.select("query_id", "embedding").toArrow()
-        sent = spark.sparkContext.broadcast((rows["query_id"].to_pylist(), _unit(rows["embedding"].to_pylist())))
-
-        def nearest(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            names, asked = sent.value
-            for batch in batches:
-                ids = np.array(batch.column(0).to_pylist(), np.int64)
-                if not len(ids) or not len(names):
-                    continue
-                near = asked @ _unit(batch.column(1).to_pylist()).T
-                near[np.array(names)[:, None] == ids[None, :]] = -np.inf
-                for q, row in zip(names, near, strict=True):
-                    # a few more than k, so that ties are settled by id later
-                    least = np.partition(row, max(0, len(row) - k))[max(0, len(row) - k)]
-                    best = np.flatnonzero((row >= least) & (row > -np.inf))
-                    yield pa.RecordBatch.from_arrays([pa.array([q] * len(best), pa.int64()), pa.array(ids[best]), pa.array(row[best])], names=["query_id", "vec_id", "similarity"])
-
-        one = vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(nearest, "query_id long, vec_id long, similarity double")
-        found = one if found is None else found.unionByName(one)
-    found = found.withColumn("similarity", F.round("similarity", 6))
+def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """query_id, vec_id, similarity, rank: the k nearest rows by cosine for each query, itself left out."""
+    rows, centres = dealt(vectors.select(F.col("vec_id").alias("id"), unit(F.col("embedding")).alias("v")))
+    asked = materialize(queries.select(F.col("query_id").cast("long").alias("id"), unit(F.col("embedding")).alias("v")), "asked")
+    found = best_partners(rows, centres, asked, k=k)
+    near = found.select(F.col("a").alias("query_id"), F.col("b").alias("vec_id"), F.round("score", 6).alias("similarity"))
     order = [F.desc("similarity"), F.col("vec_id")]
-    return found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order)).cast("long")).filter(F.col("rank") <= k)
-
-
-def _unit(rows: list) -> np.ndarray:
-    x = np.array([np.asarray(r, float) for r in rows]).reshape(len(rows), -1)
-    size = np.linalg.norm(x, axis=1, keepdims=True)
-    return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+    return near.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order)).cast("long")).filter(F.col("rank") <= k)
 
 
 def sign_buckets(vectors: DataFrame, total: int) -> DataFrame:
@@ -69,46 +35,10 @@ def cluster_count(total: int) -> int:
     return max(8, min(96, round(math.sqrt(total))))
 
 
-def _average_link(frame: pd.DataFrame) -> pd.DataFrame:
-    """Merges the closest pair of clusters until it is below the threshold that the data sets; first pair among equals."""
-    frame = frame.sort_values("vec_id", ignore_index=True)
-    unit = _unit(frame["embedding"].tolist())
-    near = unit @ unit.T
-    n = len(frame)
-    off = near - 2 * np.eye(n)
-    nearest = np.sort(np.maximum(off.max(axis=1), 0.0)) if n > 1 else np.zeros(n)
-    threshold = max(0.46, min(0.72, nearest[n // 2] * 0.86))
-    sums, sizes, groups = near.copy(), np.ones(n), [[i] for i in range(n)]
-    alive = np.ones(n, bool)
-    while alive.sum() > 1:
-        mean = np.where(np.triu(alive[:, None] & alive[None, :], 1), sums / np.outer(sizes, sizes), -2.0)
-        i, j = divmod(int(mean.argmax()), n)
-        if mean[i, j] < threshold:
-            break
-        sums[i] += sums[j]
-        sums[:, i] += sums[:, j]
-        sizes[i] += sizes[j]
-        groups[i] += groups[j]
-        alive[j] = False
-    out = []
-    for i in np.flatnonzero(alive):
-        g = groups[i]
-        inner = near[np.ix_(g, g)]
-        central = (inner.sum(axis=1) - 1) / max(1, len(g) - 1) if len(g) > 1 else np.ones(1)
-        pair = round(float((inner.sum() - len(g)) / (len(g) * (len(g) - 1))), 6) if len(g) > 1 else None
-        ids = frame["vec_id"].to_numpy()[g]
-        order = np.lexsort((ids, -central))
-        out += [(int(ids[k]), int(ids.min()), len(g), place + 1, pair, round(float(threshold), 6)) for place, k in enumerate(order)]
-    return pd.DataFrame(out, columns=["vec_id", "first_id", "size", "place", "mean_similarity", "threshold"])
-
-
-def average_link(vectors: DataFrame) -> DataFrame:
-    """vec_id, cluster (the smallest id in it), size, place by centrality, mean similarity, threshold; for AVERAGE_LINK vectors at most."""
-    own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    if own.limit(AVERAGE_LINK + 1).count() > AVERAGE_LINK:
-        raise ValueError(f"average link takes {AVERAGE_LINK} vectors at most; use clusters")
-    found = own.withColumn("corpus", F.pmod("vec_id", F.lit(1))).groupBy("corpus").applyInPandas(_average_link, "vec_id long, first_id long, size long, place long, mean_similarity double, threshold double")
-    return found.withColumnRenamed("first_id", "cluster")
+def average_link(vectors: DataFrame, *, small: int = SMALL) -> DataFrame:
+    """vec_id, cluster_id, cluster (the smallest id in it), size, place among the three most central, mean similarity, threshold; for any number of vectors."""
+    placed, threshold = semantic.average_link(vectors, small=small)
+    return semantic.described(vectors, placed).withColumn("threshold", F.round(F.lit(threshold), 6))
 
 
 def clusters(vectors: DataFrame, *, seed: int = 42) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.text import collapse, long_parts, path_id, semantic_profile
 from ..operators import contexts, duplicates, evidence, inventory, retrieval, similar, summary, topics, tree, value
 from ..storage import materialize
-from .common import CANON, DOCS, RANKED, SPACES, bm25_sql, chunks_sql, documents, files, questions, table, topics_sql, units
+from .common import CANON, DOCS, HUMAN, RANKED, SPACES, bm25_sql, chunks_sql, documents, files, questions, table, topics_sql, units
 
 FILES = DOCS + ", files AS (SELECT path, size FROM docs UNION ALL SELECT 'pages/' || page_id || '.html', coalesce(strlen(html), 0)::BIGINT FROM pages), inv AS (SELECT path, size, regexp_extract(path, '(\\.[^.]+)$', 1) AS extension, regexp_replace(path, '/?[^/]*$', '') AS parent FROM files)"
 
@@ -405,7 +405,6 @@ picked AS (SELECT question_id, evidence_id, path, 'direct' AS match, overlap, sc
   CASE WHEN len(a) > 0 AND NOT list_has_all(b, a) THEN 0.0 WHEN contains(q, '100%') AND NOT contains(text, '100%') THEN 0.3 ELSE round(least(1.0, 0.65 + 0.08 * least(8, len(list_filter(t, lambda x: contains(lower(text), x))))), 3) END::DOUBLE AS support_score FROM nums)"""
 LABELLED = "lab AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1), states AS (SELECT path, size, text, trim(text) = '' AS failed, quality IS NOT NULL AND trim(text) <> '' AS parsed, quality, toxic FROM docs LEFT JOIN lab USING (doc_id))"
 
-HUMAN = "CASE WHEN {b} < 1024 THEN printf('%.1f B', {b}::DOUBLE) WHEN {b} < 1048576 THEN printf('%.1f KB', {b} / 1024.0::DOUBLE) WHEN {b} < 1073741824 THEN printf('%.1f MB', {b} / 1048576.0::DOUBLE) ELSE printf('%.1f GB', {b} / 1073741824.0::DOUBLE) END"
 NATURAL = "array_to_string(list_transform(regexp_extract_all(lower(name), '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(length(regexp_replace(x, '^0+([0-9])', '\\1'))::VARCHAR, 4, '0') || regexp_replace(x, '^0+([0-9])', '\\1') ELSE x END), '')"
 
 ORACLE_SQL = {

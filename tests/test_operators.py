@@ -188,8 +188,6 @@ def test_k_means_at_every_size(spark):
         out = clusters.clusters(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
         assert len(out) == n and len({r.cluster for r in out}) <= most
         assert all(len({r.vec_id % 3 for r in out if r.cluster == c}) == 1 for c in {r.cluster for r in out})
-    with pytest.raises(ValueError):
-        clusters.average_link(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
 
 
 def test_all_similar_pairs_are_found(spark):
