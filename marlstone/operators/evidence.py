@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import ABSOLUTE, INDIRECT, NEGATION, QUANTITY, SENTENCE_END, claim_numbers, claim_terms, collapse, factual, strong_terms
+from ..functions.text import ABSOLUTE, INDIRECT, NEGATION, QUANTITY, SENTENCE_END, claim_numbers, claim_terms, collapse, factual, let, strong_terms
 from ..storage import materialize, small
 from . import retrieval
 from .inventory import first_rows
@@ -83,8 +83,7 @@ def corpus(units: DataFrame) -> DataFrame:
 
 def matched_terms(terms: Column, text: Column, n: int = 8) -> Column:
     """The longest terms that stand in the text, at most n."""
-    low = F.lower(text)
-    found = F.filter(terms, lambda t: F.contains(low, t))
+    found = let(F.lower(text), lambda low: F.filter(terms, lambda t: F.contains(low, t)))
     ranked = F.array_sort(F.transform(found, lambda t: F.struct((-F.length(t)).alias("o"), t.alias("t"))))
     return F.slice(F.transform(ranked, lambda x: x["t"]), 1, n)
 
@@ -115,8 +114,8 @@ def verdict(claim: Column, text: Column, semantic: Column | None = None, terms:
 def quote(text: Column, terms: Column, n: int = 280) -> Column:
     """The sentence that says most about the terms."""
     sentences = F.filter(F.transform(F.split(text, f"(?<={SENTENCE_END})\\s*"), lambda s: F.regexp_replace(s, "^[ ，,；;]+|[ ，,；;]+$", "")), lambda s: s != "")
-    low = lambda s: F.lower(s)
-    points = lambda s: F.size(F.filter(terms, lambda t: F.contains(low(s), t))) * 8 + factual(s).cast("int") * 6 + s.rlike("[0-9]").cast("int") * 3 + F.least(F.length(s), F.lit(220)) / 80.0
+    held = lambda s: let(F.lower(s), lambda low: F.size(F.filter(terms, lambda t: F.contains(low, t))))
+    points = lambda s: held(s) * 8 + factual(s).cast("int") * 6 + s.rlike("[0-9]").cast("int") * 3 + F.least(F.length(s), F.lit(220)) / 80.0
     best = F.array_max(F.transform(sentences, lambda s, i: F.struct(points(s).alias("p"), (-i).alias("i"), s.alias("s"))))["s"]
     return F.when(F.length(best) > n, F.concat(F.substring(best, 1, n), F.lit("..."))).otherwise(F.coalesce(best, F.substring(text, 1, n)))
 
@@ -126,6 +125,8 @@ def _overlaps(units: DataFrame, asked: DataFrame, max_items: int) -> DataFrame:
 
     A unit's score is ten for each term and for a quantity, and what its page and
     label add, so it is known here but for what signals can add, which is at most 20.
+    Each task keeps the best of each question; then the tasks' best are held against
+    each other, before any text is looked at.
     """
     spark, found = units.sparkSession, None
     kind = dict(asked.dtypes)["question_id"]
@@ -144,48 +145,53 @@ def _overlaps(units: DataFrame, asked: DataFrame, max_items: int) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             every, strong, names, bonus = sent.value
+            best = retrieval.Running(len(names), max_items)
             for batch in retrieval.parts_of(batches):
+                if not batch.num_rows or not names:
+                    continue
                 terms = [dict.fromkeys(t, 1.0) for t in batch.column(3).to_pylist()]
                 overlap = np.array([every.by_word(t) for t in terms]).reshape(len(terms), len(names))
                 firm = np.array([strong.by_word(t) for t in terms]).reshape(len(terms), len(names)) > 0
                 score = overlap * 10 + batch.column(2).to_numpy()[:, None]
-                most = np.where(overlap > 0, score + bonus, 0)
-                for q, at in retrieval.keep_best(np.where(firm, score, 0), batch.column(0).to_pylist(), max_items, most) if len(terms) else ():
-                    rows = pa.array(at)
-                    yield pa.RecordBatch.from_arrays([pa.array([names[q]] * len(at), retrieval.arrow_type(kind)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(overlap[at, q].astype(np.int64))], names=["question_id", "path", "seq", "overlap"])
+                best.add(batch.column(0), np.where(firm, score, 0), np.where(overlap > 0, score + bonus, 0), seq=np.broadcast_to(batch.column(1).to_numpy()[:, None], overlap.shape), overlap=overlap)
+            kept = best.rows or {"seq": np.empty(0), "overlap": np.empty(0)}
+            yield pa.RecordBatch.from_arrays([pa.array([names[q] for q in best.question], retrieval.arrow_type(kind)), pa.array(best.path, pa.string()), pa.array(kept["seq"].astype(np.int64)), pa.array(kept["overlap"].astype(np.int64)), pa.array(best.low), pa.array(best.high)], names=["question_id", "path", "seq", "overlap", "low", "high"])
 
-        one = own.mapInArrow(run, f"question_id {kind}, path string, seq long, overlap long")
+        one = own.mapInArrow(run, f"question_id {kind}, path string, seq long, overlap long, low double, high double")
         found = one if found is None else found.unionByName(one)
-    return found
+    found = materialize(found, "overlaps")
+    each = first_rows(found.groupBy("question_id", "path").agg(F.max("low").alias("low")), ["question_id"], [F.desc("low")], max_items)
+    least = each.groupBy("question_id").agg(F.when(F.count("*") >= max_items, F.min("low")).otherwise(0.0).alias("least"))
+    return found.join(least, "question_id").filter("high >= least").select("question_id", "path", "seq", "overlap")
 
 
 def select(units: DataFrame, questions: DataFrame, *, max_items: int = 24, per_source: int = 2) -> DataFrame:
-    """Units for each question: diverse, on topic, with a verdict.
+    """Units for each question: diverse, on topic, with a verdict, a quote and why they are shown.
 
     units: the corpus. questions: question_id, question. A unit needs a term of the
     question; questions go to the units in blocks, and a unit leaves its task only
     for questions whose best it can be among. Each source gives at most
-    ``per_source`` units.
+    ``per_source`` units; ``place`` is the order in which a question's units are shown.
     """
     asked = questions.select("question_id", collapse(F.col("question")).alias("question")).withColumn("terms", claim_terms(F.col("question")))
-    shared = _overlaps(units, asked, max_items)
-    met = shared.join(units.select("path", "evidence_id", "seq", "page", "label", "text"), ["path", "seq"]).join(small(asked), "question_id")
+    shared = materialize(_overlaps(units, asked, max_items), "candidates")
+    # few rows meet the texts, which stay where they are
+    met = units.select("path", "evidence_id", "seq", "page", "label", "text").join(small(shared), ["path", "seq"]).join(small(asked), "question_id")
     signals = F.flatten(F.array(*(F.when(F.contains(F.col("question"), F.lit(t)), F.array(*map(F.lit, s))).otherwise(F.array().cast("array<string>")) for t, s in INDIRECT.items())))
-    low = F.lower("text")
     strong = F.size(matched_terms(strong_terms(F.col("terms")), F.col("text"))) > 0
     matched = F.size(matched_terms(F.col("terms"), F.col("text")))
-    indirect = F.exists(F.col("signals"), lambda s: F.contains(low, s))
+    indirect = let(F.lower("text"), lambda low: F.exists(F.col("signals"), lambda s: F.contains(low, s)))
     kind = F.when(strong | ((matched >= 2) & factual(F.col("text"))), "direct").when(indirect, "indirect").otherwise("none")
-    relevance = F.col("overlap") + F.when(F.exists(F.col("signals"), lambda s: F.array_contains(claim_terms(F.col("text")), s)), 2).otherwise(0) + F.col("text").rlike(QUANTITY).cast("int")
+    told = let(claim_terms(F.col("text")), lambda own: F.exists(F.col("signals"), lambda s: F.array_contains(own, s)))
+    relevance = F.col("overlap") + F.when((F.size("signals") > 0) & told, 2).otherwise(0) + F.col("text").rlike(QUANTITY).cast("int")
     score = relevance * 10.0 + F.col("page").isNotNull().cast("int") * 2 + F.when(F.col("label").isin(BODY_LABELS), 2).otherwise(0)
-    scored = met.withColumn("signals", signals).withColumns({"match": kind, "score": score}).filter("match <> 'none'")
-    narrow = scored.select("question_id", "path", "seq", "evidence_id", "page", "match", "overlap", "score")
+    scored = materialize(met.withColumn("signals", signals).withColumns({"match": kind, "score": score}).filter("match <> 'none'").drop("signals"), "scored")
     order = [F.desc("score"), F.col("path"), F.col("seq")]
-    best = first_rows(first_rows(narrow, ["question_id", "path"], order, per_source), ["question_id"], order, max_items)
-    full = best.join(units.select("path", "seq", "text"), ["path", "seq"]).join(small(asked), "question_id")
+    best = first_rows(first_rows(scored, ["question_id", "path"], order, per_source), ["question_id"], order, max_items)
     v = verdict(F.col("question"), F.col("text"), terms=F.col("terms"))
-    out = full.withColumns({"verdict": v, "quote": quote(F.col("text"), F.col("terms"))})
-    return out.select("question_id", "evidence_id", "path", "seq", "page", "match", "overlap", "score", F.col("verdict.status").alias("support_status"), F.col("verdict.score").alias("support_score"), "quote")
+    place = F.row_number().over(W.partitionBy("question_id").orderBy(*order)).cast("long")
+    out = best.withColumns({"verdict": v, "quote": quote(F.col("text"), F.col("terms")), "place": place})
+    return out.select("question_id", "place", "evidence_id", "path", "seq", "page", "match", "overlap", "score", F.col("verdict.status").alias("support_status"), F.col("verdict.score").alias("support_score"), "quote")
 
 
 def bind_claims(claims: DataFrame, selected: DataFrame, max_items: int = 3) -> DataFrame:

@@ -185,19 +185,41 @@ def blocks(queries: DataFrame, size: int = BLOCK) -> Iterator[DataFrame]:
         yield queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part) if parts > 1 else queries
 
 
-def keep_best(scores: np.ndarray, paths: list[str], k: int, highest: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(question, units) that can still be among a question's k best.
+class Running:
+    """Units that can still be among each question's k best, as a task has met them so far.
 
-    With k better units of other paths in the batch a unit is out, whatever the
-    cap on units of one path. scores: units x questions, what a unit has at
-    least; highest: what it can have at most.
+    With k better units of other paths a unit is out, whatever the cap on units of
+    one path. A unit is known by what it scores at least (``low``) and at most (``high``).
     """
-    names, owner = np.unique(np.array(paths, object), return_inverse=True)
-    best = np.full((len(names), scores.shape[1]), -np.inf)
-    np.maximum.at(best, owner, scores)
-    least = np.partition(best, len(names) - k, axis=0)[len(names) - k] if len(names) >= k else np.full(scores.shape[1], -np.inf)
-    for q in np.flatnonzero(highest.max(axis=0) > 0):
-        yield int(q), np.flatnonzero((highest[:, q] >= least[q]) & (highest[:, q] > 0))
+
+    def __init__(self, width: int, k: int):
+        self.k, self.least = k, np.full(width, -np.inf)
+        self.question, self.path, self.low, self.high = np.empty(0, np.int64), np.empty(0, object), np.empty(0), np.empty(0)
+        self.rows: dict[str, np.ndarray] = {}
+
+    def add(self, paths: pa.Array, low: np.ndarray, high: np.ndarray, **values: np.ndarray) -> None:
+        """Figures of units (rows) for questions (columns); a unit that scores nought at most is left out."""
+        unit, question = np.nonzero((high > 0) & (high >= self.least))
+        names = np.array(paths.to_pylist(), object)
+        self.question, self.path = np.concatenate([self.question, question]), np.concatenate([self.path, names[unit]])
+        self.low, self.high = np.concatenate([self.low, low[unit, question]]), np.concatenate([self.high, high[unit, question]])
+        for name, x in values.items():
+            self.rows[name] = np.concatenate([self.rows.get(name, np.empty(0, x.dtype)), x[unit, question]])
+        if not len(self.question):
+            return
+        _, owner = np.unique(self.path, return_inverse=True)
+        order = np.lexsort((-self.low, owner, self.question))
+        q, o = self.question[order], owner[order]
+        first = np.concatenate([[True], (q[1:] != q[:-1]) | (o[1:] != o[:-1])])  # the best of each path
+        q, best = q[first], self.low[order][first]
+        ranked = np.lexsort((-best, q))
+        q, best = q[ranked], best[ranked]
+        begin = np.searchsorted(q, np.arange(len(self.least)))
+        full = np.flatnonzero(np.bincount(q, minlength=len(self.least)) >= self.k)
+        self.least[full] = np.maximum(self.least[full], best[begin[full] + self.k - 1])
+        keep = self.high >= self.least[self.question]
+        self.question, self.path, self.low, self.high = self.question[keep], self.path[keep], self.low[keep], self.high[keep]
+        self.rows = {name: x[keep] for name, x in self.rows.items()}
 
 
 def retrieve(units: DataFrame, queries: DataFrame, *, scope: str = ".", top_k: int = 8, per_source: int = 3, among: DataFrame | None = None, vectors: bool = True) -> DataFrame:
@@ -258,13 +280,17 @@ def retrieve(units: DataFrame, queries: DataFrame, *, scope: str = ".", top_k: i
 
         def best(batches: Iterator[pa.RecordBatch], sent=sent, highest=highest) -> Iterator[pa.RecordBatch]:
             terms, grams, names = sent.value
+            found = Running(len(names), top_k)
             for batch in parts_of(batches):
+                if not batch.num_rows or not names:
+                    continue
                 lexical, vector = both(batch, terms, grams)
                 b, v = lexical / highest[0], vector / highest[1] if vector.size else np.zeros_like(lexical)
                 score = LEXICAL * b + VECTOR * v if grams else b
-                paths, ids = batch.column(0), batch.column(1)
-                for q, rows in keep_best(score, paths.to_pylist(), top_k, np.where(score > 0, score + SLACK, 0)) if batch.num_rows else ():
-                    yield pa.RecordBatch.from_arrays([pa.array([names[q]] * len(rows), arrow_type(kind)), paths.take(pa.array(rows)), ids.take(pa.array(rows)), pa.array(b[rows, q]), pa.array(v[rows, q]), pa.array(score[rows, q])], names=["query_id", "path", "evidence_id", "bm25", "tfidf", "score"])
+                ids = np.array(batch.column(1).to_pylist(), object)
+                found.add(batch.column(0), score, np.where(score > 0, score + SLACK, 0), id=np.broadcast_to(ids[:, None], score.shape), b=b, v=v)
+            rows = found.rows or {"id": np.empty(0, object), "b": np.empty(0), "v": np.empty(0)}
+            yield pa.RecordBatch.from_arrays([pa.array([names[q] for q in found.question], arrow_type(kind)), pa.array(found.path, pa.string()), pa.array(rows["id"], pa.string()), pa.array(rows["b"]), pa.array(rows["v"]), pa.array(found.low)], names=["query_id", "path", "evidence_id", "bm25", "tfidf", "score"])
 
         one = scored_units.mapInArrow(best, f"query_id {kind}, path string, evidence_id string, bm25 double, tfidf double, score double")
         found = one if found is None else found.unionByName(one)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import QUANTITY, factual, human_size
+from ..functions.text import QUANTITY, factual, human_size, let
 from .inventory import first_rows
 
 # Words too general to name a cluster.
@@ -90,6 +90,6 @@ def cluster_names(members: DataFrame, topics: DataFrame) -> DataFrame:
 
 def support_label(text: Column, terms: Column, semantic: Column | None = None) -> Column:
     """Why a unit is shown: it has a term, its meaning is close, it has figures, or it stands for the rest."""
-    low = F.lower(text)
+    held = let(F.lower(text), lambda low: F.exists(terms, lambda t: F.contains(low, t)))
     close = (semantic >= 0.55) if semantic is not None else F.lit(False)
-    return F.when(F.exists(terms, lambda t: F.contains(low, t)), "literal").when(close, "semantic").when(text.rlike(QUANTITY), "numeric").when(factual(text), "factual").otherwise("representative")
+    return F.when(held, "literal").when(close, "semantic").when(text.rlike(QUANTITY), "numeric").when(factual(text), "factual").otherwise("representative")
