@@ -96,7 +96,50 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_lattice_likelihood, op2_ngram_perplexity, op3_kd_shards, op4_url_trees, op5_ordinal_grades, op6_circulant_minhash, op7_warc_chunks, op8_line_dedup, op9_bpe_segment_tree, op10_aho_corasick, op11_spelling_variants, op12_importance_resample, op13_pivotal_mix)
 }
 
+#: CRC-32 in DuckDB: its table, and the checksum of a text's UTF-8 bytes.
+CRC_TABLE = "crct AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS i)))"
+UTF8 = "flatten(list_transform(string_split({0}, ''), lambda ch: CASE WHEN ord(ch) < 128 THEN [ord(ch)::BIGINT] WHEN ord(ch) < 2048 THEN [192 + (ord(ch) >> 6), 128 + (ord(ch) & 63)]::BIGINT[] WHEN ord(ch) < 65536 THEN [224 + (ord(ch) >> 12), 128 + ((ord(ch) >> 6) & 63), 128 + (ord(ch) & 63)]::BIGINT[] ELSE [240 + (ord(ch) >> 18), 128 + ((ord(ch) >> 12) & 63), 128 + ((ord(ch) >> 6) & 63), 128 + (ord(ch) & 63)]::BIGINT[] END))"
+
+
+def _crc_sql(text: str) -> str:
+    return f"xor(4294967295::BIGINT, list_reduce(list_concat([4294967295::BIGINT], {UTF8.format(text)}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))"
+
+
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _features_sql(name: str, source: str, key: str) -> str:
+    """Uses of each run of one to three words by text, and the bucket of each run."""
+    return rf"""{name}w AS (SELECT {key} AS k, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM {source}),
+{name}f AS (SELECT k, f, count(*) AS n FROM (SELECT k, array_to_string(w[i:i + g - 1], ' ') AS f FROM (SELECT k, w, g, unnest(range(1, len(w) - g + 2)) AS i FROM {name}w, range(1, 4) r(g))) GROUP BY ALL)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_spelling_variants": rf"""
+WITH RECURSIVE {CRC_TABLE}, runs AS (SELECT doc_id, unnest(regexp_extract_all({LOWERED}, '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+each AS (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 6 GROUP BY ALL),
+hashed AS (SELECT run, n, {_crc_sql("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h FROM each, crct),
+cut AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, n FROM hashed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM cut WHERE length(word) >= 6 GROUP BY 1 HAVING sum(n) >= 5),
+dels AS (SELECT word, k, substr(word, 1, k - 1) || substr(word, k + 1) AS d FROM (SELECT word, unnest(range(1, length(word) + 1)) AS k FROM words)),
+shorter AS (SELECT DISTINCT dels.word AS long, w.word AS short FROM dels JOIN words w ON w.word = d),
+near AS (SELECT a.word, b.word AS other FROM dels a JOIN dels b ON a.d = b.d AND a.k = b.k AND a.word <> b.word UNION SELECT long, short FROM shorter UNION SELECT short, long FROM shorter),
+best AS (SELECT near.word, other, o.n AS m, count(*) OVER (PARTITION BY near.word) AS n_near FROM near JOIN words o ON o.word = other QUALIFY row_number() OVER (PARTITION BY near.word ORDER BY o.n DESC, other) = 1),
+judged AS (SELECT words.word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * words.n THEN other END AS form, CASE WHEN m >= 5 * words.n THEN m END AS form_n FROM words LEFT JOIN best USING (word)),
+way AS (SELECT word, word AS at FROM judged UNION ALL SELECT way.word, j.form FROM way JOIN judged j ON j.word = way.at WHERE j.form IS NOT NULL)
+SELECT j.word, j.form, way.at AS root, j.n, j.n_near, j.form_n FROM judged j JOIN way ON way.word = j.word JOIN judged e ON e.word = way.at WHERE e.form IS NULL
+""",
+    "op12_importance_resample": rf"""
+WITH {CRC_TABLE}, {_features_sql('d', 'documents', 'doc_id')}, {_features_sql('b', 'benchmark', 'item_id')},
+buckets AS (SELECT f, {_crc_sql('f')} % 10000 AS b FROM (SELECT f FROM df UNION SELECT f FROM bf), crct),
+s AS (SELECT b, sum(n)::BIGINT AS n FROM df JOIN buckets USING (f) GROUP BY 1), t AS (SELECT b, sum(n)::BIGINT AS n FROM bf JOIN buckets USING (f) GROUP BY 1),
+totals AS (SELECT (SELECT coalesce(sum(n), 0) FROM s)::DOUBLE AS s_all, (SELECT coalesce(sum(n), 0) FROM t)::DOUBLE AS t_all),
+gains AS (SELECT r.b, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * (s_all + 10000) / ((coalesce(s.n, 0) + 1)::DOUBLE * (t_all + 10000))))::BIGINT AS gain FROM range(10000) r(b) LEFT JOIN s ON s.b = r.b LEFT JOIN t ON t.b = r.b, totals),
+weights AS (SELECT k, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM df JOIN buckets USING (f) JOIN gains USING (b) GROUP BY 1),
+scored AS (SELECT k AS doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('42:' || k)[:8])::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM dw LEFT JOIN weights USING (k)),
+drawn AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, rank FROM scored LEFT JOIN (SELECT doc_id, rank FROM drawn WHERE rank <= 5 * n // 100) USING (doc_id)
+""",
     "op6_circulant_minhash": r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
