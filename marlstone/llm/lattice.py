@@ -338,22 +338,43 @@ def score_documents(docs: DataFrame, model_file: str, *, head_words: int = 150_0
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each document with the sums over its frequent words, and one for each of its other words."""
         (places, table), base = sent_head.value, TaskContext.get().partitionId() << 40
-        at, rows = 0, []
+        at, rows, others = 0, [], ([], [], [])  # others: row, word and uses
+
+        def of_documents() -> pa.RecordBatch:
+            cols = list(zip(*rows, strict=True))
+            return pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(cols, fields, strict=False)), *(pa.nulls(len(rows), f.type) for f in list(fields)[-2:])], schema=fields)
+
+        def of_words() -> pa.RecordBatch:
+            uids, words, uses = others
+            return pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), *(pa.nulls(len(uids), f.type) for f in list(fields)[1:-2]), pa.array(words, pa.binary()), pa.array(uses, pa.int64())], schema=fields)
+
         for batch in in_parts(batches):
             for doc, out_of, text in zip(column(batch, "doc_id").to_pylist(), column(batch, "held_out").to_pylist(), texts_of(batch), strict=True):
-                words, uid = Counter(map(word_key, text.lower().split())), base + at
+                counts, uid = Counter(text.lower().split()), base + at
                 at += 1
-                found = [i for w in words if (i := places.get(w)) is not None]
-                uses = np.fromiter((n for w, n in words.items() if w in places), float, len(found))
-                values = end + uses @ table[found] if found else end
-                rows.append((uid, doc, out_of, 1 + words.total(), *map(float, values), None, None))
-                if len(found) < len(words):
-                    rows += [(uid, *[None] * (3 + len(totals)), w, n) for w, n in words.items() if w not in places]
-                if len(rows) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True)], schema=fields)
-                    rows = []
+                found, uses, before = [], [], len(others[1])
+                for word, n in counts.items():
+                    if len(word) > 64:
+                        word = word_key(word)
+                    if (i := places.get(word)) is not None:
+                        found.append(i)
+                        uses.append(n)
+                    else:
+                        others[1].append(word)
+                        others[2].append(n)
+                others[0].extend([uid] * (len(others[1]) - before))
+                values = end + np.array(uses, float) @ table[found] if found else end
+                rows.append((uid, doc, out_of, 1 + counts.total(), *map(float, values)))
+                if len(others[0]) > 100_000:
+                    yield of_words()
+                    others = ([], [], [])
+            if len(rows) > 20_000:
+                yield of_documents()
+                rows = []
+        if others[0]:
+            yield of_words()
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True)], schema=fields)
+            yield of_documents()
 
     parts = materialize(docs.mapInArrow(score, kinds), "parts")
     others = weighed.filter(~frequent).select("word", (F.col("train") > 0).cast("double").alias("n_known"), *sums)
