@@ -202,6 +202,48 @@ def overview(tables: DataFrame) -> DataFrame:
     return tables.agg(F.count("*").alias("profiled_tables"), F.sum("row_count").alias("total_rows"), F.round(F.avg("quality_score"), 2).alias("average_quality_score"), F.sum("duplicate_row_count").alias("duplicate_rows"), F.count_if(F.col("sensitive_columns") != "").alias("tables_with_sensitive_columns"))
 
 
+def name_score(question: Column, column: Column) -> Column:
+    """How much of a column's name stands in a question: ten for all of it, four for each part, two for each word."""
+    pieces = F.filter(F.split(column, r"[_\s-]+"), lambda t: F.length(t) >= 2)
+    words = F.regexp_extract_all(column, F.lit(r"[A-Za-z0-9_\x{4e00}-\x{9fff}]{2,}"), F.lit(0))
+    named = lambda t: F.contains(F.lower(question), F.lower(t))
+    return F.when(named(column), 10).otherwise(0) + 4 * F.size(F.filter(pieces, named)) + 2 * F.size(F.filter(words, named))
+
+
+def figures_asked(questions: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """What ``answer`` needs of the tables: figures of the columns that a question names, and which others are numbers.
+
+    Names are looked at first. A named column of numbers is summed up in one pass
+    with the table's others; one of another type goes through ``cell_counts``. A
+    column that nobody names is known by its type, and its cells are only looked at
+    where a table's types leave it open whether it has numbers at all.
+    """
+    spark = questions.sparkSession
+    names = spark.createDataFrame([(t, c) for t, df in tables.items() for c in df.columns], "source string, column string")
+    asked = {(r["source"], r["column"]) for r in names.join(F.broadcast(questions.select("question")), name_score(F.col("question"), F.col("column")) > 0).select("source", "column").distinct().collect()}  # names of columns
+    numeric = {t: [c for c, k in df.dtypes if k.split("(")[0] in ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")] for t, df in tables.items()}
+    enough = sum(map(len, numeric.values())) > 1
+    out, kinds = None, "inferred_type string, min double, max double, sum double, count long, mean double"
+    for source, df in tables.items():
+        plain, told = [c for c in numeric[source] if (source, c) in asked], [c for c in df.columns if c not in numeric[source] and ((source, c) in asked or not enough)]
+        x = lambda c: F.when(~F.isnan(F.col(f"`{c}`").cast("double")) & (F.abs(F.col(f"`{c}`").cast("double")) != float("inf")), F.col(f"`{c}`").cast("double"))
+        each = [F.struct(F.lit(c).alias("column"), F.when(F.count(x(c)) > 0, "number").otherwise("missing").alias("inferred_type"), F.min(x(c)).alias("min"), F.max(x(c)).alias("max"), F.round(F.sum(x(c)), 6).alias("sum"), F.count(x(c)).alias("count"), F.round(F.avg(x(c)), 6).alias("mean")) for c in plain]
+        whole = df.agg(F.count("*").alias("row_count"), F.array(*each).alias("each")) if each else df.agg(F.count("*").alias("row_count")).withColumn("each", F.array().cast(f"array<struct<column:string,{kinds.replace(' ', ':').replace(',:', ',')}>>"))
+        whole = materialize(whole, "figures")
+        found = whole.select("row_count", F.explode_outer("each").alias("x")).select("row_count", "x.*")
+        rest = [(c,) for c in numeric[source] if c not in plain]
+        if rest:
+            found = found.unionByName(spark.createDataFrame(rest, "column string").join(F.broadcast(whole.select("row_count")), F.lit(True)).withColumn("inferred_type", F.lit("number")), allowMissingColumns=True)
+        if told:
+            cells = cell_counts(df.select(*told), F.lit(0).cast("long"))
+            sums = cells.groupBy("column").agg(F.min("number").alias("min"), F.max("number").alias("max"), F.round(F.sum(F.col("number") * F.col("n")), 6).alias("sum"), F.coalesce(F.sum(F.when(F.col("number").isNotNull(), F.col("n"))), F.lit(0)).alias("count"))
+            sums = sums.withColumn("mean", F.round(F.col("sum") / F.nullif("count", F.lit(0)), 6)).join(column_kinds(cells), "column")
+            found = found.unionByName(sums.join(F.broadcast(whole.select("row_count")), F.lit(True)), allowMissingColumns=True)
+        one = found.withColumns({"source": F.lit(source), "complete": F.lit(True)})
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def answer(questions: DataFrame, profiles: DataFrame) -> DataFrame:
     """Numbers for questions such as "total of amount", read from column profiles.
 
@@ -218,10 +260,7 @@ def answer(questions: DataFrame, profiles: DataFrame) -> DataFrame:
             hit = hit | F.contains(q, F.lit(w))
         operation = F.when(hit, name).otherwise(operation)
     numeric = profiles.filter("inferred_type = 'number'")
-    pieces = F.filter(F.split("column", r"[_\s-]+"), lambda t: F.length(t) >= 2)
-    words = F.regexp_extract_all("column", F.lit(r"[A-Za-z0-9_\x{4e00}-\x{9fff}]{2,}"), F.lit(0))
-    named = lambda t: F.contains(F.lower("question"), F.lower(t))
-    score = F.when(named(F.col("column")), 10).otherwise(0) + 4 * F.size(F.filter(pieces, named)) + 2 * F.size(F.filter(words, named))
+    score = name_score(F.col("question"), F.col("column"))
     met = questions.withColumn("operation", operation).join(small(materialize(numeric, "numeric-columns"), 10_000), F.lit(True), "left").withColumn("score", F.when(F.col("column").isNotNull(), score))
     w = W.partitionBy("question_id")
     best = met.withColumns({"candidates": F.count("column").over(w), "place": F.row_number().over(w.orderBy(F.desc("score"), "source", "column"))}).filter("place = 1")

@@ -1,82 +1,34 @@
 """The analysis tree as tables, edits by people, filters by review status.
 
-Nodes: node_id, parent_id, name, kind, position, confirmed. Members: node_id,
-path. Edits are few, as people make them; they are read on the driver and each is
-applied to the tables as a DataFrame step.
+Nodes: node_id, parent_id, name, kind, position, confirmed. Members: node_id, path.
 """
 
 from __future__ import annotations
 
-import hashlib
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..storage import materialize
+from . import edit_log
 from .inventory import coverage, first_rows
 
-MOST_EDITS = 10_000
+def edit_table(spark: SparkSession, edits: list[dict[str, Any]]) -> DataFrame:
+    """Edits as they come from a form (edit_id, operation, payload), in order, as a log of ``edit_log``."""
 
+    def row(seq: int, e: dict[str, Any]) -> tuple:
+        p = e.get("payload") or {}
+        text = lambda name: None if p.get(name) is None else str(p[name])
+        groups = [(g.get("name"), [str(x) for x in g.get("paths") or []]) for g in p.get("groups") or []]
+        return seq, e.get("edit_id"), str(e.get("operation") or "").strip().lower(), text("node_id"), text("name"), bool(p.get("confirmed", True)), text("path"), text("edit_id"), [str(x) for x in p.get("node_ids") or []], groups
 
-def manual_id(prefix: str, values: list[str]) -> str:
-    return f"manual-{prefix}-{hashlib.sha256('|'.join(values).encode()).hexdigest()[:16]}"
-
-
-def active_edits(edits: list[dict[str, Any]]) -> list[dict[str, Any]]:
-    """Edits in order, without undo and redo and what they leave undone."""
-    undone: set[str] = set()
-    for e in edits:
-        if e["operation"] == "undo":
-            undone.add(e["payload"].get("edit_id"))
-        elif e["operation"] == "redo":
-            undone.discard(e["payload"].get("edit_id"))
-    return [e for e in edits if e["operation"] not in ("undo", "redo") and e.get("edit_id") not in undone]
+    return spark.createDataFrame([row(i, e) for i, e in enumerate(edits, 1)], edit_log.LOG)
 
 
 def replay(nodes: DataFrame, members: DataFrame, edits: list[dict[str, Any]]) -> tuple[DataFrame, DataFrame]:
     """Nodes and members after the edits. Edits that don't fit the tree are passed over."""
-    if len(edits) > MOST_EDITS:
-        raise ValueError(f"more than {MOST_EDITS} edits")
-    spark = nodes.sparkSession
-    for step, e in enumerate(active_edits(edits)):
-        p, node = e["payload"], F.col("node_id") == F.lit(e["payload"].get("node_id"))
-        if e["operation"] == "rename" and (name := str(p.get("name") or "").strip()[:120]):
-            nodes = nodes.withColumn("name", F.when(node, name).otherwise(F.col("name")))
-        elif e["operation"] == "confirm":
-            nodes = nodes.withColumn("confirmed", F.when(node, bool(p.get("confirmed", True))).otherwise(F.col("confirmed")))
-        elif e["operation"] == "mount" and p.get("path"):
-            there = nodes.filter(node & (F.col("kind") == "group")).select("node_id", F.lit(str(p["path"]).replace("\\", "/")).alias("path"))
-            members = members.unionByName(there).distinct()
-        elif e["operation"] == "merge":
-            ids = [str(x) for x in p.get("node_ids") or []]
-            fits = F.col("node_id").isin(ids) & (F.col("kind") == "group")
-            chosen = nodes.filter(fits)
-            if chosen.limit(2).count() < 2:
-                continue
-            new, name = manual_id("merge", ids), str(p.get("name") or "merged").strip()[:120]
-            first = chosen.orderBy("position").limit(1).select(F.lit(new).alias("node_id"), "parent_id", F.lit(name).alias("name"), "kind", (F.lit(1_000_000) + step).cast("int").alias("position"), "confirmed")
-            members = members.filter(~F.col("node_id").isin(ids)).unionByName(members.join(chosen.select("node_id"), "node_id", "left_semi").select(F.lit(new).alias("node_id"), "path")).distinct()
-            nodes = nodes.filter(~fits).unionByName(first)
-        elif e["operation"] == "split" and len(p.get("groups") or []) >= 2:
-            wanted = [(i, str(g.get("name") or f"part {i}").strip()[:120], str(path)) for i, g in enumerate(p["groups"], 1) for path in g.get("paths") or []]
-            first_of: dict[str, tuple] = {}
-            for i, name, path in wanted:
-                first_of.setdefault(path, (i, name))
-            spec = spark.createDataFrame([(i, name, path) for path, (i, name) in first_of.items()], "part int, name string, path string")
-            parts = materialize(members.filter(node).join(F.broadcast(spec), "path"), "parts").orderBy("part", "path").collect()  # paths that the edit names
-            named: dict[tuple, list[str]] = {}
-            for r in parts:
-                named.setdefault((r["part"], r["name"]), []).append(r["path"])
-            if len(named) < 2:
-                continue
-            made = [(manual_id("split", [str(p["node_id"]), str(i), *paths]), name, i, paths) for (i, name), paths in named.items()]
-            new_nodes = spark.createDataFrame([(n, name, i) for n, name, i, _ in made], "node_id string, name string, part int")
-            old = nodes.filter(node).select("parent_id", "position")
-            nodes = nodes.filter(~node).unionByName(new_nodes.crossJoin(old).select("node_id", "parent_id", "name", F.lit("group").alias("kind"), (F.col("position") + F.col("part")).cast("int").alias("position"), F.lit(True).alias("confirmed")))
-            members = members.filter(~node).unionByName(spark.createDataFrame([(n, path) for n, _, _, paths in made for path in paths], "node_id string, path string"))
-    return nodes, members
+    return edit_log.replayed(nodes, members, edit_table(nodes.sparkSession, edits))
 
 
 def filter_files(leaves: DataFrame, status: str) -> DataFrame:

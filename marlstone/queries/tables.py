@@ -108,12 +108,8 @@ def json_props_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def structured_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = []
-    for name in KEYS:
-        rows = table(spark, sf_dir, name).count()
-        parts.append(profile.column_profile(cells(spark, sf_dir, name), rows).withColumns({"source": F.lit(name), "row_count": F.lit(rows).cast("long"), "complete": F.lit(True)}))
-    profiles = materialize(reduce(DataFrame.unionByName, parts), "profiles")
     asked = spark.createDataFrame([(i, q) for i, q in enumerate(QUESTIONS)], "question_id long, question string")
+    profiles = materialize(profile.figures_asked(asked, {n: table(spark, sf_dir, n) for n in KEYS}), "profiles")
     return profile.answer(asked, profiles).withColumn("value", F.round("value", 2))
 
 

@@ -81,6 +81,43 @@ def test_ledger(spark):
     assert capped.count() == 1
 
 
+def tarred(members: dict, mode: str = "w") -> bytes:
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode=mode) as t:
+        for name, data in members.items():
+            info = tarfile.TarInfo(name)
+            info.size = len(data)
+            t.addfile(info, io.BytesIO(data))
+    return out.getvalue()
+
+
+def test_nested_archives(spark):
+    """Archives in archives share their file's bounds; what is refused has a row of the ledger."""
+    deep = zipped({"top.txt": b"t", "in.tar": tarred({"mid.txt": b"m", "core.zip": zipped({"low.txt": b"l", "far.zip": zipped({"x.txt": b"x"})}), "c.csv.gz": gzip.compress(b"a,b")}), "bad.zip": b"none", "../up.txt": b"u"})
+    df = spark.createDataFrame([("d.zip", deep), ("gone.zip", None)], "path string, content binary")
+    rows = {r.member: r for r in archives.members(df).filter("path = 'd.zip'").collect()}
+    assert {m: r.reason for m, r in rows.items() if r.status == "skipped"} == {"../up.txt": "unsafe name", "in.tar::core.zip::far.zip": "too deep"} and rows["in.tar::c.csv.gz::c.csv"].content == b"a,b"
+    assert rows["in.tar::core.zip::low.txt"].content == b"l" and rows["in.tar::mid.txt"].content == b"m" and rows["in.tar"].status == rows["in.tar::core.zip"].status == "opened" and rows["in.tar"].content is None
+    assert sorted(r.status for r in archives.members(df).filter("member in ('bad.zip')").collect()) == ["failed", "opened"]
+    ledger = {r.path: r for r in archives.ledger(archives.members(df)).collect()}
+    assert ledger["d.zip"].inner_archives >= 3 and not ledger["d.zip"].complete and ledger["gone.zip"].failed_members == 1
+    # one budget for all levels
+    few = archives.members(df.limit(1), max_members=3)
+    assert few.filter("status in ('extracted', 'opened')").count() == 3 and few.filter("reason = 'too many members'").count() > 0
+    flat = archives.members(df.limit(1), max_depth=1)
+    assert flat.filter("member = 'in.tar' and reason = 'too deep'").count() == 1 and flat.filter("member like '%::%'").count() == 0
+    bomb = zipped({"a.zip": zipped({"x": b"0" * 900}), "b.zip": zipped({"y": b"1" * 900})})
+    total = archives.members(spark.createDataFrame([("b.zip", bomb)], "path string, content binary"), max_total=2200)
+    assert total.filter("reason = 'total too large'").count() >= 1 and total.filter("status = 'extracted'").count() == 1
+
+
+def test_archives_in_sql(spark):
+    archives.register(spark)
+    spark.createDataFrame([("d.zip", zipped({"in.zip": zipped({"a.txt": b"one", "b.txt": b"two"})})), ("e.tar", tarred({"c.txt": b"three"})), ("gone.zip", None)], "path string, content binary").createOrReplaceTempView("packed")
+    found = spark.sql("SELECT path, m.member, m.status, CAST(m.content AS STRING) AS text FROM packed, LATERAL archive_members(path, content) m ORDER BY path, member").collect()
+    assert [tuple(r) for r in found] == [("d.zip", "in.zip", "opened", None), ("d.zip", "in.zip::a.txt", "extracted", "one"), ("d.zip", "in.zip::b.txt", "extracted", "two"), ("e.tar", "c.txt", "extracted", "three")]
+
+
 def test_delimited(spark, tmp_path):
     path = tmp_path / "t.csv"
     path.write_text('id,,name,name\n1,x,"a\nb",z,extra\n2,y\n')
