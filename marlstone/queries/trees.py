@@ -112,8 +112,8 @@ def job_queue_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (tree_edit_replay, edit_log_replay, tree_filter, tree_order, pruned_tree, job_queue_order)}
 NODES = f"""{DOCS}, folders AS (SELECT DISTINCT array_to_string(string_split(path, '/')[1:k], '/') AS node_id FROM (SELECT path, unnest(range(1, len(string_split(path, '/')))) AS k FROM docs)),
-nodes AS (SELECT '.' AS node_id, NULL AS parent_id, 'directory' AS kind, 0 AS size UNION ALL
-  SELECT node_id, CASE WHEN contains(node_id, '/') THEN regexp_replace(node_id, '/[^/]*$', '') ELSE '.' END, kind, size FROM (SELECT node_id, 'directory' AS kind, 0 AS size FROM folders UNION ALL SELECT path, 'file', size FROM docs)),
+nodes AS (SELECT '.' AS node_id, NULL::VARCHAR AS parent_id, 'directory' AS kind, 0::BIGINT AS size UNION ALL
+  SELECT node_id, CASE WHEN contains(node_id, '/') THEN regexp_replace(node_id, '/[^/]*$', '') ELSE '.' END, kind, size FROM (SELECT node_id, 'directory' AS kind, 0::BIGINT AS size FROM folders UNION ALL SELECT path, 'file', size FROM docs)),
 up AS (SELECT node_id, node_id AS anc, 0 AS d, kind, size FROM nodes UNION ALL SELECT up.node_id, n.parent_id, d + 1, up.kind, up.size FROM up JOIN nodes n ON n.node_id = up.anc WHERE n.parent_id IS NOT NULL)"""
 
 ORACLE_SQL = {

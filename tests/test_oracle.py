@@ -43,8 +43,9 @@ def test_entry(spark, data):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_imports_without_the_subpackage(tmp_path):
-    """The rest imports and lists its queries when the training-data subpackage is away."""
+def test_runs_without_the_subpackage(tmp_path, data):
+    """The rest imports, lists its queries and runs them when the training-data subpackage is away."""
+    import os
     import shutil
     import subprocess
     import sys
@@ -53,5 +54,12 @@ def test_imports_without_the_subpackage(tmp_path):
     root = Path(entry.__file__).parent
     shutil.copytree(root / "marlstone", tmp_path / "marlstone", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(root / "__spark_entry__.py", tmp_path)
-    code = "import __spark_entry__ as e; q = e.queries(); assert 'retrieval_bm25' in q and not any(k.startswith('op') or k == 'pipeline' for k in q); e.oracle_sql()"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
+    code = f"""
+import __spark_entry__ as e
+q = e.queries()
+assert "retrieval_bm25" in q and not any(k.startswith("op") or k == "pipeline" for k in q) and set(e.oracle_sql()) <= set(q)
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", "file://{tmp_path}/shared").getOrCreate()
+assert q["embedding_nearest"](spark, {data!r}).count() > 0 and q["tree_filter"](spark, {data!r}).count() > 0
+"""
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
