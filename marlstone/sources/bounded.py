@@ -22,10 +22,12 @@ from __future__ import annotations
 import codecs
 import csv
 import json
+import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any, BinaryIO
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -273,6 +275,10 @@ def extension_of(path: str) -> str:
     return "." + name.rsplit(".", 1)[1] if "." in name else ""
 
 
+def _store(root: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{quote(os.path.abspath(root))}")
+
+
 class BoundedReader(DataSourceReader):
     def __init__(self, options: dict):
         whole = lambda name, default: int(options.get(name, default))
@@ -282,7 +288,7 @@ class BoundedReader(DataSourceReader):
         self.extensions = options["extensions"].split(",") if options.get("extensions") else STRUCTURED
 
     def partitions(self) -> list[InputPartition]:
-        store, base = fs.FileSystem.from_uri(self.root if "://" in self.root or self.root.startswith("file:") else f"file://{self.root}")
+        store, base = _store(self.root)
         found = sorted((f for f in store.get_file_info(fs.FileSelector(base, recursive=True)) if f.is_file and extension_of(f.path) in self.extensions), key=lambda f: f.path)
         out, held = [Files([])], 0
         for f in found:
@@ -295,7 +301,7 @@ class BoundedReader(DataSourceReader):
         return out
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
-        store, _ = fs.FileSystem.from_uri(self.root if "://" in self.root or self.root.startswith("file:") else f"file://{self.root}")
+        store, _ = _store(self.root)
         rows: list[tuple] = []
         held = 0
 

@@ -27,9 +27,13 @@ def _relative(path: Column, root: str) -> Column:
 
 
 def scan(spark: SparkSession, root: str, max_depth: int = 32) -> DataFrame:
-    """Inventory of all files below the folder: path (relative), size, modified_at and names. No file is opened."""
-    found = _listed(spark, root).select(_relative(F.col("path"), root).alias("path"), F.col("length").alias("size"), F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("modified_at"))
-    return kept(with_names(found)).filter(F.col("depth") <= max_depth)
+    """Inventory of all files below the folder: path (relative), size, modified_at and names. No file is opened.
+
+    ``listing.walk`` has the ledger of what was refused on the way.
+    """
+    from .listing import walk
+
+    return kept(with_names(walk(spark, root, max_depth).filter("kind = 'file' and reason is null").select("path", "size", "modified_at")))
 
 
 def resolve_under(requested: Column, root: str) -> Column:
