@@ -21,7 +21,8 @@ from ..functions.text import SPACE, collapse, search_words
 from ..storage import materialize, small
 from .inventory import first_rows, in_scope
 
-# BM25's and the fusion's constants, lengths of character grams.
+# Tokens that say nothing about a package; BM25's and the fusion's constants, lengths of character grams.
+GENERAL_TOKENS = ["核心", "主题", "主要", "文件", "文档", "内容", "分析", "资料", "报告", "数据"]
 K1, B = 1.5, 0.75
 LEXICAL, VECTOR = 0.58, 0.42
 GRAMS = (2, 3, 4)
@@ -300,6 +301,18 @@ def retrieve(units: DataFrame, queries: DataFrame, *, scope: str = ".", top_k: i
     return best_of.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order)).cast("long")).filter(F.col("rank") <= top_k)
 
 
+def frequent_tokens(units: DataFrame, most: int = 8) -> DataFrame:
+    """One query (query_id 0) of the most frequent tokens of the units, for a package without topics; ties by token.
+
+    A corpus without tokens is asked for its main findings.
+    """
+    fits = F.length("token").between(2, 16) & ~F.col("token").isin(GENERAL_TOKENS)
+    counted = units.select(F.explode(search_words(F.col("text"))).alias("token")).filter(fits).groupBy("token").agg(F.count("*").alias("n"))
+    top = counted.orderBy(F.desc("n"), "token").limit(most)
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "token"))), lambda x: x["token"]), " ")  # ``most`` tokens
+    return top.agg(listed.alias("query")).select(F.lit(0).cast("long").alias("query_id"), F.coalesce(F.nullif("query", F.lit("")), F.lit("核心主题 关键发现 主要结论")).alias("query"))
+
+
 def arrow_type(kind: str) -> pa.DataType:
     return {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[kind]
 

@@ -50,6 +50,48 @@ def file_summaries(docs: DataFrame, units: DataFrame, topics: DataFrame) -> Data
     return out.select("path", F.regexp_replace("name", r"(?<=.)\.[^.]*$", "").alias("title"), said.alias("summary"), F.coalesce("topics", F.lit("")).alias("topics"), F.coalesce("evidence_ids", F.lit("")).alias("evidence_ids"), deep.alias("deep"))
 
 
+ITEM = "evidence_id string, evidence_type string, verification_status string, source_path string, page int, section string"
+CONCLUSION = f"statement string, conclusion string, analysis_question string, question string, question_value string, answer string, confidence string, type string, verification_status string, evidence array<struct<{ITEM.replace(' string', ':string').replace(' int', ':int')}>>"
+#: What a stored summary can hold; older ones lack some of it.
+PAYLOAD = f"schema_version int, summary string, core_summary string, topics array<string>, evidence array<struct<{ITEM.replace(' string', ':string').replace(' int', ':int')}>>, evidence_chain array<struct<{ITEM.replace(' string', ':string').replace(' int', ':int')}>>, conclusion_evidence array<struct<{CONCLUSION.replace(' string', ':string').replace(' array<', ':array<')}>>"
+
+
+def stored_summaries(rows: DataFrame, payload: str = "payload") -> DataFrame:
+    """Summaries as they were stored (JSON text) with the defaults that today's readers need.
+
+    ``summary`` and ``core_summary`` stand in for each other, as do ``evidence`` and
+    ``evidence_chain``; missing topics are an empty list. A conclusion without a
+    question, an answer or a confidence gets them; its evidence is direct, or an
+    inference if the conclusion is one, and has where it is found; one without
+    evidence awaits it. A text that is no object has a null version.
+    """
+    given = rows.withColumn("__p", F.from_json(F.col(payload), PAYLOAD)).withColumn("__object", F.rtrim(F.ltrim(F.col(payload))).startswith("{"))
+    p = lambda name: F.col(f"__p.{name}")
+    either = lambda a, b: F.coalesce(F.nullif(p(a), F.lit("")), F.nullif(p(b), F.lit("")))
+
+    def item(e: Column, inferred: Column) -> Column:
+        kind = F.coalesce(e["evidence_type"], F.when(inferred, "inference").otherwise("direct"))
+        status = F.coalesce(e["verification_status"], F.when(inferred, "to_be_verified").otherwise("traceable"))
+        return F.struct(e["evidence_id"].alias("evidence_id"), kind.alias("evidence_type"), status.alias("verification_status"), F.struct(e["source_path"].alias("source_path"), e["page"].alias("page"), e["section"].alias("section")).alias("location"))
+
+    def conclusion(c: Column) -> Column:
+        inferred = F.lower(F.coalesce(c["type"], F.lit(""))).isin("推论", "inference")
+        statement = F.coalesce(c["statement"], F.nullif(c["conclusion"], F.lit("")), F.lit("conclusion"))
+        evidence = F.transform(F.coalesce(F.filter(c["evidence"], lambda e: e.isNotNull()), F.array().cast(f"array<struct<{ITEM.replace(' string', ':string').replace(' int', ':int')}>>")), lambda e: item(e, inferred))
+        return F.struct(
+            statement.alias("statement"), F.coalesce(c["analysis_question"], F.nullif(c["question"], F.lit("")), F.lit("which_traceable_judgements")).alias("analysis_question"), F.coalesce(c["question_value"], F.lit("worth_of_further_analysis")).alias("question_value"),
+            F.coalesce(c["answer"], statement).alias("answer"), F.coalesce(c["confidence"], F.lit("to_be_verified")).alias("confidence"), F.when(F.size(evidence) == 0, "evidence_missing").otherwise(c["verification_status"]).alias("verification_status"), evidence.alias("evidence"),
+        )
+
+    none = F.array().cast("array<string>")
+    out = given.withColumns({
+        "schema_version": F.when(F.col("__object"), F.coalesce(p("schema_version"), F.lit(1))), "summary": either("summary", "core_summary"), "core_summary": either("core_summary", "summary"), "topics": F.when(F.col("__object"), F.coalesce(p("topics"), none)),
+        "evidence": F.coalesce(p("evidence"), p("evidence_chain")), "evidence_chain": F.coalesce(p("evidence_chain"), p("evidence")),
+        "conclusion_evidence": F.transform(F.filter(p("conclusion_evidence"), lambda c: c.isNotNull()), conclusion),
+    })
+    return out.drop("__p", "__object")
+
+
 def valid_summaries(summaries: DataFrame) -> DataFrame:
     """Those of a version that reports can read."""
     return summaries.filter(F.col("schema_version").isin(3, 4))

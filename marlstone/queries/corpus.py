@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.text import collapse, long_parts, path_id, semantic_profile
 from ..operators import contexts, duplicates, evidence, inventory, retrieval, similar, summary, topics, tree, value
 from ..storage import materialize
-from .common import CANON, DOCS, HUMAN, RANKED, SPACES, bm25_sql, chunks_sql, documents, files, questions, table, topics_sql, units
+from .common import CANON, DOCS, HUMAN, RANKED, SEARCH_TOKENS, SPACES, bm25_sql, chunks_sql, documents, files, questions, table, topics_sql, units
 
 FILES = DOCS + ", files AS (SELECT path, size FROM docs UNION ALL SELECT 'pages/' || page_id || '.html', coalesce(strlen(html), 0)::BIGINT FROM pages), inv AS (SELECT path, size, regexp_extract(path, '(\\.[^.]+)$', 1) AS extension, regexp_replace(path, '/?[^/]*$', '') AS parent FROM files)"
 
@@ -74,6 +74,30 @@ def retrieval_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select("query_id", "rank", "path", "evidence_id", "score")
 
 
+def retrieval_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands for a package without topics: its most frequent tokens as one query, six units."""
+    corpus = units(spark, sf_dir)
+    asked = materialize(retrieval.frequent_tokens(corpus), "asked")
+    found = retrieval.retrieve(corpus, asked, top_k=6, vectors=False)
+    return found.join(F.broadcast(asked), "query_id").select("query", "rank", "path", "evidence_id", "score")
+
+
+def stored_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries of the documents as older and newer readers have stored them, with today's defaults."""
+    docs = documents(spark, sf_dir).select("doc_id", "path", F.substring("text", 1, 40).alias("head"))
+    item = F.struct(F.concat(F.lit("E"), F.col("doc_id").cast("string")).alias("evidence_id"), F.col("path").alias("source_path"))
+    kind, none = F.col("doc_id") % 4, F.lit(None).cast("string")  # null fields aren't written
+    one = F.struct(F.lit("said").alias("conclusion"), F.lit("inference").alias("type"), F.array(item).alias("evidence"), none.alias("question"), none.alias("statement"))
+    other = F.struct(none.alias("conclusion"), none.alias("type"), F.when(F.lit(False), F.array(item)).alias("evidence"), F.lit("why").alias("question"), F.lit("stated").alias("statement"))
+    old = F.to_json(F.struct(F.col("head").alias("core_summary"), F.array(item).alias("evidence")))
+    new = F.to_json(F.struct(F.lit(3).alias("schema_version"), F.col("head").alias("summary"), F.array(F.lit("t")).alias("topics"), F.array(item).alias("evidence_chain"), F.array(one, other).alias("conclusion_evidence")))
+    rows = docs.select("path", F.when(kind == 0, old).when(kind == 1, new).when(kind == 2, F.lit("[1]")).otherwise(F.lit("{}")).alias("payload"))
+    out = summary.stored_summaries(rows)
+    c = F.explode_outer("conclusion_evidence")
+    flat = out.select("path", "schema_version", "summary", "core_summary", F.array_join("topics", "|").alias("topics"), F.size(F.coalesce("evidence", F.array())).alias("evidence"), F.size(F.coalesce("evidence_chain", F.array())).alias("chain"), c.alias("c"))
+    return flat.select("path", F.col("schema_version").cast("long").alias("schema_version"), "summary", "core_summary", "topics", F.col("evidence").cast("long").alias("evidence"), F.col("chain").cast("long").alias("chain"), "c.statement", "c.analysis_question", "c.answer", "c.confidence", "c.verification_status", F.get("c.evidence", F.lit(0))["evidence_type"].alias("evidence_type"), F.get("c.evidence", F.lit(0))["location"]["source_path"].alias("source_path"))
+
+
 def content_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.content_topics(documents(spark, sf_dir), 8).withColumn("rank", F.col("rank").cast("long"))
 
@@ -364,6 +388,7 @@ def node_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
+    retrieval_fallback, stored_summaries,
     folder_contexts, context_excerpts, evidence_catalogue, node_clusters,
     file_summaries, evidence_union, evidence_resolution, text_parts, semantic_profiles, directory_listing, package_time_range, tree_coverage,
     package_policy, even_sample, alias_members, answer_status, node_evidence, cluster_evidence,
@@ -457,6 +482,14 @@ WITH {bm25_sql('few', 'asked')}, fused AS (SELECT *, round(bm25 / max(bm25) OVER
 SELECT query_id, rank, path, evidence_id, score FROM again""",
     "retrieval_manifest": f"""WITH {CANON}, {chunks_sql('canon')}, {topics_sql('canon')}, {CLUSTERS}, asked AS (SELECT cluster_id AS query_id, label AS query FROM clusters WHERE cluster_id <= 'TOPIC-0005'), {bm25_sql('corpus', 'asked')}, fused AS (SELECT *, round(bm25 / max(bm25) OVER (PARTITION BY query_id), 6) AS score FROM scored), {RANKED.format(per=3)}
 SELECT query_id, rank, path, evidence_id, score FROM ranked WHERE rank <= 6""",
+    "retrieval_fallback": f"""WITH {CANON}, {chunks_sql('canon')}, freq AS (SELECT t, count(*) AS n FROM (SELECT unnest({SEARCH_TOKENS.format(text="text")}) AS t FROM corpus) WHERE length(t) BETWEEN 2 AND 16 AND t NOT IN ({", ".join(f"'{t}'" for t in retrieval.GENERAL_TOKENS)}) GROUP BY 1 ORDER BY n DESC, t LIMIT 8),
+asked AS (SELECT 0 AS query_id, string_agg(t, ' ' ORDER BY n DESC, t) AS query FROM freq), {bm25_sql('corpus', 'asked')}, fused AS (SELECT *, round(bm25 / max(bm25) OVER (PARTITION BY query_id), 6) AS score FROM scored), {RANKED.format(per=3)}
+SELECT query, rank, path, evidence_id, score FROM ranked JOIN asked USING (query_id) WHERE rank <= 6""",
+    "stored_summaries": f"""WITH {DOCS}, h AS (SELECT path, substr(text, 1, 40) AS head, doc_id % 4 AS k FROM docs), c AS (SELECT unnest([0, 1]) AS i)
+SELECT path, CASE k WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 3 THEN 1 END AS schema_version, CASE WHEN k < 2 AND head <> '' THEN head END AS summary, CASE WHEN k < 2 AND head <> '' THEN head END AS core_summary, CASE k WHEN 1 THEN 't' WHEN 2 THEN NULL ELSE '' END AS topics, (k < 2)::BIGINT AS evidence, (k < 2)::BIGINT AS chain,
+  CASE WHEN k = 1 THEN CASE i WHEN 0 THEN 'said' ELSE 'stated' END END AS statement, CASE WHEN k = 1 THEN CASE i WHEN 0 THEN 'which_traceable_judgements' ELSE 'why' END END AS analysis_question, CASE WHEN k = 1 THEN CASE i WHEN 0 THEN 'said' ELSE 'stated' END END AS answer,
+  CASE WHEN k = 1 THEN 'to_be_verified' END AS confidence, CASE WHEN k = 1 AND i = 1 THEN 'evidence_missing' END AS verification_status, CASE WHEN k = 1 AND i = 0 THEN 'inference' END AS evidence_type, CASE WHEN k = 1 AND i = 0 THEN path END AS source_path
+FROM h, c WHERE k = 1 OR i = 0""",
     "retrieval_hybrid": f"""WITH {CANON}, {chunks_sql('canon')}, {ASKED}, {bm25_sql('corpus', 'asked')},
 gram AS (SELECT path, evidence_id, g, count(*) AS tf FROM (SELECT path, evidence_id, unnest(flatten(list_transform([2, 3, 4], lambda k: list_transform(range(1, greatest(length(text) - k + 2, 1)), lambda i: substr(lower(text), i::INT, k))))) AS g FROM corpus) GROUP BY ALL),
 voc AS (SELECT g, ln((1 + (SELECT count(*) FROM corpus)) / (1 + count(*))::DOUBLE) + 1 AS idf FROM gram GROUP BY g),

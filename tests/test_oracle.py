@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 from marlstone import queries as core
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUICK = ["edit_log_replay", "tree_order", "pruned_tree", "embedding_nearest", "semantic_clusters", "folder_contexts", "context_excerpts", "evidence_catalogue", "node_clusters", "bounded_file_columns", "bounded_file_profiles", "inventory_type_counts", "directory_rollup", "exact_duplicate_groups", "canonical_projection", "export_manifest", "evidence_chunks", "evidence_quality_gate", "retrieval_bm25", "content_topics", "topic_clusters", "adaptive_topic_assignment", "document_roles", "coverage_ledger", "representative_sample", "checkpoint_reuse", "simhash_fingerprints", "near_duplicate_pairs", "column_profile_events", "column_top_values_orders", "column_histogram_events", "json_props_profile", "embedding_neighbours", "sign_bucket_clusters", "tree_edit_replay", "tree_filter", "job_queue_order", "file_summaries", "evidence_union", "evidence_resolution", "text_parts", "semantic_profiles", "directory_listing", "package_time_range", "tree_coverage", "topic_subtopics", "topic_tree", "recommended_questions"]
+QUICK = ["retrieval_fallback", "stored_summaries", "edit_log_replay", "tree_order", "pruned_tree", "embedding_nearest", "semantic_clusters", "folder_contexts", "context_excerpts", "evidence_catalogue", "node_clusters", "bounded_file_columns", "bounded_file_profiles", "inventory_type_counts", "directory_rollup", "exact_duplicate_groups", "canonical_projection", "export_manifest", "evidence_chunks", "evidence_quality_gate", "retrieval_bm25", "content_topics", "topic_clusters", "adaptive_topic_assignment", "document_roles", "coverage_ledger", "representative_sample", "checkpoint_reuse", "simhash_fingerprints", "near_duplicate_pairs", "column_profile_events", "column_top_values_orders", "column_histogram_events", "json_props_profile", "embedding_neighbours", "sign_bucket_clusters", "tree_edit_replay", "tree_filter", "job_queue_order", "file_summaries", "evidence_union", "evidence_resolution", "text_parts", "semantic_profiles", "directory_listing", "package_time_range", "tree_coverage", "topic_subtopics", "topic_tree", "recommended_questions"]
 
 
 @pytest.fixture(scope="module")
