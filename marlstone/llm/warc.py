@@ -218,9 +218,15 @@ def read_chunks(spark: SparkSession, archives: DataFrame, *, with_data: bool = T
     return archives.select("archive").repartition(n).mapInArrow(read, schema)
 
 
+def checked_records(chunks: DataFrame) -> DataFrame:
+    """One row for each record, from its last chunk. A payload that differs from its record's digest fails the job, with the record's place."""
+    said = F.concat(F.lit("payload differs from its digest: record "), F.col("record_no").cast("string"), F.lit(" of "), F.col("archive"))
+    digest = F.when(F.coalesce("digest_ok", F.lit(True)), F.col("sha1_so_far")).otherwise(F.raise_error(said).cast("string"))
+    return chunks.filter("is_last").select("page_id", F.col("bytes_so_far").alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to")
+
+
 def archive_pages(pages: DataFrame, revisit_bytes: int = 1000) -> DataFrame:
-    """Writes the archives, reads them back: one row for each record."""
+    """Writes the archives, reads them back: one row for each record, whose payload fits its digest."""
     spark = pages.sparkSession
     archives = write_archives(spark, revisits(pages, revisit_bytes), fresh_path(spark, "warc"))
-    chunks = read_chunks(spark, archives, with_data=False)
-    return chunks.filter("is_last").select("page_id", F.col("bytes_so_far").alias("payload_bytes"), F.col("sha1_so_far").alias("payload_digest"), "record_type", "refers_to")
+    return checked_records(read_chunks(spark, archives, with_data=False))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.llm import cminhash, decontam, lattice, ordinal
+from marlstone.llm import cminhash, decontam, lattice, ordinal, warc
 from marlstone.llm.queries import tokenizer_file
 from tests.llm.test_brute import linked_components
 
@@ -105,3 +105,10 @@ def test_rare_words_are_joined_with_the_same_result(spark, data):
     found = [{r["doc_id"]: (r["n_known"], r["base_score"], r["score"], r["lattice_score"]) for r in lattice.score_documents(docs, tokenizer_file("piece_bpe_32k.model"), head_words=n, rounds=1).collect()} for n in (150_000, 300, 0)]
     for other in found[1:]:
         assert found[0].keys() == other.keys() and all(other[k] == pytest.approx(v, rel=1e-9) for k, v in found[0].items())
+
+
+def test_a_payload_that_differs_from_its_digest_is_no_record(spark):
+    chunks = spark.createDataFrame([("a.warc.gz", 3, 7, 5, "abc", True, ok) for ok in (True, None)], "archive string, record_no long, page_id long, bytes_so_far long, sha1_so_far string, is_last boolean, digest_ok boolean").withColumns({"record_type": F.lit("response"), "refers_to": F.lit(None).cast("long")})
+    assert [r.payload_digest for r in warc.checked_records(chunks).collect()] == ["abc", "abc"]
+    with pytest.raises(Exception, match="record 3 of a.warc.gz"):
+        warc.checked_records(chunks.withColumn("digest_ok", F.lit(False))).collect()
