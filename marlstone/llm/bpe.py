@@ -28,7 +28,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import column, in_parts
+from .common import column, in_parts, only, released, worker_cache
 
 #: The splitting pattern of the tokenizer's file, and characters beyond which Unicode versions differ.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -156,10 +156,11 @@ class Bpe:
         return " ".join(map(self.tokens.__getitem__, values))
 
 
-_loaded: dict[str, Bpe] = {}
+_loaded: dict[str, Bpe] = worker_cache()
 
 
 def loaded(path: str) -> Bpe:
+    only(_loaded)
     if path not in _loaded:
         _loaded[path] = Bpe(path)
     return _loaded[path]
@@ -170,6 +171,7 @@ def encode_documents(docs: DataFrame, path: str, *, with_ids: bool = True, keep:
     kinds = dict(docs.dtypes)
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "n_tokens bigint", *["token_ids array<int>"] * with_ids, "ids_sha256 string", "decoded_sha256 string"])
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
         for batch in in_parts(batches):

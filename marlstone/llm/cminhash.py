@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, in_parts, materialize, texts_of
+from .common import column, in_parts, materialize, only, released, texts_of, worker_cache
 
 COORDINATES, BAND_ROWS = 128, 4
 BANDS = COORDINATES // BAND_ROWS
@@ -54,7 +54,7 @@ UNIVERSE = 1 << 20
 FILTER_BITS = 20
 SIGNED = "doc_id bigint, n_shingles bigint, set_id binary, bands array<bigint>"
 
-_tables: dict[str, np.ndarray] = {}
+_tables: dict[str, np.ndarray] = worker_cache()
 
 
 class _Words(dict):
@@ -67,7 +67,7 @@ class _Words(dict):
         return h
 
 
-_words = _Words()
+_words = worker_cache(_Words())
 
 
 def _permutations() -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +123,9 @@ def set_id(shingles: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None
 
 
+@released
 def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    only(_words, _tables)
     for batch in in_parts(batches):
         sizes, ids, bands, offsets = [], [], [], [0]
         for text in texts_of(batch):
@@ -137,6 +139,7 @@ def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), keys], names=["doc_id", "n_shingles", "set_id", "bands"])
 
 
+@released
 def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in in_parts(batches):
         sets = [shingle_set(t) for t in texts_of(batch)]
@@ -162,6 +165,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of set ids that are linked on full sets."""
     both = pairs.join(sets.withColumnsRenamed({"set_id": "a", "shingles": "sa"}), "a").join(sets.withColumnsRenamed({"set_id": "b", "shingles": "sb"}), "b")
 
+    @released
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_parts(batches):
             keep = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(column(batch, "sa").to_pylist(), column(batch, "sb").to_pylist(), strict=True)]
@@ -174,6 +178,7 @@ def _uses(sets: DataFrame) -> np.ndarray:
     """How often shingles of each of 2**20 slots occur, a table of a fixed size."""
     slots = 1 << FILTER_BITS
 
+    @released
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(slots, np.int64)
         for batch in in_parts(batches):
@@ -203,6 +208,7 @@ def _rare_pairs(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     sent = sets.sparkSession.sparkContext.broadcast(_uses(sets))
 
+    @released
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_parts(batches):
             rows = [[], [], [], [], []]

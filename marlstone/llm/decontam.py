@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import running_sum
-from .common import column, in_parts, materialize, texts_of
+from .common import column, in_parts, materialize, only, released, texts_of, worker_cache
 
 #: Bytes of words: digits, lower-case letters and all beyond ASCII; the others become blanks.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -47,7 +47,7 @@ ITEMS, SPANS = pa.list_(pa.string()), pa.list_(pa.struct([("first", pa.int32()),
 #: The alphabets have 8,192 characters each, so far more words than a worker should hold.
 MOST_WORDS = 10_000_000
 
-_held: dict[str, Windows] = {}
+_held: dict[str, Windows] = worker_cache()
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -120,6 +120,7 @@ def _cut_items(benchmark: DataFrame, window: int, block_words: int) -> DataFrame
 
 def _scanner(key: str, sent: Broadcast) -> Windows:
     """The worker's automaton; another block's is let go."""
+    only(_held)
     if key not in _held:
         _held.clear()
         items, window = sent.value
@@ -156,6 +157,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, bl
     if len(blocks) == 1:
         key, sent = send(blocks[0])
 
+        @released
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             scanner = _scanner(key, sent)
             for batch in in_parts(batches):
@@ -172,6 +174,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, bl
     for block in blocks:
         key, sent = send(block)
 
+        @released
         def find(batches: Iterator[pa.RecordBatch], key=key, sent=sent) -> Iterator[pa.RecordBatch]:
             scanner = _scanner(key, sent)
             for batch in in_parts(batches):
@@ -185,6 +188,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, bl
     # a row for each block at most
     all_hits = hits.groupBy("uid").agg(F.array_distinct(F.flatten(F.collect_list("item_ids"))).alias("ids"), F.flatten(F.collect_list("ranges")).alias("ranges"))
 
+    @released
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_parts(batches):
             rows = []

@@ -53,12 +53,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import column, in_parts, materialize, texts_of
+from .common import column, in_parts, materialize, only, released, texts_of, worker_cache
 
 ORDER, BITS = 5, 12
 CLASSES = 1 << BITS
 SYMBOLS = b"#*$%&|<>"
 CHUNK, LATE = 500_000, 1 << 20
+_arrays: dict[str, HashArrays] = worker_cache()
 #: Bands in spreads; the least spread; symbols a word in texts that models are counted on.
 HIGH, LOW, LEAST_SPREAD, MOST_SYMBOLS = 4.7, 4.35, 0.002, 0.1
 #: Classes of a capital after a capital, so that shouting is seen, and of control characters.
@@ -95,16 +96,20 @@ def keys_of(text: bytes) -> np.ndarray:
 
 def _merged(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     keys, counts = np.concatenate([k for k, _ in pairs]), np.concatenate([c for _, c in pairs])
-    out, back = np.unique(keys, return_inverse=True)
-    return out, np.bincount(back, counts, len(out)).astype(np.int64)
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[starts], np.add.reduceat(counts, starts)
 
 
 def symbols_in(text: bytes) -> int:
     return len(text) - len(text.translate(None, SYMBOLS))
 
 
+@released
 def count_ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts by model, apart for prose and for texts full of symbols; what a task holds is bounded."""
+    only(_arrays)
     waiting: dict[tuple[int, bool], list[np.ndarray]] = {}
     size: dict[tuple[int, bool], int] = {}
     have: dict[tuple[int, bool], list] = {}
@@ -224,11 +229,9 @@ class HashArrays:
         return out
 
 
-_arrays: dict[str, HashArrays] = {}
-
-
 def _arrays_of(name: str, sent: Broadcast) -> HashArrays:
     """The worker's arrays; those of another part are let go."""
+    only(_arrays)
     if name not in _arrays:
         _arrays.clear()
         _arrays[name] = HashArrays(*sent.value)
@@ -290,15 +293,16 @@ def facts(text: bytes) -> tuple[int, int, int, int, int]:
     return len(words), chars, symbols_in(text), len(lines) - len(set(lines)), repeated_words(words)
 
 
-def _scored(source: DataFrame, ids: list[str], name: str, sent: Broadcast, kinds: dict[str, str]) -> DataFrame:
-    """Base figures and the first part's share of the log probability."""
+def _scored(source: DataFrame, ids: list[str], text: str, name: str, sent: Broadcast, kinds: dict[str, str]) -> DataFrame:
+    """Base figures and the first part's share of the log probability. A text that is handed on is sent once."""
 
+    @released
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrays = _arrays_of(name, sent)
         for batch in in_parts(batches):
-            texts, rows = texts_of(batch), []
-            for text in texts:
-                n_words, chars, symbols, dup, repeat = facts(text)
+            texts, rows = texts_of(batch, text), []
+            for x in texts:
+                n_words, chars, symbols, dup, repeat = facts(x)
                 rows.append((n_words, chars, symbols, dup, repeat, n_words < 10 or 100 * repeat > 20 * n_words))
             cols = list(zip(*rows, strict=True)) or [[]] * 6
             made = [pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 5 + [pa.bool_()], strict=True)]
@@ -306,18 +310,19 @@ def _scored(source: DataFrame, ids: list[str], name: str, sent: Broadcast, kinds
             lengths = [len(t) if t.isascii() else len(t.decode("utf-8", "replace")) for t in texts]
             yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in ids), *made, pa.array(shares), pa.array(lengths, pa.int64())], names=[*ids, *(x.split()[0] for x in FACTS.split(", "))])
 
-    return source.select(*ids, "text", "other").mapInArrow(score, ", ".join([*(f"{c} {kinds[c]}" for c in ids), FACTS]))
+    return source.select(*dict.fromkeys([*ids, text]), "other").mapInArrow(score, ", ".join([*(f"{c} {kinds[c]}" for c in ids), FACTS]))
 
 
-def _share(source: DataFrame, name: str, sent: Broadcast) -> DataFrame:
+def _share(source: DataFrame, text: str, name: str, sent: Broadcast) -> DataFrame:
     """uid, log_p: a further part's share."""
 
+    @released
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrays = _arrays_of(name, sent)
         for batch in in_parts(batches):
-            yield pa.RecordBatch.from_arrays([column(batch, "uid"), pa.array(log_probabilities(arrays, column(batch, "other").to_pylist(), texts_of(batch)))], names=["uid", "log_p"])
+            yield pa.RecordBatch.from_arrays([column(batch, "uid"), pa.array(log_probabilities(arrays, column(batch, "other").to_pylist(), texts_of(batch, text)))], names=["uid", "log_p"])
 
-    return source.select("uid", "text", "other").mapInArrow(score, "uid bigint, log_p double")
+    return source.select("uid", text, "other").mapInArrow(score, "uid bigint, log_p double")
 
 
 def judge_documents(docs: DataFrame, *, id_columns: tuple[str, ...] = ("doc_id",), high: float = HIGH, low: float = LOW, entries: int = 8_000_000) -> DataFrame:
@@ -328,10 +333,12 @@ def judge_documents(docs: DataFrame, *, id_columns: tuple[str, ...] = ("doc_id",
     """
     spark = docs.sparkSession
     ids = [f"c{i}" for i in range(len(id_columns))]
+    text = ids[id_columns.index("text")] if "text" in id_columns else "text"
+    own_text = [] if "text" in id_columns else ["text"]
     half = F.crc32(F.coalesce("text", F.lit("")).cast("binary")) % 2
     lang = F.col("lang").cast("string")
-    source = docs.select(*(F.col(f"`{c}`").alias(i) for c, i in zip(id_columns, ids, strict=True)), "text", F.xxhash64(lang).alias("lang_id"), F.xxhash64(lang, half).alias("own"), F.xxhash64(lang, 1 - half).alias("other"))
-    counted = source.select("own", "text").mapInArrow(count_ngrams, "model bigint, prose boolean, gram bigint, n bigint").groupBy("model", "prose", "gram").agg(F.sum("n").alias("n"))
+    source = docs.select(*(F.col(f"`{c}`").alias(i) for c, i in zip(id_columns, ids, strict=True)), *own_text, F.xxhash64(lang).alias("lang_id"), F.xxhash64(lang, half).alias("own"), F.xxhash64(lang, 1 - half).alias("other"))
+    counted = source.select("own", F.col(text).alias("text")).mapInArrow(count_ngrams, "model bigint, prose boolean, gram bigint, n bigint").groupBy("model", "prose", "gram").agg(F.sum("n").alias("n"))
     counted = materialize(counted, "grams")
     usable = materialize(counted.groupBy("model").agg(F.max(F.col("prose") & (F.col("gram") != 0)).alias("has_prose")), "usable")  # an empty text has the n-gram 0 alone
     chosen = counted.join(usable, "model").filter("prose or not has_prose").groupBy("model", "gram").agg(F.sum("n").alias("n"))
@@ -346,9 +353,9 @@ def judge_documents(docs: DataFrame, *, id_columns: tuple[str, ...] = ("doc_id",
         return uuid.uuid4().hex, spark.sparkContext.broadcast((rows["key"].to_numpy(), rows["value"].to_numpy()))
 
     kept_ids = [*ids, "lang_id"]
-    scored = materialize(_scored(source, kept_ids, *send(0), dict(source.dtypes)), "scored")
+    scored = materialize(_scored(source, kept_ids, text, *send(0), dict(source.dtypes)), "scored")
     for part in range(1, parts):
-        more = materialize(_share(source, *send(part)), "share").withColumnRenamed("log_p", "more")
+        more = materialize(_share(source, text, *send(part)), "share").withColumnRenamed("log_p", "more")
         scored = materialize(scored.join(more, "uid").withColumn("log_p", F.col("log_p") + F.col("more")).drop("more"), "scored")
     scored = scored.withColumn("log_ppl", float(np.log(CLASSES)) - F.col("log_p") / (F.col("n_chars") + 1))
     # counts by steps of a thousandth, so a table of a fixed size for each language, which comes out alike in every run

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.llm import cminhash, decontam, lattice, ordinal, warc
+from marlstone.llm import bpe, cminhash, common, decontam, lattice, ordinal, perplexity, warc
 from marlstone.llm.queries import tokenizer_file
 from tests.llm.test_brute import linked_components
 
@@ -112,3 +113,37 @@ def test_a_payload_that_differs_from_its_digest_is_no_record(spark):
     assert [r.payload_digest for r in warc.checked_records(chunks).collect()] == ["abc", "abc"]
     with pytest.raises(Exception, match="record 3 of a.warc.gz"):
         warc.checked_records(chunks.withColumn("digest_ok", F.lit(False))).collect()
+
+
+def test_a_worker_keeps_one_operators_things(monkeypatch):
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["one two three"], "own": [7]})
+    perplexity._arrays["part"] = perplexity.HashArrays(np.zeros(1, np.int64), np.zeros(1, np.float32))
+    asked = []
+    monkeypatch.setattr(common, "_trim", asked.append)
+    assert len(list(cminhash.sign(iter([batch])))) == 1
+    assert not perplexity._arrays and cminhash._words and cminhash._tables and asked == [0]
+    assert bpe.loaded(tokenizer_file("word_bpe_49k.json")) is bpe.loaded(tokenizer_file("word_bpe_49k.json"))
+    assert not cminhash._words and not cminhash._tables
+    assert len(list(perplexity.count_ngrams(iter([batch])))) == 1
+    assert not bpe._loaded and asked == [0, 0]
+
+
+def test_a_text_that_is_handed_on_is_sent_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"some plain words of text number {i} that go on for a while", "en") for i in range(40)] + [(40, None, None)], "doc_id long, text string, lang string")
+    sent, scored = [], perplexity._scored
+    monkeypatch.setattr(perplexity, "_scored", lambda source, *a: (sent.append([k for _, k in source.dtypes].count("string")), scored(source, *a))[1])
+    plain = {r.doc_id: (r.kept, r.perplexity, r.upper_bound) for r in perplexity.judge_documents(docs).collect()}
+    rows = perplexity.judge_documents(docs, id_columns=("doc_id", "text", "lang"), entries=500).collect()
+    assert sent == [1, 2]
+    assert {r.doc_id: r.text for r in rows} == {r.doc_id: r.text for r in docs.collect()}
+    assert {r.doc_id: r.kept for r in rows} == {k: x[0] for k, x in plain.items()}
+    assert all(plain[r.doc_id][1:] == pytest.approx((r.perplexity, r.upper_bound)) for r in rows)
+
+
+def test_counts_are_merged():
+    rng = np.random.default_rng(4)
+    pairs = [(np.unique(rng.integers(-50, 50, n)), None) for n in (60, 1, 40)]
+    pairs = [(k, rng.integers(1, 9, len(k))) for k, _ in pairs]
+    keys, counts = perplexity._merged(pairs)
+    plain = {k: sum(int(c[list(x).index(k)]) for x, c in pairs if k in x) for k in {int(v) for x, _ in pairs for v in x}}
+    assert keys.tolist() == sorted(plain) and dict(zip(keys.tolist(), counts.tolist(), strict=True)) == plain
