@@ -147,3 +147,27 @@ def test_counts_are_merged():
     keys, counts = perplexity._merged(pairs)
     plain = {k: sum(int(c[list(x).index(k)]) for x, c in pairs if k in x) for k in {int(v) for x, _ in pairs for v in x}}
     assert keys.tolist() == sorted(plain) and dict(zip(keys.tolist(), counts.tolist(), strict=True)) == plain
+
+
+def test_new_words_are_merged_together(monkeypatch):
+    """Only words of one byte or of very many have a tree of their own, and the ids are those of single trees."""
+    rng = np.random.default_rng(8)
+    words = {"".join(map(chr, rng.choice([97, 101, 104, 110, 115, 116, 233, 0x4E2D], int(rng.integers(1, 40))))) for _ in range(3000)} | {"a", "é", "ab", "t" * 64, "t" * 65, "th" * 200}
+    own = bpe.Bpe(tokenizer_file("word_bpe_49k.json"))
+    single = {w: own.merge(w) for w in words}
+    alone, merge = [], own.merge
+    monkeypatch.setattr(own, "merge", lambda w: (alone.append(w), merge(w))[1])
+    monkeypatch.setattr(bpe, "TOGETHER", 700)
+    text = " ".join(sorted(words))
+    assert np.frombuffer(own.encode(text), "<u4").tolist() == [i for w in sorted(words) for i in single[w]]
+    assert {len(w.encode()) for w in alone} <= {1} | set(range(65, 500)) and len(alone) < len(words) / 4
+    alone.clear()
+    assert own.encode("t" * 65 + " ab") and alone == ["t" * 65]
+
+
+def test_the_plain_pattern_is_the_files():
+    sure = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000 and bpe.UNSURE.match(chr(c)) is None]
+    for x in sure:
+        text = f"a{x}{x}1{x}'s {x}'{x}"
+        assert bpe.PLAIN.findall(text) == bpe.PATTERN.findall(text), hex(ord(x))
+    assert bpe.UNSURE.search("a\x1cb") and bpe.UNSURE.search("\x1f") and not bpe.UNSURE.search("\x1b ~")
